@@ -29,10 +29,12 @@ _BASE_BYTES, _BASE_WORDS, _BASE_WORDS_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else (tests only) a new local one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _own_dir()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
