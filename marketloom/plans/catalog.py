@@ -1,6 +1,11 @@
-"""Registry of the reference-side queries and their SQL oracles."""
+"""Registry of the pricing engine's queries and their SQL oracles."""
 
 from __future__ import annotations
 
+from marketloom.plans import relations, scalars, statistics
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (statistics, scalars, relations):
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)
