@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from marketloom.plans import relations, scalars, statistics
+from marketloom.plans import pages, relations, scalars, statistics
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (statistics, scalars, relations):
+for _module in (statistics, scalars, relations, pages):
     QUERIES.update(_module.QUERIES)
     ORACLES.update(_module.ORACLES)
