@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Vectors that the centroids are fitted on, at most (by hash of id); every vector is indexed.
 SAMPLE_ROWS, MAX_LISTS = 20_000, 1024
-#: Rows of a list's block, queries met with it at once, dimensions added at a time, and the test's strictness.
-BLOCK_ROWS, QUERY_ROWS, STEP, EPSILON = 2048, 512, 16, 2.6
+#: Rows of a list's block, queries met with it at once, rows scanned before bounds are renewed, dimensions added at a time, and the test's strictness.
+BLOCK_ROWS, QUERY_ROWS, CHUNK_ROWS, STEP, EPSILON = 2048, 512, 256, 16, 2.6
 #: The share of lists that a query probes.
 PROBED = 0.6
 
@@ -75,31 +75,36 @@ def _assigned(centres: np.ndarray, n_probed: int):
 def scan_block(queries: np.ndarray, rows: np.ndarray, rotation: np.ndarray, k: int, own: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, int]:
     """Pairs (query, row) that may be among the k nearest of this block, and how many dimension steps were taken.
 
-    Exact distances to a first few rows give each query a bound; then a row goes when its partial squared distance
-    over d of D rotated dimensions exceeds bound * (d / D) * (1 + EPSILON / sqrt(d))**2.
+    Rows come in chunks; each query's bound is its k-th smallest squared distance so far. Over the blocks of rotated
+    dimensions a row goes when its partial squared distance over d of D dimensions exceeds
+    bound * (d / D) * (1 + EPSILON / sqrt(d))**2. ``own``: the row that is the query itself, or -1.
     """
     q, r = queries @ rotation, rows @ rotation
-    dim, work = q.shape[1], 0
-    seed = np.linspace(0, len(r) - 1, min(len(r), max(4 * k, 64))).astype(int)
-    seed = np.unique(seed)
-    first = (q**2).sum(1)[:, None] - 2 * q @ r[seed].T + (r[seed] ** 2).sum(1)[None, :]
-    first[own[:, None] == seed[None, :]] = np.inf
-    bound = np.partition(np.maximum(first, 0), min(k, len(seed)) - 1, 1)[:, min(k, len(seed)) - 1] if len(seed) >= k + 1 else np.full(len(q), np.inf)
-    qi, ri = np.nonzero(np.arange(len(r))[None, :] != own[:, None])
-    part = None
-    for lo in range(0, dim, step):
-        hi = min(dim, lo + step)
-        if part is None:  # the first block of dimensions, for all pairs at once
-            a, b = q[:, lo:hi], r[:, lo:hi]
-            part = ((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :])[qi, ri]
-        else:
-            part = part + ((q[qi, lo:hi] - r[ri, lo:hi]) ** 2).sum(1)
-        work += len(qi)
-        if hi < dim:
-            limit = bound * (hi / dim) * (1 + EPSILON / math.sqrt(hi)) ** 2
-            stay = part <= limit[qi] * (1 + 1e-9) + 1e-12
+    dim, work, kept = q.shape[1], 0, []
+    best = np.full((len(q), k), np.inf)
+    for first in range(0, len(r), CHUNK_ROWS):
+        chunk = r[first : first + CHUNK_ROWS]
+        bound = best.max(1)
+        qi, ri = np.nonzero(np.arange(first, first + len(chunk))[None, :] != own[:, None])
+        part = None
+        for lo in range(0, dim, step):
+            hi = min(dim, lo + step)
+            if part is None:  # the first block of dimensions, for all pairs at once
+                a, b = q[:, lo:hi], chunk[:, lo:hi]
+                part = ((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :])[qi, ri]
+            else:
+                part = part + ((q[qi, lo:hi] - chunk[ri, lo:hi]) ** 2).sum(1)
+            work += len(qi)
+            # At the last dimension the distance is whole and the factor is 1, but for rounding.
+            limit = bound * (hi / dim) * ((1 + EPSILON / math.sqrt(hi)) ** 2 if hi < dim else 1)
+            stay = part <= limit[qi] * (1 + 1e-6) + 1e-9
             qi, ri, part = qi[stay], ri[stay], part[stay]
-    return qi, ri, work
+        near = np.full((len(q), k + len(chunk)), np.inf)
+        near[:, :k] = best
+        near[qi, k + ri] = part
+        best = np.partition(near, k - 1, 1)[:, :k]
+        kept.append((qi, ri + first))
+    return np.concatenate([a for a, _ in kept]), np.concatenate([b for _, b in kept]), work
 
 
 def _searched(rotation: np.ndarray, k: int):
