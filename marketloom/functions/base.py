@@ -14,6 +14,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def lets(values: dict[str, Column], body: Callable[..., Column]) -> Column:
+    """``body(**values)`` with all values worked out once, side by side: one level of nesting for any number of them."""
+    return let(F.struct(*[v.alias(k) for k, v in values.items()]), lambda s: body(**{k: s[k] for k in values}))
+
+
 def any_contained(text: Column, words: Iterable[str]) -> Column:
     """Whether any of the words occurs anywhere in the text: one pass of one pattern."""
     return text.rlike("|".join(re.escape(w) for w in words))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketloom.functions.base import let, strings
+from marketloom.functions.base import let, lets, strings
 from marketloom.functions.text import normalize_model, normalize_text
 
 #: Tokens after a model's digits that make it another model.
@@ -123,24 +123,23 @@ def _norm(value: Column | None) -> Column:
     return F.lit("") if value is None else normalize_model(value)
 
 
-def _with_context(text: Column, model: Column, brand: Column | None, body) -> Column:
-    """``body`` of text tokens, model parts, model tokens and normalised brand, each worked out once."""
-    return let(text_tokens(text), lambda toks: let(split_model(model), lambda parts: let(tokens(model), lambda mt: let(_norm(brand), lambda b: body(toks, parts, mt, b)))))
+def _context(text: Column, model: Column, brand: Column | None) -> dict[str, Column]:
+    """Tokens of the text, parts and tokens of the model, and the normalised brand."""
+    return {"toks": text_tokens(text), "parts": split_model(model), "mt": tokens(model), "b": _norm(brand), "joined": normalize_model(F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9]+)-([0-9]+)", "$1$2"))}
 
 
-def _brand_present(text: Column, brand: Column) -> Column:
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9]+)-([0-9]+)", "$1$2")
-    return (brand != "") & normalize_model(joined).contains(brand)
+def _conflicts(toks: Column, parts: Column, mt: Column, b: Column, joined: Column) -> tuple[Column, Column]:
+    return _prefix_conflict(toks, parts, mt, b), _suffix_conflict(toks, parts, (b != "") & joined.contains(b))
 
 
 def prefix_conflict(text: Column, model: Column, brand: Column | None = None) -> Column:
     """Whether the text has the model's digits behind another prefix."""
-    return _with_context(text, model, brand, lambda toks, parts, mt, b: _prefix_conflict(toks, parts, mt, b))
+    return lets(_context(text, model, brand), lambda **c: _conflicts(**c)[0])
 
 
 def suffix_conflict(text: Column, model: Column, brand: Column | None = None) -> Column:
     """Whether the text has the model's digits before a suffix that makes it another model."""
-    return _with_context(text, model, brand, lambda toks, parts, mt, b: _suffix_conflict(toks, parts, _brand_present(text, b)))
+    return lets(_context(text, model, brand), lambda **c: _conflicts(**c)[1])
 
 
 def _bounded(text: Column, part: Column) -> Column:
@@ -152,23 +151,28 @@ def _bounded(text: Column, part: Column) -> Column:
     return (part != "") & (at > 0) & ~clash
 
 
+def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
+    """``matched``, ``prefix`` and ``suffix`` (the conflicts) of a text and a model, from one reading of both."""
+    pieces = F.filter(F.split(F.coalesce(model, F.lit("")), r"[\s\-_]+"), lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z0-9]", "")) > 0)
+    segments = F.filter(F.transform(pieces, normalize_model), lambda s: F.length(s) >= 3)
+    longest = F.coalesce(F.aggregate(segments, F.lit("").cast("string"), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)), F.lit(""))
+    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": longest}
+
+    def decide(nt: Column, nm: Column, longest: Column, b: Column, **c: Column) -> Column:
+        digits, text_digits = F.regexp_replace(nm, "[^0-9]", ""), F.regexp_replace(nt, "[^0-9]", "")
+        whole_number = F.array_contains(F.regexp_extract_all(nt, F.lit("[0-9]+"), F.lit(0)), digits)
+        literal = _bounded(nt, nm) | ((F.length(digits) >= 3) & whole_number) | _bounded(nt, longest)
+        n = F.least(F.lit(4), F.length(digits), F.length(text_digits))
+        head = lambda x: F.substring(x, F.lit(1), n)
+        alike = digits.contains(text_digits) | ((n >= 3) & (head(digits) == head(text_digits)) & (F.length(digits) >= F.length(text_digits)))
+        lenient = (b != "") & nt.contains(b) & (F.length(digits) >= 3) & (F.length(text_digits) >= 3) & alike
+        prefix, suffix = _conflicts(b=b, **c)
+        clash = F.struct(prefix.alias("prefix"), suffix.alias("suffix"), ((nm != "") & (literal | lenient)).alias("like"))
+        return let(clash, lambda k: F.struct((k["like"] & ~k["prefix"] & ~k["suffix"]).alias("matched"), k["prefix"].alias("prefix"), k["suffix"].alias("suffix")))
+
+    return lets(context, decide)
+
+
 def model_match(text: Column, model: Column, brand: Column | None = None) -> Column:
     """Whether a title or URL speaks of the model: four rules, from literal to lenient, none against a conflict."""
-
-    def rules(toks: Column, parts: Column, mt: Column, b: Column) -> Column:
-        def decide(norm_text: Column, norm_model: Column, conflict: Column) -> Column:
-            digits, text_digits = F.regexp_replace(norm_model, "[^0-9]", ""), F.regexp_replace(norm_text, "[^0-9]", "")
-            segments = F.filter(F.transform(F.split(F.coalesce(model, F.lit("")), r"[\s\-_]+"), lambda s: normalize_model(s)), lambda s: F.length(s) >= 3)
-            longest = F.coalesce(F.aggregate(segments, F.lit("").cast("string"), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)), F.lit(""))
-            whole_number = F.array_contains(F.regexp_extract_all(norm_text, F.lit("[0-9]+"), F.lit(0)), digits)
-            literal = _bounded(norm_text, norm_model) | ((F.length(digits) >= 3) & whole_number) | let(longest, lambda s: _bounded(norm_text, s))
-            n = F.least(F.lit(4), F.length(digits), F.length(text_digits))
-            head = lambda x: F.substring(x, F.lit(1), n)
-            alike = digits.contains(text_digits) | ((n >= 3) & (head(digits) == head(text_digits)) & (F.length(digits) >= F.length(text_digits)))
-            lenient = (b != "") & norm_text.contains(b) & (F.length(digits) >= 3) & (F.length(text_digits) >= 3) & alike
-            return (norm_model != "") & ~conflict & (literal | lenient)
-
-        conflict = _prefix_conflict(toks, parts, mt, b) | _suffix_conflict(toks, parts, _brand_present(text, b))
-        return let(normalize_model(text), lambda nt: let(normalize_model(model), lambda nm: let(conflict, lambda c: decide(nt, nm, c))))
-
-    return _with_context(text, model, brand, rules)
+    return judged(text, model, brand)["matched"]

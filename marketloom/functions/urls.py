@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marketloom.functions.base import any_contained, let
-from marketloom.functions.matching import model_match, prefix_conflict, suffix_conflict
+from marketloom.functions.base import any_contained, lets
+from marketloom.functions.matching import judged, suffix_conflict
 from marketloom.functions.text import normalize_model
 
 # Hosts, paths and words that tell what a URL is.
@@ -111,16 +111,14 @@ def is_detail_url(url: Column, model: Column | None = None, brand: Column | None
     if model is None:
         return F.coalesce(allowed & general, F.lit(False))
 
-    def of_model(norm_url: Column, norm_model: Column) -> Column:
-        digits = F.regexp_replace(norm_model, "[^0-9]", "")
-        found = ((norm_model != "") & norm_url.contains(norm_model)) | ((F.length(digits) >= 4) & norm_url.contains(digits))
-        if brand is not None:
-            near = ((F.length(digits) >= 3) & norm_url.contains(F.substring(digits, 1, 4))) | any_contained(low, SHOP_PATHS)
-            found = found | let(normalize_model(brand), lambda b: (b != "") & norm_url.contains(b) & near)
+    def of_model(nu: Column, nm: Column, nb: Column) -> Column:
+        digits = F.regexp_replace(nm, "[^0-9]", "")
+        near = ((F.length(digits) >= 3) & nu.contains(F.substring(digits, 1, 4))) | any_contained(low, SHOP_PATHS)
         parts = F.filter(F.regexp_extract_all(model, F.lit("[a-zA-Z]+|[0-9]+"), F.lit(0)), lambda t: F.length(t) >= 3)
-        return found | (F.exists(parts, lambda t: norm_url.contains(F.upper(t))) & general)
+        named = ((nm != "") & nu.contains(nm)) | ((F.length(digits) >= 4) & nu.contains(digits)) | ((nb != "") & nu.contains(nb) & near)
+        return named | (F.exists(parts, lambda t: nu.contains(F.upper(t))) & general)
 
-    with_model = let(normalize_model(url), lambda nu: let(normalize_model(model), lambda nm: of_model(nu, nm)))
+    with_model = lets({"nu": normalize_model(url), "nm": normalize_model(model), "nb": F.lit("") if brand is None else normalize_model(brand)}, of_model)
     given = F.coalesce(model, F.lit("")) != ""
     return F.coalesce(allowed & F.when(given, ~suffix_conflict(url, model, brand) & with_model).otherwise(general), F.lit(False))
 
@@ -130,14 +128,13 @@ def relevance_score(url: Column, model: Column, brand: Column) -> Column:
     points = lambda test, n: F.when(F.coalesce(test, F.lit(False)), n).otherwise(0)
     low = F.lower(url)
 
-    def total(matched: Column, norm_url: Column) -> Column:
-        nm, nb = normalize_model(model), normalize_model(brand)
-        site = host(url)
-        score = points(matched, 150) + points(let(nm, lambda m: (m != "") & norm_url.contains(m)), 40) + points(let(nb, lambda b: (b != "") & norm_url.contains(b)), 20)
+    def total(j: Column, nu: Column, nm: Column, nb: Column) -> Column:
+        site, matched = host(url), j["matched"]
+        score = points(matched, 150) + points((nm != "") & nu.contains(nm), 40) + points((nb != "") & nu.contains(nb), 20)
         score = score + points(url.contains("-"), 10) + points(low.rlike(SLUG), 10) + points(low.rlike(r"\.html?(?:$|[?#])"), 10)
         score = score + points((site != "") & ~any_contained(site, NON_COMMERCIAL), 10) + points(matched & any_contained(site, TRUSTED), 100)
-        score = score - points(any_contained(low, PENALISED), 50) - points(suffix_conflict(url, model, brand) | prefix_conflict(url, model, brand), 100)
+        score = score - points(any_contained(low, PENALISED), 50) - points(j["suffix"] | j["prefix"], 100)
         return F.greatest(F.lit(0), F.least(F.lit(300), score))
 
-    scored = let(model_match(url, model, brand), lambda matched: let(normalize_model(url), lambda nu: total(matched, nu)))
+    scored = lets({"j": judged(url, model, brand), "nu": normalize_model(url), "nm": normalize_model(model), "nb": normalize_model(brand)}, total)
     return F.when(F.coalesce(model, F.lit("")) == "", 0).otherwise(scored)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
-from marketloom.functions.base import let
+from marketloom.functions.base import lets
 
 # Elements and selectors in the order in which they are tried, and words that mark junk.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -247,12 +247,17 @@ def extract(pages: DataFrame, learned: DataFrame | None = None) -> DataFrame:
 
 def verify(titles_: Column, url: Column, model: Column, brand: Column) -> Column:
     """NULL for a page about the model; else the reason why it is not."""
-    found = matching.model_match(titles_, model, brand) | matching.model_match(url, model, brand)
-    brand_only = let(text.normalize_model(brand), lambda b: (b != "") & text.normalize_model(titles_).contains(b))
-    suffix = matching.suffix_conflict(titles_, model) | matching.suffix_conflict(url, model)
-    prefix = matching.prefix_conflict(titles_, model, brand) | matching.prefix_conflict(url, model, brand)
-    missing = F.when(brand_only, "Only brand matched, model missing").otherwise("Model not found")
-    return F.when(text.normalize_model(model) == "", "Empty model").when(~found, missing).when(suffix, "Conflicting suffix found (extended model)").when(prefix, "Conflicting prefix found")
+    def reason(t: Column, u: Column, t_suffix: Column, u_suffix: Column, nm: Column, nb: Column, nt: Column) -> Column:
+        missing = F.when((nb != "") & nt.contains(nb), "Only brand matched, model missing").otherwise("Model not found")
+        checked = F.when(~(t["matched"] | u["matched"]), missing).when(t_suffix | u_suffix, "Conflicting suffix found (extended model)").when(t["prefix"] | u["prefix"], "Conflicting prefix found")
+        return F.when(nm == "", "Empty model").otherwise(checked)
+
+    # The suffix is judged without the brand here.
+    read = {
+        "t": matching.judged(titles_, model, brand), "u": matching.judged(url, model, brand), "t_suffix": matching.suffix_conflict(titles_, model), "u_suffix": matching.suffix_conflict(url, model),
+        "nm": text.normalize_model(model), "nb": text.normalize_model(brand), "nt": text.normalize_model(titles_),
+    }
+    return lets(read, reason)
 
 
 def choose_price(candidates: Column, model: Column, reference: Column) -> Column:
