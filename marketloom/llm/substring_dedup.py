@@ -260,9 +260,9 @@ def _removal(window: int, carried: list[str]):
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """Repeated windows across documents: (doc_id, start, n), n windows from word ``start`` on. ``docs``: doc_id, text."""
+    """Repeated windows across documents: (doc_id, start, n), n windows from word ``start`` on. ``docs``: doc_id, text, perhaps more."""
     docs = docs.where(F.col("doc_id").isNotNull())
-    anchors = docs.mapInArrow(_anchors(window, phrase), "anchor bigint, doc_id bigint")
+    anchors = docs.select("doc_id", "text").mapInArrow(_anchors(window, phrase), "anchor bigint, doc_id bigint")
     recurring = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", (1 + F.floor(F.col("n") / SHARD_ROWS)).cast("int").alias("shards"))
     wanted = anchors.join(recurring, "anchor").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "shards")).alias("anchors"))
     stretches = docs.join(wanted, "doc_id").mapInArrow(_stretches(window, phrase), "anchor bigint, shard int, split boolean, doc_id bigint, start bigint, words binary")
@@ -284,11 +284,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     made = ("kept_text", "n_words", "n_removed", "__text", "__spans", "__id")
     carried = [c for c in docs.columns if c not in made]
     base = docs.select(*[F.col(f"`{c}`") for c in carried])
-    spans = repeats(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), window, phrase)
-    gathered = spans.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    known, unknown = base.where(F.col(f"`{id_col}`").isNotNull()), base.where(F.col(f"`{id_col}`").isNull())
+    # Expressions, not bare columns: so both uses of the texts plan to one and the same exchange, and they are moved once.
+    rest = [c for c in carried if c not in (id_col, text_col)]
+    packed = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
+    texts = known.select((F.col(f"`{id_col}`").cast("long") + F.lit(0)).alias("doc_id"), F.concat(F.col(f"`{text_col}`")).alias("text"), *packed)
+    gathered = repeats(texts, window, phrase).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
-    with_id = base.where(F.col(id_col).isNotNull())  # the same rows as repeats() reads, so that Spark moves the texts once for both
-    joined = with_id.join(gathered, with_id[id_col] == gathered["__id"], "left").withColumn("__spans", F.coalesce("__spans", none)).drop("__id")
-    joined = joined.unionByName(base.where(F.col(id_col).isNull()).withColumn("__spans", none)).withColumn("__text", F.col(f"`{text_col}`"))
+    back = {id_col: F.col("doc_id").cast(base.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
+    joined = texts.join(gathered, F.col("doc_id") == F.col("__id"), "left").select(*[back[c].alias(c) for c in carried], F.coalesce("__spans", none).alias("__spans"))
+    joined = joined.unionByName(unknown.withColumn("__spans", none)).withColumn("__text", F.col(f"`{text_col}`"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", kept_text string, n_words bigint, n_removed bigint"
     return joined.mapInArrow(_removal(window, carried), schema)
