@@ -4,14 +4,17 @@ Each permutation gives two signature values, its minimum and its maximum over a
 hash evaluations fill a signature. Bands of values put documents into buckets. Documents with equal shingle sets are
 one class from then on. Links inside buckets are looked for between components only: first with one pivot of each
 bucket, then with more, at last between all members that are still in different components. A bucket whose members
-are all connected needs no more comparisons, so no group is ever spread into all its pairs, and none is capped.
+are all connected needs no more comparisons. What is left of large buckets is compared in blocks, whose intersections
+come from a product of incidence matrices, so no group is ever spread into rows for its pairs, and none is capped.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +23,10 @@ from marketloom.llm.common import Words, mix, runs_hash, signed, slices, text_bu
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 64, 4  # 128 values in 32 bands: a pair at 0.75 meets with probability 0.999995
-#: Pivots per bucket in successive rounds; 0: all members.
-PIVOTS = (1, 8, 64, 0)
+#: Pivots per bucket in successive rounds; 0: all members, of buckets with at most SMALL open members.
+PIVOTS = (1, 8, 0)
+#: Larger open buckets are compared block by block inside tasks, so that only links come out.
+SMALL, BLOCK = 48, 1024
 _rng = np.random.default_rng(5)
 _MULTIPLIERS = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADDENDS = _rng.integers(0, 2**64, PERMUTATIONS, dtype=np.uint64)
@@ -112,12 +117,68 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def _pivots(members: DataFrame, k: int) -> DataFrame:
-    """Up to ``k`` members of each bucket, chosen by hash and combined before the shuffle; all of them for 0."""
+    """Up to ``k`` members of each bucket, combined before the shuffle; all of them for 0.
+
+    A member whose buckets are fullest is the most central, as the source of a group of copies is, and links with most
+    others; so the heaviest of each of ``k`` hash classes is taken, the smallest document among equals.
+    """
     if k == 0:
         return members
-    if k == 1:
-        return members.groupBy("bucket").agg(F.min(F.struct("doc", "component", "size")).alias("p")).select("bucket", "p.*")
-    return members.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(k)).alias("turn")).agg(F.min(F.struct("doc", "component", "size")).alias("p")).select("bucket", "p.*")
+    central = F.max_by(F.struct("doc", "component", "size"), F.struct("weight", (-F.col("doc")).alias("d"))).alias("p")
+    return members.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(k)).alias("turn")).agg(central).select("bucket", "p.*")
+
+
+def _block_links(percent: int):
+    """Links between different components inside each (bucket, lo, hi), whose rows come together."""
+
+    def links_of(part: pd.DataFrame) -> np.ndarray:
+        part = part.drop_duplicates("doc")
+        lengths = part["shingles"].map(len).to_numpy()
+        values, back, count = np.unique(np.concatenate(part["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(part)), lengths)
+        shared = count > 1
+        column = np.cumsum(shared) - 1
+        use = shared[back]
+        row, col = row[use], column[back[use]]
+        both = np.zeros((len(part), len(part)), np.float32)
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        for lo in range(0, int(shared.sum()), 2048):
+            a, b = np.searchsorted(col, (lo, lo + 2048))
+            m = np.zeros((len(part), 2048), np.float32)
+            m[row[a:b], col[a:b] - lo] = 1
+            both += m @ m.T
+        union = lengths[:, None] + lengths[None, :] - both
+        component = part["component"].to_numpy()
+        i, j = np.nonzero((both * 100 >= union * percent) & (component[:, None] != component[None, :]))
+        doc = part["doc"].to_numpy()
+        return np.stack([doc[i], doc[j]], 1)[doc[i] < doc[j]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in itertools.chain(batches, [None]):
+            frame = batch if held is None else held if batch is None else pd.concat([held, batch], ignore_index=True)
+            if frame is None or not len(frame):
+                continue
+            key = frame[["bucket", "lo", "hi"]].to_numpy()
+            edge = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(frame)]
+            whole = edge if batch is None else edge[:-1]  # the last group may go on
+            for a, b in zip(whole[:-1], whole[1:]):
+                if b - a > 1:
+                    yield pd.DataFrame(links_of(frame.iloc[a:b]), columns=["a", "b"])
+            held = frame.iloc[edge[-2] :].reset_index(drop=True)
+
+    return run
+
+
+def _links_of_large(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links in large open buckets. ``members``: bucket, doc, component, n (open members of the bucket)."""
+    chunks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.select("bucket", "doc", "component", chunks.alias("chunks"), F.pmod(F.xxhash64("doc"), chunks).cast("int").alias("own"))
+    dealt = own.select("bucket", "doc", "component", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "doc", "component")
+    rows = dealt.join(sets, dealt.doc == sets.doc_id).select("bucket", "lo", "hi", "doc", "component", "shingles")
+    return rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInPandas(_block_links(percent), "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,15 +195,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 75,
     # Equal sets are one class, represented by its smallest document.
     classes = sets_of_docs.groupBy("key_1", "key_2").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r")).select("key_1", "key_2", "r.*")
     rows = classes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size"), F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     buckets = written(rows.join(shared, "bucket"), "buckets")
-    involved = buckets.select("doc").distinct()
+    involved = written(buckets.groupBy("doc").agg(F.sum("n").alias("weight")), "involved")
     sets = written(base.join(involved, base.doc_id == involved.doc).select("doc_id", "text").mapInArrow(_sets(shingle), "doc_id bigint, shingles array<bigint>").dropDuplicates(["doc_id"]), "shingle-sets")
-    links, tried, labels = None, None, involved.select(F.col("doc").alias("node"), F.col("doc").alias("component"))
+    links, tried, labels = None, None, involved.select(F.col("doc").alias("node"), F.col("doc").alias("component"), "weight")
     for k in PIVOTS:
-        members = buckets.join(labels, buckets.doc == labels.node).select("bucket", "doc", "size", "component")
-        open_buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        members = buckets.join(labels, buckets.doc == labels.node).select("bucket", "doc", "size", "component", "weight")
+        open_buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("bucket", "n")
         members = members.join(open_buckets, "bucket")
+        crowded = None
+        if k == 0:
+            members = written(members, "open-members")
+            crowded, members = members.where(F.col("n") > SMALL), members.where(F.col("n") <= SMALL)
         pivots = _pivots(members, k).select("bucket", F.col("doc").alias("pivot"), F.col("component").alias("pivot_component"), F.col("size").alias("pivot_size"))
         small, large = F.least("size", "pivot_size"), F.greatest("size", "pivot_size")
         pairs = (
@@ -154,15 +219,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = 75,
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
+        if pairs.isEmpty() and (crowded is None or crowded.isEmpty()):
             continue
         tried = pairs if tried is None else tried.unionAll(pairs)
         left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         found = pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent).select("a", "b")
+        if crowded is not None:
+            found = found.unionAll(_links_of_large(crowded, sets, percent))
         links = written(found if links is None else found.unionAll(links), "links")
         joined = components(links)
-        labels = involved.join(joined, involved.doc == joined.node, "left").select(F.col("doc").alias("node"), F.coalesce("component", "doc").alias("component"))
+        labels = involved.join(joined, involved.doc == joined.node, "left").select(F.col("doc").alias("node"), F.coalesce("component", "doc").alias("component"), "weight")
     reps = classes.select("key_1", "key_2", F.col("doc_id").alias("rep"))
     by_class = reps.join(labels, reps.rep == labels.node, "left").select("key_1", "key_2", F.coalesce("component", "rep").alias("component"))
     out = signed_docs.join(by_class, ["key_1", "key_2"], "left")
