@@ -87,8 +87,12 @@ def test_minhash_edges(edge, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
-def test_minhash_chain_needs_later_pivots(spark):
-    """Each text links with the next ones only, so the component is found over many links."""
+@pytest.mark.parametrize(("small", "block"), [(48, 1024), (1, 4)])
+def test_minhash_chain_needs_later_pivots(spark, monkeypatch, small, block):
+    """Each text links with the next ones only, so the component is found over many links, in pairs or in blocks."""
+    monkeypatch.setattr(minhash, "PIVOTS", (1, 0))
+    monkeypatch.setattr(minhash, "SMALL", small)
+    monkeypatch.setattr(minhash, "BLOCK", block)
     words = [f"v{k}" for k in range(400)]
     rows = [(k, " ".join(words[4 * k : 4 * k + 100])) for k in range(40)]
     want = brute_components(rows)
