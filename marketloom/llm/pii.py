@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Detection patterns by type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
-    "secret": r"(?:(?<=[=:\"'])|(?<=[=:] ))(?<=\b(?:token|password|passwd|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']{0,1})[A-Za-z0-9+/_\-]{8,}",
+    "secret": r"(?:(?<=[=:\"'])|(?<=[=:] ))(?<=\b(?i:token|password|passwd|secret|api_key|apikey) {0,3}[=:] {0,3}[\"']{0,1})[A-Za-z0-9+/_\-]{8,}",
     "cloud_key": r"\bA(?:KIA|SIA)[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
@@ -49,13 +49,13 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _shifted(c: Column, n: Column, letters: Column) -> Column:
-    """One character moved on by ``n`` within its class: digit, lower (of the first ``letters``) or upper Latin letter; others stay."""
+def _shifted(c: Column, n: Column, letters: Column, capitals: Column) -> Column:
+    """One character moved on by ``n`` within its class: digit, lower (of the first ``letters``) or upper (of the first ``capitals``) Latin letter; others stay."""
     move = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + n, size))
     return (
         F.when(c.between("0", "9"), move("0", F.lit(10)))
         .when(c.between("a", "z"), move("a", letters))
-        .when(c.between("A", "Z"), move("A", F.lit(26)))
+        .when(c.between("A", "Z"), move("A", capitals))
         .otherwise(c)
     )
 
@@ -66,13 +66,14 @@ def _permuted(text: Column, tweak: str, key: str) -> Column:
     def one_round(state: Column, k: Column) -> Column:
         pad = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k.cast("string"), F.array_join(state["r"], "")).cast("binary"), 256)
         amount = lambda h, i: F.conv(F.substring(h, 1 + 2 * F.pmod(i, F.lit(31)), F.lit(3)), 16, 10).cast("int")
-        moved = _let(pad, lambda h: F.transform(state["l"], lambda c, i: _shifted(c, amount(h, i), state["letters"])))
-        return F.struct(state["r"].alias("l"), moved.alias("r"), state["letters"].alias("letters"))
+        moved = _let(pad, lambda h: F.transform(state["l"], lambda c, i: _shifted(c, amount(h, i), state["letters"], state["capitals"])))
+        return F.struct(state["r"].alias("l"), moved.alias("r"), *[state[name].alias(name) for name in ("letters", "capitals")])
 
     def network(t: Column) -> Column:
         chars, half = F.split(t, ""), F.floor(F.length(t) / 2).cast("int")
         letters = F.when(t.rlike("^[0-9a-f]+$"), 6).otherwise(26)  # hexadecimal stays so
-        start = F.struct(F.slice(chars, F.lit(1), half).alias("l"), F.slice(chars, half + 1, F.length(t)).alias("r"), letters.alias("letters"))
+        capitals = F.when(t.rlike("^[0-9A-F]+$"), 6).otherwise(26) if tweak == "secret" else F.lit(26)  # other types may have few letters by chance
+        start = F.struct(F.slice(chars, F.lit(1), half).alias("l"), F.slice(chars, half + 1, F.length(t)).alias("r"), letters.alias("letters"), capitals.alias("capitals"))
         return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, one_round, lambda s: F.array_join(F.concat(s["l"], s["r"]), ""))
 
     return F.when(F.length(text) > 0, _let(text, network)).otherwise("")

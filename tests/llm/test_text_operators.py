@@ -241,6 +241,16 @@ def test_pii(edge, empty, spark):
     assert pii.pseudonymise(empty, "key").count() == 0
 
 
+def test_pii_secrets_in_any_case(spark):
+    value = "9233A8ECF70B41D5E6C2" * 2
+    texts = [f'TOKEN = "{value}"', f"Api_Key: {value.lower()}", "PASSWORD=QWERTZ12345"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = pii.pseudonymise(docs, "key").orderBy("doc_id").collect()
+    assert [r.n_entities for r in got] == [1, 1, 1]
+    assert re.fullmatch('TOKEN = "[0-9A-F]{40}"', got[0].text) and re.fullmatch("Api_Key: [0-9a-f]{40}", got[1].text) and re.fullmatch("PASSWORD=[A-Z]{6}[0-9]{5}", got[2].text)
+    assert not any(old == r.text for old, r in zip(texts, got))
+
+
 def test_pii_keeps_distinct(spark):
     k = F.col("id")
     kinds = [
