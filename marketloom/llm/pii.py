@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Titles that a person's name follows.
+TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Mme|Madame|Monsieur"
 #: Detection patterns by type, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}\.)+[A-Za-z]{2,24}",
@@ -21,11 +23,11 @@ PATTERNS = {
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\w)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\w\-])",
-    "person": r"\p{Lu}(?<=\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Mme|Madame|Monsieur)\.{0,1} .)\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "person": rf"\p{{Lu}}(?<=\b(?:{TITLES})\.{{0,1}} .)\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every text with an entity passes.
-HINT = r"[0-9@=:]|M(?:r|s|iss|me|adame|onsieur)\b|Herr|Frau|Señor"
+HINT = rf"[0-9@=:]|A(?:KIA|SIA)[A-Z]|\b(?:{TITLES})\.? \p{{Lu}}"
 #: Stands around entities while a text is taken apart; texts that hold it are taken apart the slower way.
 MARK = "\u0001"
 #: Given names by gender, for surrogates of persons whose given name is among them.

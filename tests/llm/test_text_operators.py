@@ -251,6 +251,18 @@ def test_pii_secrets_in_any_case(spark):
     assert not any(old == r.text for old, r in zip(texts, got))
 
 
+def test_pii_hint_passes_every_entity(spark):
+    alone = {
+        "email": ["a@b.org"], "secret": ["token=QWERTZUIOP", "secret: qwertzuiop"], "cloud_key": ["AKIA" + "ABCD" * 4, "ASIA" + "WXYZ" * 4], "iban": ["DE89 3704 0044 0532 0130 00"],
+        "ip": ["10.0.0.1"], "phone": ["+1 (988) 555-2485"], "ssn": ["123-45-6789"], "card": ["4111 1111 1111 1111"],
+        "person": [f"{title}{dot} Emma Jones met us" for title in pii.TITLES.split("|") for dot in ("", ".")],
+    }
+    assert set(alone) == set(pii.PATTERNS)
+    texts = [t for some in alone.values() for t in some]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("text", F.col("text").rlike(pii.HINT).alias("hint"), pii.entities(F.col("text")).alias("found")).collect()
+    assert [r.text for r in rows if not r.hint or len(r.found) != 1] == []
+
+
 def test_pii_keeps_distinct(spark):
     k = F.col("id")
     kinds = [
