@@ -8,6 +8,9 @@ surrogates and equal ones to equal ones in every document, so coreference holds
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,28 @@ GIVEN_NAMES = {
 ROUNDS = 4
 
 
+def _alphabets() -> list[str]:
+    """All letters beyond ASCII, upper and lower case apart, as alphabets of one script: the plain ones of Greek and Russian, and the others by block."""
+    plain = ("αβγδεζηθικλμνξοπρσςτυφχψω", "абвгдежзийклмнопрстуфхцчшщъыьэюя")
+    found: dict = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        if unicodedata.category(c) in ("Lu", "Ll"):
+            n_plain = next((n for n, p in enumerate(plain) if c in p + p.upper()), None)
+            where = ("plain", n_plain) if n_plain is not None else (unicodedata.name(c).split()[0], code >> 7)
+            found.setdefault((unicodedata.category(c), *where), []).append(c)
+    # A letter alone in its block has none to move to there.
+    out = {k: v for k, v in found.items() if len(v) > 1}
+    for k, v in found.items():
+        if len(v) == 1:
+            out.setdefault((k[0], "rest"), []).extend(v)
+    return ["".join(v) for v in out.values()]
+
+
+#: Letters beyond ASCII, as alphabets that a letter is moved within.
+ALPHABETS = _alphabets()
+
+
 def _kind(e: Column) -> Column:
     """The type of an entity as found; context-dependent types are told by elimination."""
     out = F.when(e.contains("@"), "email")
@@ -52,12 +77,15 @@ def _let(value: Column, body) -> Column:
 
 
 def _shifted(c: Column, n: Column, letters: Column, capitals: Column) -> Column:
-    """One character moved on by ``n`` within its class: digit, lower (of the first ``letters``) or upper (of the first ``capitals``) Latin letter; others stay."""
+    """One character moved on by ``n`` within its class: digit, lower (of the first ``letters``) or upper (of the first ``capitals``) Latin letter, or letter of one of ``ALPHABETS``; others stay."""
     move = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + n, size))
+    alphabet = F.get(F.filter(F.split(F.lit(" ".join(ALPHABETS)), " "), lambda a: F.contains(a, c)), F.lit(0))
+    other = _let(alphabet, lambda a: F.substring(a, F.pmod(F.instr(a, c) - 1 + n, F.length(a)) + 1, F.lit(1)))
     return (
         F.when(c.between("0", "9"), move("0", F.lit(10)))
         .when(c.between("a", "z"), move("a", letters))
         .when(c.between("A", "Z"), move("A", capitals))
+        .when(c > "\x7f", F.coalesce(other, c))
         .otherwise(c)
     )
 
@@ -129,7 +157,7 @@ def _replaced(e: Column, kind: Column, norm: Column, key: str) -> Column:
     for names in GIVEN_NAMES.values():
         listed = F.array(*[F.lit(n) for n in names])
         turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), rest).cast("binary"), 256), 1, 6), 16, 10).cast("int")
-        named = F.when(F.array_contains(listed, given), F.element_at(listed, 1 + F.pmod(F.array_position(listed, given).cast("int") + turn, F.lit(len(names))))).otherwise(named)
+        named = F.when(F.array_contains(listed, given), F.element_at(listed, 1 + F.pmod(F.array_position(listed, given).cast("int") + F.pmod(turn, F.lit(len(names) - 1)), F.lit(len(names))))).otherwise(named)
     person = F.concat(named, tweaked(rest, "family"))
     cloud = F.concat(F.substring(e, 1, 4), tweaked(F.substring(e, 5, 16), "cloud"))
     # The pattern of blanks is put back from the original.

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -263,6 +264,22 @@ def test_pii_hint_passes_every_entity(spark):
     assert [r.text for r in rows if not r.hint or len(r.found) != 1] == []
 
 
+def test_pii_moves_every_script(spark):
+    names = ["Иванов", "Анна Петрова", "Παπαδόπουλος", "Ωμέγα Σοφός", "Müller", "Étienne Éluard", "Łukasz Żółć", "Nguyễn", "Աննա", "Öztürk Ğüneş", "Anna", *pii.GIVEN_NAMES["m"]]
+    for key in ("key", "other", "third"):
+        rows = spark.createDataFrame([(n,) for n in names], "e string").select("e", pii.surrogate(F.col("e"), key).alias("new")).collect()
+        for old, new in rows:
+            assert old != new
+            for a, b in zip(old, new):
+                if not a.isascii():  # each letter keeps its script and case
+                    assert a.isupper() == b.isupper() and unicodedata.name(a).split()[0] == unicodedata.name(b).split()[0]
+    docs = spark.createDataFrame([(k, f"Herr {n} kam") for k, n in enumerate(names)], "doc_id bigint, text string")
+    got = pii.pseudonymise(docs, "key").collect()
+    assert all(r.n_entities == 1 and names[r.doc_id] not in r.text for r in got)
+    assert min(map(len, pii.ALPHABETS)) > 1 and len(set("".join(pii.ALPHABETS))) == sum(map(len, pii.ALPHABETS))
+    assert pii.collisions(docs, "key").count() == 0
+
+
 def test_pii_keeps_distinct(spark):
     k = F.col("id")
     kinds = [
