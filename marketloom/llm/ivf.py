@@ -53,8 +53,8 @@ def fit(vectors: DataFrame, n_rows: int, seed: int = 11) -> tuple[np.ndarray, np
     return centres, rotation
 
 
-def _assigned(centres: np.ndarray, n_probed: int):
-    """Each row's nearest lists, ``n_probed`` of them."""
+def _assigned(centres: np.ndarray, n_probed: int, sizes: np.ndarray | None = None, least: int = 0):
+    """Each row's nearest lists: ``n_probed`` of them, or as many more as it takes to hold ``least`` rows by ``sizes``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,8 +63,15 @@ def _assigned(centres: np.ndarray, n_probed: int):
                 continue
             x = _matrix(frame["embedding"])
             near = (centres**2).sum(1)[None, :] - 2 * x @ centres.T
-            lists = np.argpartition(near, n_probed - 1, 1)[:, :n_probed] if n_probed < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
-            at = np.arange(len(frame) + 1, dtype=np.int32) * lists.shape[1]
+            if sizes is None or n_probed == len(centres):
+                lists = np.argpartition(near, n_probed - 1, 1)[:, :n_probed] if n_probed < len(centres) else np.tile(np.arange(len(centres)), (len(x), 1))
+                at = np.arange(len(frame) + 1, dtype=np.int32) * lists.shape[1]
+            else:
+                order = np.argsort(near, 1, kind="stable")
+                short = (np.cumsum(sizes[order], 1) < least).sum(1)  # lists that do not reach it yet
+                n_lists = np.minimum(np.maximum(n_probed, short + 1), len(centres))
+                lists = order[np.arange(len(centres))[None, :] < n_lists[:, None]]
+                at = np.concatenate([[0], np.cumsum(n_lists)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(at), pa.array(lists.ravel().astype(np.int32)))], ["vec_id", "embedding", "lists"]
             )
@@ -132,8 +139,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
     """(query_id, rank, vec_id, score): each query's ``k`` nearest found, by Euclidean distance, ties to smaller ids.
 
     ``vectors``: vec_id, embedding. Rows whose id is null, or whose vector is null, empty, zero or not finite, take no
-    part, as queries or candidates; a repeated id counts once (one of its vectors); with fewer than ``k`` candidates in
-    the probed lists, all of those are returned; an empty table gives no rows. All vectors must have one length.
+    part, as queries or candidates; a repeated id counts once (one of its vectors); with fewer than ``k`` candidates,
+    all of those are returned: beyond its share of lists, a query probes as many more as hold ``k`` others; an empty table gives no rows. All vectors must have one length.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable() & F.col("vec_id").isNotNull())
     n = good.count()
@@ -143,11 +150,15 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float = PR
     n_probed = max(1, min(len(centres), math.ceil(probed * len(centres))))
     kind = "vec_id bigint, embedding array<float>, lists array<int>"
     rows = good.mapInArrow(_assigned(centres, 1), kind).select("vec_id", "embedding", F.col("lists")[0].alias("list"))
-    sizes = rows.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))  # a row for each list: small
+    counted = rows.groupBy("list").agg(F.count("*").alias("n"), F.count_distinct("vec_id").alias("ids")).collect()  # a row for each list: small
+    held = np.zeros(len(centres), np.int64)
+    for r in counted:
+        held[r.list] = r.ids
+    sizes = vectors.sparkSession.createDataFrame([(r.list, math.ceil(r.n / BLOCK_ROWS)) for r in counted], "list int, blocks int")
     rows = rows.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     queries = good.where(is_query)
     n_slots = max(1, math.ceil(queries.count() / QUERY_ROWS))
-    probes = queries.mapInArrow(_assigned(centres, n_probed), kind).select("vec_id", "embedding", F.explode("lists").alias("list"), F.pmod(F.xxhash64("vec_id"), F.lit(n_slots)).cast("int").alias("slot"))
+    probes = queries.mapInArrow(_assigned(centres, n_probed, held, k + 1), kind).select("vec_id", "embedding", F.explode("lists").alias("list"), F.pmod(F.xxhash64("vec_id"), F.lit(n_slots)).cast("int").alias("slot"))
     sizes = sizes.select(F.col("list").alias("list"), F.col("blocks").alias("n_blocks"))
     probes = probes.join(F.broadcast(sizes), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.select(*[F.col(c).alias(c) for c in ("vec_id", "embedding", "list", "block")], F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))

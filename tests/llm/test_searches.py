@@ -73,6 +73,17 @@ def test_ivf_few_and_none(spark):
     assert ivf.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_ivf_probes_until_there_are_k(spark):
+    x = sample(101, 4)[:9]
+    got: dict = {}
+    for r in ivf.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(x)]), F.col("vec_id") >= 0, k=10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert got == {q: set(range(9)) - {q} for q in range(9)}
+    few = np.concatenate([np.zeros((995, 2)) + 1, [[50, 0], [51, 0], [52, 0], [53, 0], [54, 0]]])
+    rows = ivf.search(frame(spark, [(i, v.tolist()) for i, v in enumerate(few)]), F.col("vec_id") >= 995, k=10).groupBy("query_id").count().collect()
+    assert {r.query_id: r["count"] for r in rows} == dict.fromkeys(range(995, 1000), 10)
+
+
 def brute(weights, query_ids, k):
     out = []
     for q in query_ids:
