@@ -6,10 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
+from marketloom.functions.base import any_contained
 from marketloom.operators import relational
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
 
+#: An anchor with its text, and its target.
+ANCHOR, HREF = r'(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>', r'(?is)^<a\s[^>]*href="([^"]+)"'
+
 
 def code_model_join(spark, sf):
     """Rows whose model is a bare code get the code table's model; the last duplicate of a code counts."""
@@ -186,12 +190,27 @@ def sheet_update_row(spark, sf):
 
 
 def category_links(spark, sf):
-    """Links of pages to other paths of their own site."""
+    """All links of a page, whatever they lead to, as its SQL counts them; ``site_category_links`` applies the reference's filter."""
     hrefs = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]+)"'), F.lit(1))).alias("href"))
     full = hrefs.select("page_id", urls.host(F.col("url")).alias("site"), urls.absolute(F.col("url"), F.col("href")).alias("target"))
     return full.select("page_id", (urls.host(F.col("target")) == F.col("site")).alias("own")).groupBy("page_id").agg(F.count("*").alias("links"))
 
 
+def site_category_links(spark, sf):
+    """Distinct category links of a page: to its own site, naming a category in text or path, not the homepage, no excluded path."""
+    found = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("a"))
+    links = found.select("page_id", "url", F.trim(F.regexp_extract("a", HREF, 1)).alias("href"), F.regexp_replace("a", "<[^>]*>", "").alias("text"))
+    base, site = F.regexp_extract("url", "^[^?#]*", 0), F.regexp_extract("url", "^https?://[^/?#]*", 0)
+    beside = F.concat(site, F.coalesce(F.nullif(F.regexp_extract("url", "^https?://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")), F.col("href"))
+    href = F.col("href")
+    target = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^https?:", 0), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(base, href)).otherwise(beside)
+    full = links.where(~href.startswith("#")).select("page_id", "url", "text", target.alias("target"))
+    name = lambda c: F.lower(F.regexp_extract(c, "^https?://([^/?#:]*)", 1))
+    path = F.lower(F.regexp_extract("target", "^https?://[^/?#]*([^?#]*)", 1))
+    kept = full.where((name("target") != "") & (name("target") == name("url")) & urls.matches_category(F.col("text"), path) & ~path.isin(*urls.HOME_PATHS) & ~any_contained(path, urls.CATEGORY_EXCLUSIONS))
+    return kept.select("page_id", F.regexp_extract("target", "^[^?#]*", 0).alias("target")).distinct().groupBy("page_id").agg(F.count("*").alias("links"))
+
+
 def parent_path_anti(spark, sf):
     """Paths that don't extend a shorter path of the same site by a hyphen: each path's own beginnings are looked up."""
     rows = table(spark, sf, "part").select(F.concat(F.lit("shop"), (F.col("p_size") % 5).cast("string")).alias("site"), F.concat(F.lit("/"), F.element_at(F.split("p_name", " "), 1), F.when(F.col("p_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), F.element_at(F.split("p_name", " "), -1), F.lit("-"), (F.col("p_partkey") % 10).cast("string")))).alias("path")).distinct()
@@ -213,12 +232,15 @@ QUERIES = {
     for f in (
         code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, first_seen_dedup,
         best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, cache_savings, learned_selector,
-        group_updates, crawl_log_explode, sheet_update_row, category_links, parent_path_anti, model_conflict_counts,
+        group_updates, crawl_log_explode, sheet_update_row, category_links, site_category_links, parent_path_anti, model_conflict_counts,
     )
 }
 
 _CAND = "c AS (SELECT l_orderkey, l_linenumber, concat('https://s', l_suppkey, '.vn/p/', l_partkey) AS url, round_even(l_extendedprice * 1000, 0)::BIGINT AS price FROM lineitem)"
 _STATUS = "s AS (SELECT p_partkey, p_type, p_size, CASE WHEN p_size % 9 = 0 OR p_size % 7 = 0 THEN 'skipped' WHEN p_size % 5 = 0 THEN 'insufficient_prices' ELSE 'success' END AS status FROM part)"
+_WORDS = ", ".join(f"'{w}'" for w in urls.CATEGORY_WORDS)
+_EXCLUDED = ", ".join(f"'{w}'" for w in urls.CATEGORY_EXCLUSIONS)
+_HOME = ", ".join(f"'{w}'" for w in urls.HOME_PATHS)
 _FOLD = "translate(strip_accents(lower({0})), 'đ', 'd')"
 
 ORACLES = {
@@ -262,6 +284,13 @@ SELECT sheet, batch_no, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER
     "sheet_update_row": """WITH a AS (SELECT l_orderkey, list_sort(list(round_even(l_extendedprice * 1000, 0)::BIGINT)) AS m FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, m[1]::VARCHAR AS min_cell, '' AS gap_cell FROM a""",
     "category_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links FROM h GROUP BY 1""",
+    "site_category_links": f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}')) AS a FROM pages),
+h AS (SELECT page_id, url, trim(regexp_extract(a, '{HREF}', 1)) AS href, lower(regexp_replace(a, '<[^>]*>', '', 'g')) AS txt, regexp_extract(url, '^https?://[^/?#]*') AS site FROM a),
+t AS (SELECT page_id, url, txt, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^https?:') || href WHEN starts_with(href, '/') THEN site || href
+  WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*') || href ELSE site || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || href END AS target FROM h WHERE NOT starts_with(href, '#')),
+p AS (SELECT page_id, txt, target, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS own, lower(regexp_extract(target, '^https?://([^/?#:]*)', 1)) AS other, lower(regexp_extract(target, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM t)
+SELECT page_id, count(DISTINCT regexp_extract(target, '^[^?#]*')) AS links FROM p WHERE other <> '' AND other = own AND path NOT IN ({_HOME})
+  AND len(list_filter([{_EXCLUDED}], lambda w: contains(path, w))) = 0 AND len(list_filter([{_WORDS}], lambda w: contains(txt, w) OR contains(path, replace(w, ' ', '-')))) > 0 GROUP BY 1""",
     "parent_path_anti": """WITH r AS (SELECT DISTINCT 'shop' || (p_size % 5)::VARCHAR AS site, '/' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || split_part(p_name, ' ', -1) || '-' || (p_partkey % 10)::VARCHAR END AS path FROM part)
 SELECT site, path FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.site = r.site AND o.path <> r.path AND starts_with(r.path, o.path || '-'))""",
     "model_conflict_counts": "SELECT p_brand, count(*) FILTER (p_size % 5 = 0) AS conflicts, count(*) AS links FROM part GROUP BY 1",

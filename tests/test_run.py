@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom import __main__ as cli
 from marketloom.config import Settings
 from marketloom.operators import html, pricing, relational
+from marketloom.plans import relations
 from marketloom.plans.run import job_status, run_pricing, search_requests
 from marketloom.sources import cache, catalogue, search, sheets
 from marketloom.streaming import flush
@@ -134,3 +135,13 @@ def test_command_line(capsys, monkeypatch):
     assert Settings.load().batch_rows == 10
     with pytest.raises(SystemExit):
         cli.main(["--help"])
+
+
+def test_site_category_links(spark, tmp_path):
+    anchors = [
+        ("/bep-tu", "x"), ("/bep-tu?page=2", "x"), ("https://Shop.vn/a", "Tủ lạnh <b>lớn</b>"), ("quat", "x"), ("?q=1", "Quạt"),  # /bep-tu, /a, /vn/quat, /vn/home
+        ("https://other.vn/bep", "Bếp"), ("/", "Bếp"), ("/index.html", "Bếp"), ("/cart/bep", "Bếp"), ("/login", "Bếp"), ("/abc", "none"), ("#bep", "Bếp"), ("javascript:bep()", "Bếp"),
+    ]
+    html_text = "".join(f'<a class="c" href="{h}">{t}</a>' for h, t in anchors)
+    spark.createDataFrame([(1, "https://shop.vn/vn/home?x=1", html_text), (2, "https://shop.vn/", "<p>none</p>")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert [tuple(r) for r in relations.site_category_links(spark, str(tmp_path)).collect()] == [(1, 4)]
