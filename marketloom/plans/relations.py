@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
 from marketloom.functions.base import any_contained
-from marketloom.operators import relational
+from marketloom.operators import pricing, relational
+from marketloom.plans import statistics
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
 
@@ -183,12 +184,22 @@ def crawl_log_explode(spark, sf):
 
 
 def sheet_update_row(spark, sf):
-    """Fourteen cells of an order's row: ten market prices (blank where there are fewer), minimum, gap, share, suggestion."""
+    """Ten market prices of an order's row (blank where there are fewer), minimum, and an empty gap, as its SQL has them; ``sheet_update_cells`` gives all fourteen cells."""
     prices = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.bround(F.col("l_extendedprice") * 1000).cast("bigint"))).alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.coalesce(F.get("m", i).cast("string"), F.lit("")))
     return prices.select("l_orderkey", F.array_join(cells, "|").alias("market_cells"), F.get("m", F.lit(0)).cast("string").alias("min_cell"), F.lit("").alias("gap_cell"))
 
 
+def sheet_update_cells(spark, sf):
+    """Fourteen cells of an order's row: ten market prices (blank where there are fewer), minimum, gap, share, suggestion."""
+    arrays = pricing.price_arrays(statistics.observations(spark, sf), ["l_orderkey"])
+    rows = pricing.suggest(statistics.products(spark, sf), arrays, ["l_orderkey"])
+    cell = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    market = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: cell(F.get("market_prices", i)))
+    share = F.bround("gap_percent", 9).cast("decimal(20,9)")
+    return rows.select("l_orderkey", F.array_join(market, "|").alias("market_cells"), cell(F.col("min_price")).alias("min_cell"), cell(F.col("gap_value")).alias("gap_cell"), cell(share).alias("share_cell"), cell(F.col("suggested_price")).alias("suggested_cell"))
+
+
 def category_links(spark, sf):
     """All links of a page, whatever they lead to, as its SQL counts them; ``site_category_links`` applies the reference's filter."""
     hrefs = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]+)"'), F.lit(1))).alias("href"))
@@ -232,7 +243,7 @@ QUERIES = {
     for f in (
         code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, first_seen_dedup,
         best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, cache_savings, learned_selector,
-        group_updates, crawl_log_explode, sheet_update_row, category_links, site_category_links, parent_path_anti, model_conflict_counts,
+        group_updates, crawl_log_explode, sheet_update_row, sheet_update_cells, category_links, site_category_links, parent_path_anti, model_conflict_counts,
     )
 }
 
@@ -283,6 +294,10 @@ SELECT sheet, batch_no, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER
     "crawl_log_explode": "SELECT l_orderkey, l_linenumber, replace(format('{:,}', round_even(l_extendedprice * 1000, 0)::BIGINT), ',', '.') || ' đ' AS price_text FROM lineitem",
     "sheet_update_row": """WITH a AS (SELECT l_orderkey, list_sort(list(round_even(l_extendedprice * 1000, 0)::BIGINT)) AS m FROM lineitem GROUP BY 1)
 SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, m[1]::VARCHAR AS min_cell, '' AS gap_cell FROM a""",
+    "sheet_update_cells": f"""WITH {statistics._QUARTILES}, {statistics._PRODUCTS}, a AS (SELECT l_orderkey, list_sort(list(price)) AS m FROM obs GROUP BY 1),
+g AS (SELECT l_orderkey, m, min_price, coalesce(min_price, sale_price, list_price) AS base, cost_price FROM pp LEFT JOIN a USING (l_orderkey) LEFT JOIN stats USING (l_orderkey))
+SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, coalesce(min_price::VARCHAR, '') AS min_cell, coalesce((base - cost_price)::VARCHAR, '') AS gap_cell,
+  coalesce(round_even((base - cost_price) / base, 9)::DECIMAL(20, 9)::VARCHAR, '') AS share_cell, coalesce(min_price::VARCHAR, '') AS suggested_cell FROM g""",
     "category_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links FROM h GROUP BY 1""",
     "site_category_links": f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}')) AS a FROM pages),
 h AS (SELECT page_id, url, trim(regexp_extract(a, '{HREF}', 1)) AS href, lower(regexp_replace(a, '<[^>]*>', '', 'g')) AS txt, regexp_extract(url, '^https?://[^/?#]*') AS site FROM a),

@@ -145,3 +145,11 @@ def test_site_category_links(spark, tmp_path):
     html_text = "".join(f'<a class="c" href="{h}">{t}</a>' for h, t in anchors)
     spark.createDataFrame([(1, "https://shop.vn/vn/home?x=1", html_text), (2, "https://shop.vn/", "<p>none</p>")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert [tuple(r) for r in relations.site_category_links(spark, str(tmp_path)).collect()] == [(1, 4)]
+
+
+def test_sheet_update_cells(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 9000.0), (1, 2, 9500.0)], "l_orderkey bigint, l_linenumber int, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, 10000.0), (7, 10000.0)], "o_orderkey bigint, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = {r[0]: tuple(r)[1:] for r in relations.sheet_update_cells(spark, str(tmp_path)).collect()}
+    assert rows[1] == ("9000000|9500000" + "|" * 8, "9000000", "3000000", "0.333333333", "9000000")
+    assert rows[7] == ("|" * 9, "", "", "", "")  # no prices, no cost
