@@ -85,11 +85,17 @@ def keyword_except(spark, sf):
 
 
 def candidate_union(spark, sf):
-    """Discovered links and those of the sitemaps, each once."""
+    """Discovered links and those of the sitemaps, each once, where the sources are cut by id as in its SQL; ``candidate_union_whole`` covers all of ``part``."""
     u = _product_urls(spark, sf)
     return u.where("p_partkey % 4 <= 1").select("url").union(u.where("p_partkey % 4 = 1 OR p_size % 5 = 0").select("url")).distinct()
 
 
+def candidate_union_whole(spark, sf):
+    """Discovered links (smaller sizes) and those of the sitemaps (larger or unknown ones), which overlap: every link is in one at least."""
+    u = _product_urls(spark, sf)
+    return u.where("p_size <= 30").select("url").union(u.where("p_size >= 20 OR p_size IS NULL").select("url")).distinct()
+
+
 def first_seen_dedup(spark, sf):
     seen = relational.first_seen(table(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["event_id", "value"])
     return seen.select("user_id", "event_type", "event_id", "value")
@@ -241,7 +247,7 @@ def model_conflict_counts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, first_seen_dedup,
+        code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, candidate_union_whole, first_seen_dedup,
         best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, cache_savings, learned_selector,
         group_updates, crawl_log_explode, sheet_update_row, sheet_update_cells, category_links, site_category_links, parent_path_anti, model_conflict_counts,
     )
@@ -272,6 +278,9 @@ SELECT f.field, coalesce((SELECT idx FROM m WHERE m.field = f.field ORDER BY pos
     "keyword_except": """WITH m AS (SELECT p_partkey, p_brand AS b, 'KX' || p_partkey::VARCHAR AS base FROM part)
 SELECT DISTINCT p_partkey, unnest(['"' || base || 'A"', b || ' ' || base || 'A giá', b || ' ' || base || 'A site:.vn', b || ' ' || base || 'A khuyến mãi', b || ' ' || base, base, '"' || base || '"', b || ' ' || base || ' giá', lower(base) || 'a', b || ' ' || lower(base) || 'a']) AS keyword FROM m""",
     "candidate_union": "WITH u AS (SELECT p_partkey, p_size, p_partkey % 4 AS r, concat(replace(p_name, ' ', '-'), '-di-', (p_partkey + 1000)::VARCHAR, CASE WHEN p_size % 5 = 0 THEN '-plus' ELSE '' END) AS slug FROM part) SELECT DISTINCT CASE r WHEN 0 THEN concat('https://shop.vn/san-pham/', slug) WHEN 1 THEN concat('https://www.nguyenkim.com/', slug, '.html') WHEN 2 THEN concat('https://shop.vn/collections/', slug) ELSE concat('https://google.com/search?q=', slug) END AS url FROM u WHERE r <= 1 OR p_size % 5 = 0",
+    "candidate_union_whole": """WITH u AS (SELECT p_partkey % 4 AS r, p_size, concat(replace(p_name, ' ', '-'), '-di-', (p_partkey + 1000)::VARCHAR, CASE WHEN p_size % 5 = 0 THEN '-plus' ELSE '' END) AS slug FROM part),
+l AS (SELECT p_size, CASE r WHEN 0 THEN concat('https://shop.vn/san-pham/', slug) WHEN 1 THEN concat('https://www.nguyenkim.com/', slug, '.html') WHEN 2 THEN concat('https://shop.vn/collections/', slug) ELSE concat('https://google.com/search?q=', slug) END AS url FROM u)
+SELECT url FROM l WHERE p_size <= 30 UNION SELECT url FROM l WHERE p_size >= 20 OR p_size IS NULL""",
     "first_seen_dedup": "SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
     "best_offer_dedup": """WITH o AS (SELECT l_partkey, round_even(l_extendedprice * 100, 0)::BIGINT AS price, l_returnflag = 'R' AS is_original, l_orderkey * 10 + l_linenumber AS position FROM lineitem)
 SELECT l_partkey, price, is_original, position FROM o QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY is_original, CASE WHEN is_original THEN 0 WHEN price > 0 THEN price ELSE 4611686018427387904 END, position) = 1""",

@@ -153,3 +153,10 @@ def test_sheet_update_cells(spark, tmp_path):
     rows = {r[0]: tuple(r)[1:] for r in relations.sheet_update_cells(spark, str(tmp_path)).collect()}
     assert rows[1] == ("9000000|9500000" + "|" * 8, "9000000", "3000000", "0.333333333", "9000000")
     assert rows[7] == ("|" * 9, "", "", "", "")  # no prices, no cost
+
+
+def test_candidate_union_whole(spark):
+    sf = "/root/testdata/sf0.001"
+    every = relations._product_urls(spark, sf).select("url").distinct()
+    found = relations.candidate_union_whole(spark, sf)
+    assert found.count() == every.count() and every.join(found, "url", "left_anti").count() == 0
