@@ -1,9 +1,9 @@
 """Exact top-k by inner product with MaxScore, over shards of rows.
 
 A vector's components are the weights of its terms. In a shard, each query's terms are ordered by how much they can
-add to any row there (from the shard's extremes for each term). The terms whose bounds together can't lift a row over
-the query's k-th best score are non-essential: rows are scored on the essential ones, and the others are probed, one
-after another, only for rows that still compete. Results of all shards are merged.
+add to any row there (from the shard's extremes for each term). Rows are scored on the first quarter of these terms, a
+fixed share instead of MaxScore's split by score bounds; the others are probed, eight at a time, only for rows whose
+bound can still reach the query's k-th best score, so results are exact. Results of all shards are merged.
 """
 
 from __future__ import annotations
