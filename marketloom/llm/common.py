@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text hashed at once inside a task; bounds the working arrays.
 SLICE_BYTES = 1 << 20
+#: Partitions that blocks of vectors are dealt over, at most; more blocks share partitions.
+MOST_PARTITIONS = 20_000
 
 #: The bytes that separate words, 0x20 and 0x09 to 0x0D.
 SEPARATORS = np.zeros(256, dtype=bool)
@@ -27,9 +30,13 @@ _BASE_BYTES, _BASE_WORDS, _BASE_WORDS_2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, else (tests only) a new local one."""
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``. Only a local session may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or _own_dir()).rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = _own_dir()
+    return found.rstrip("/")
 
 
 @lru_cache(maxsize=1)
@@ -37,17 +44,96 @@ def _own_dir() -> str:
     return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marketloom/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marketloom/{name}-{uuid.uuid4().hex}"
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder and read back: cuts lineage and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's path and file system for ``path``."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a table written to ``path`` and read back: cuts lineage and survives lost executors."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder."""
+    return stored(df, scratch_path(df.sparkSession, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    hadoop, fs = file_system(spark, path)
+    fs.delete(hadoop, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application, once its results are written elsewhere."""
+    remove(spark, _scratch_root(spark))
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def vector_rows(column: pa.Array) -> np.ndarray:
+    """A list column of vectors of one length as a matrix of doubles (of longs for whole numbers)."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = flat.astype(np.int64 if flat.dtype.kind in "iu" else np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+def same_length(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """The vectors of the most frequent length (the greatest of several), and how many they are."""
+    found = vectors.groupBy(F.size(column).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
+    return (vectors.where(F.size(column) == found["size"]), found["n"]) if found else (vectors, 0)
+
+
+def met(rows: DataFrame, queries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
+    """Rows and queries with equal ``keys`` brought together in about ``blocks`` partitions, a group's rows before its queries.
+
+    A row is moved once; only queries are copied. A group's queries stream past its rows, so however many they are,
+    a task holds one block of rows.
+    """
+    both = rows.withColumn("asks", F.lit(False)).unionByName(queries.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    least = 3 * rows.sparkSession.sparkContext.defaultParallelism  # few rows still mean much work
+    return both.repartition(max(least, min(blocks, MOST_PARTITIONS)), *keys).sortWithinPartitions(*keys, "asks")
+
+
+def meetings(batches: Iterator[pa.RecordBatch], keys: list[str], size: int) -> Iterator[tuple[pa.Table, pa.RecordBatch]]:
+    """Each group's rows with its queries, at most ``size`` of these at a time, from batches sorted by ``met``."""
+    current, rows, block = None, [], None
+    for batch in batches:
+        sorted_by = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*keys, "asks")], 1)
+        edge = [0, *(np.flatnonzero((sorted_by[1:] != sorted_by[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edge[:-1], edge[1:]):
+            if a == b:
+                continue
+            *key, asks = sorted_by[a].tolist()
+            if key != current:
+                current, rows, block = key, [], None
+            if not asks:
+                rows.append(batch.slice(a, b - a))
+            elif rows:
+                block = block if block is not None else pa.Table.from_batches(rows)
+                for lo in range(a, b, size):
+                    yield block, batch.slice(lo, min(size, b - lo))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that near values land far apart."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
