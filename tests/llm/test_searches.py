@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from marketloom.llm import exact_topk, ivf
+from marketloom.llm import exact_topk, ivf, queries
 
 VECTORS = "vec_id bigint, embedding array<float>, label int, score double, list int"
 
@@ -40,19 +40,32 @@ def test_ivf_recall_scores_and_edges(spark):
     assert [v for _, v, _ in sorted(got[100])] == list(range(101, 111))  # ties to smaller ids
 
 
-def test_ivf_registered_recall(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
-    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
-    found = ivf.search(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, k=10).collect()
+def recall(x, ids, found, step):
     got: dict = {}
     for r in found:
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = 0
-    for q in ids[ids % 100 == 0]:
+    for q in ids[ids % step == 0]:
         d = ((x - x[ids == q]) ** 2).sum(1)
         d[ids == q] = np.inf
         hits += len(got[q] & set(ids[np.lexsort((ids, d))[:10]].tolist()))
-    assert hits / (10 * len(got)) >= 0.9
+    return hits / (10 * len(got))
+
+
+def test_ivf_registered_recall(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = table.collect()
+    x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
+    found = queries.op8_ivf_search(spark, "/root/testdata/sf0.1").collect()
+    assert recall(x, ids, found, 100) >= 0.9
+    # Clustered vectors need few lists: the share follows the data.
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 5
+    y = centres[rng.integers(0, 40, 5000)] + rng.normal(size=(5000, 16)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id bigint, embedding array<double>")
+    assert recall(y, np.arange(5000), ivf.search(df, F.col("vec_id") % 100 == 0).collect(), 100) >= 0.9
+    index = ivf.fit(df, 5000, 10, None)
+    assert index.n_probed < 0.3 * len(index.centres)
 
 
 def test_adaptive_scan_drops_pairs():
@@ -61,16 +74,33 @@ def test_adaptive_scan_drops_pairs():
     rows = centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 64)) * 0.3
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     queries = rows[:50]
-    qi, ri, work = ivf.scan_block(queries, rows, rotation, 10, np.arange(50))
+    qi, ri, work = ivf.scan_block(queries @ rotation, rows @ rotation, 10, np.arange(50))
     assert work < 0.5 * 50 * 2000 * 4  # of four steps of dimensions for all pairs
     assert not (qi == ri).any()
+    known = np.partition(((queries[:, None] - rows[None, :]) ** 2).sum(2), 10, 1)[:, 10]
+    assert ivf.scan_block(queries @ rotation, rows @ rotation, 10, np.arange(50), known)[2] < work
 
 
 def test_ivf_few_and_none(spark):
-    df = frame(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (100, [3.0, 2.0])])
-    rows = ivf.search(df, F.col("vec_id") % 100 == 0, k=10, probed=1.0).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 1), (0, 2, 100), (100, 1, 0), (100, 2, 1)] or len(rows) == 4
+    df = frame(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (100, [3.0, 2.0]), (200, [1.0]), (300, [1.0, 2.0, 3.0])])
+    rows = ivf.search(df, F.col("vec_id") % 100 == 0, k=10).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in rows) == [(0, 1, 1), (0, 2, 100), (100, 1, 0), (100, 2, 1)]
     assert ivf.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+    assert ivf.search(df.where("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_ivf_is_complete_at_every_small_size(spark):
+    x = np.random.default_rng(6).normal(size=(50, 4))
+    for n in (1, 2, 5, 9, 10, 11, 12, 23, 50):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:n])], "vec_id bigint, embedding array<double>")
+        counts = {r.query_id: r["count"] for r in ivf.search(df, F.col("vec_id") >= 0, k=10).groupBy("query_id").count().collect()}
+        assert counts == ({q: min(10, n - 1) for q in range(n)} if n > 1 else {})
+
+
+def test_ivf_repeated_ids(spark):
+    df = frame(spark, [(0, [1.0, 2.0]), (0, [9.0, 9.0]), (1, [1.0, 2.5]), (1, [1.0, 2.5]), (2, [1.0, 4.0])])
+    rows = ivf.search(df, F.col("vec_id") == 0, k=10).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 0.5), (2, 2, 2.0)]
 
 
 def test_ivf_probes_until_there_are_k(spark):
@@ -95,9 +125,10 @@ def brute(weights, query_ids, k):
 def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "SHARD_ROWS", 100)
     monkeypatch.setattr(exact_topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(exact_topk, "FIRST_ROWS", 50)
     x = np.floor(256 * sample().astype(float)).astype(int)
     weights = {i: v.tolist() for i, v in enumerate(x)}
-    rows = [*weights.items(), (None, [1] * 16), (2000, None), (7, weights[7])]
+    rows = [*weights.items(), (None, [1] * 16), (2000, None), (2001, [1] * 15), (2002, [None] * 16), (2003, []), (7, weights[7])]
     df = spark.createDataFrame([(i, w, 1) for i, w in rows], "vec_id bigint, weights array<bigint>, score int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.search(df, F.col("vec_id") % 50 == 0, k=5).collect())
     assert got == brute(weights, range(0, 600, 50), 5)
@@ -105,10 +136,30 @@ def test_exact_topk(spark, monkeypatch):
     assert len(exact_topk.search(df.where("vec_id < 3"), F.col("vec_id") % 50 == 0).collect()) == 2
 
 
-def test_maxscore_reads_less():
+def test_exact_topk_of_large_weights(spark):
+    """Scores beyond a double's whole numbers."""
+    x = np.random.default_rng(2).integers(-(2**24) + 1, 2**24, (60, 64))
+    weights = {i: v.tolist() for i, v in enumerate(x)}
+    df = spark.createDataFrame(list(weights.items()), "vec_id bigint, weights array<bigint>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.search(df, F.col("vec_id") % 50 == 0, k=5).collect())
+    assert got == brute(weights, (0, 50), 5)
+
+
+def test_maxscore_splits_by_bounds():
     rng = np.random.default_rng(1)
     rows = (rng.normal(size=(4000, 64)) * 10).astype(np.int64)
     query = (rng.normal(size=64) * np.linspace(30, 0.1, 64)).astype(np.int64)
-    found, score, read = exact_topk.maxscore(query, rows, rows.max(0), rows.min(0), 5, -1)
-    assert set(np.argsort(-(rows @ query), kind="stable")[:5]) <= set(found.tolist())
-    assert read < 0.8 * rows.size
+    scores = np.sort(rows @ query)
+    high, low = rows.max(0), rows.min(0)
+    reads, sizes = [], []
+    for need in (exact_topk.NONE, float(scores[2000]), float(scores[-100]), float(scores[-5])):
+        found, score, read = exact_topk.maxscore(query, rows.T, high, low, 5, -1, need)
+        assert set(np.argsort(-(rows @ query), kind="stable")[:5]) <= set(found.tolist())
+        assert (score == rows[found] @ query).all()
+        most, least = np.maximum(query * high, query * low), np.minimum(query * high, query * low)
+        order = np.argsort(least - most, kind="stable")
+        sizes.append(exact_topk.essential_terms(least[order], most[order], need))
+        reads.append(read)
+    assert sizes == sorted(sizes, reverse=True) and 64 == sizes[0] > sizes[1] > sizes[3] > 0  # fewer essential terms as the threshold rises
+    assert reads[0] == rows.size > reads[1] > reads[3] and reads[3] < 0.6 * rows.size
+    assert exact_topk.maxscore(query, rows.T, high, low, 5, -1, float("inf"))[2] == 0  # a shard that can't compete is not read
