@@ -1,19 +1,24 @@
 """Surrogates for personal data, by DataFrame expressions alone.
 
 Every detected entity is replaced by another of the same type, script, format and (for names after a title) gender.
-Replacement is a keyed Feistel permutation over the entity's own characters: it maps distinct entities to distinct
-surrogates and equal ones to equal ones in every document, so coreference holds without a lookup table.
-``collisions`` checks that over a whole table.
+Replacement is a keyed permutation of all strings with the entity's pattern of character classes, made so that nothing
+maps to itself: it takes distinct entities to distinct surrogates, and equal ones to equal ones in every document, so
+coreference holds without a lookup table. Whether it did is checked over a whole table's entities; a key under which
+two of them met would be replaced by one derived from it.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.llm.common import free_name, written
+
 #: Titles that a person's name follows.
 TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Mme|Madame|Monsieur"
 #: Detection patterns by type, tried in this order at each place.
@@ -35,10 +40,21 @@ HINT = rf"[0-9@=:]|A(?:KIA|SIA)[A-Z]|\b(?:{TITLES})\.? \p{{Lu}}"
 MARK = "\u0001"
 #: Given names by gender, for surrogates of persons whose given name is among them.
 GIVEN_NAMES = {
-    "f": ("Anna", "Clara", "Elena", "Emma", "Julia", "Laura", "Maria", "Marta", "Nora", "Paula", "Rosa", "Sara", "Sofia", "Teresa", "Vera", "Alice"),
-    "m": ("Adam", "Bruno", "Carlos", "Daniel", "David", "Felix", "Hugo", "Ivan", "Jakob", "Karl", "Leon", "Marco", "Oscar", "Paul", "Simon", "Victor"),
-}
-ROUNDS = 4
+    "f": (
+        "Alice", "Amelia", "Anna", "Ana", "Beatrice", "Camille", "Carmen", "Charlotte", "Chloe", "Clara", "Claire", "Elena", "Elizabeth", "Emily", "Emma", "Eva", "Frida", "Grace", "Greta", "Hannah",
+        "Heidi", "Helena", "Ingrid", "Isabel", "Jane", "Jeanne", "Jennifer", "Julia", "Karin", "Laura", "Lena", "Linda", "Louise", "Lucia", "Manon", "Margaret", "Maria", "Marie", "Marta", "Mary",
+        "Nora", "Olivia", "Patricia", "Paula", "Pilar", "Rosa", "Ruth", "Sandra", "Sara", "Sarah", "Sofia", "Sophie", "Susan", "Teresa", "Ursula", "Vera", "Victoria", "Yvonne", "Zoe",
+    ),
+    "m": (
+        "Adam", "Alexander", "Andrew", "Antonio", "Arthur", "Benjamin", "Bernard", "Bruno", "Carlos", "Charles", "Christian", "Daniel", "David", "Diego", "Dieter", "Edward", "Emil", "Felix", "Fernando", "Frank",
+        "Frederic", "George", "Gustav", "Hans", "Henri", "Hugo", "Ivan", "Jack", "Jacques", "Jakob", "James", "Javier", "John", "Jonas", "Juan", "Julien", "Karl", "Leon", "Louis", "Luis",
+        "Marco", "Mark", "Martin", "Max", "Michael", "Miguel", "Oliver", "Oscar", "Otto", "Paul", "Pedro", "Peter", "Pierre", "Robert", "Simon", "Stefan", "Thomas", "Victor", "William",
+    ),
+}
+#: Country calling codes are 1, 7, these of two digits, and else three digits.
+CALLING_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Rounds of the network on either side of the shift; steps that keep unlisted names off the lists; keys tried before giving up.
+ROUNDS, WALK, KEYS = 3, 8, 5
 
 
 def _alphabets() -> list[str]:
@@ -63,125 +79,150 @@ def _alphabets() -> list[str]:
 ALPHABETS = _alphabets()
 
 
-def _kind(e: Column) -> Column:
+_fresh = itertools.count()
+
+
+def _let(value: str, body: Callable[[str], str]) -> str:
+    """``body`` of a name for ``value``, which is so worked out once. Expressions are SQL text here, as a plan of this depth is built far faster from one text."""
+    name = f"v{next(_fresh)}"
+    return f"element_at(transform(array({value}), {name} -> {body(name)}), 1)"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _kind(e: str) -> str:
     """The type of an entity as found; context-dependent types are told by elimination."""
-    out = F.when(e.contains("@"), "email")
-    for name in ("cloud_key", "iban", "ip", "phone", "ssn", "card"):
-        out = out.when(e.rlike("^(?:" + PATTERNS[name] + ")$"), name)
-    return out.when(e.rlike(r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$"), "person").otherwise("secret")
+    known = " ".join(f"WHEN {e} RLIKE {_text('^(?:' + PATTERNS[name] + ')$')} THEN '{name}'" for name in ("cloud_key", "iban", "ip", "phone", "ssn", "card"))
+    person = _text(r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$")
+    return f"CASE WHEN contains({e}, '@') THEN 'email' {known} WHEN {e} RLIKE {person} THEN 'person' ELSE 'secret' END"
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: Classes of ASCII characters; in secrets hexadecimal letters stay such, so that hexadecimal strings and others can't meet.
+CLASSES, SECRET_CLASSES = ("09", "az", "AZ"), ("09", "af", "gz", "AF", "GZ")
 
 
-def _shifted(c: Column, n: Column, letters: Column, capitals: Column) -> Column:
-    """One character moved on by ``n`` within its class: digit, lower (of the first ``letters``) or upper (of the first ``capitals``) Latin letter, or letter of one of ``ALPHABETS``; others stay."""
-    move = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + n, size))
-    alphabet = F.get(F.filter(F.split(F.lit(" ".join(ALPHABETS)), " "), lambda a: F.contains(a, c)), F.lit(0))
-    other = _let(alphabet, lambda a: F.substring(a, F.pmod(F.instr(a, c) - 1 + n, F.length(a)) + 1, F.lit(1)))
-    return (
-        F.when(c.between("0", "9"), move("0", F.lit(10)))
-        .when(c.between("a", "z"), move("a", letters))
-        .when(c.between("A", "Z"), move("A", capitals))
-        .when(c > "\x7f", F.coalesce(other, c))
-        .otherwise(c)
-    )
+def _shifted(c: str, n: str, classes: tuple[str, ...], alphabets: str) -> str:
+    """One character moved on by ``n`` within its class (first and last ASCII character of each), or within its alphabet; others stay."""
+    cases = [f"WHEN {c} BETWEEN '{x}' AND '{y}' THEN char({ord(x)} + pmod(ascii({c}) - {ord(x)} + {n}, {ord(y) - ord(x) + 1}))" for x, y in classes]
+    own = _let(f"get(filter({alphabets}, a -> contains(a, {c})), 0)", lambda a: f"substring({a}, pmod(instr({a}, {c}) - 1 + {n}, length({a})) + 1, 1)")
+    return f"CASE {' '.join(cases)} WHEN ascii({c}) > 127 THEN coalesce({own}, {c}) ELSE {c} END"
+
 
+def _permuted(text: str, tweak: str, key: str, alphabets: str) -> str:
+    """A keyed permutation of all strings with this pattern of character classes, in which none that holds a letter or digit stays.
 
-def _permuted(text: Column, tweak: str, key: str) -> Column:
-    """A keyed permutation of all strings with this pattern of character classes (an unbalanced Feistel network)."""
+    A Feistel network, then each character moved on by one, then the network undone: as the middle step leaves nothing
+    in place, neither does the whole.
+    """
+    classes = SECRET_CLASSES if tweak == "secret" else CLASSES
+    turns = f"array({', '.join(map(str, range(ROUNDS)))})"
 
-    def one_round(state: Column, k: Column) -> Column:
-        pad = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), k.cast("string"), F.array_join(state["r"], "")).cast("binary"), 256)
-        amount = lambda h, i: F.conv(F.substring(h, 1 + 2 * F.pmod(i, F.lit(31)), F.lit(3)), 16, 10).cast("int")
-        moved = _let(pad, lambda h: F.transform(state["l"], lambda c, i: _shifted(c, amount(h, i), state["letters"], state["capitals"])))
-        return F.struct(state["r"].alias("l"), moved.alias("r"), *[state[name].alias(name) for name in ("letters", "capitals")])
+    def moved(chars: str, by: str, k: str, sign: str) -> str:
+        """``chars`` moved by amounts that depend on the key, the round and ``by``."""
+        pad = f"sha2(cast(concat_ws('|', {_text(key)}, '{tweak}', {k}, array_join({by}, '')) AS binary), 256)"
+        amount = lambda h: f"{sign}(ascii(substring({h}, 1 + 2 * pmod(i, 31), 1)) * 16 + ascii(substring({h}, 2 + 2 * pmod(i, 31), 1)))"
+        return _let(pad, lambda h: f"transform({chars}, (c, i) -> {_shifted('c', amount(h), classes, alphabets)})")
 
-    def network(t: Column) -> Column:
-        chars, half = F.split(t, ""), F.floor(F.length(t) / 2).cast("int")
-        letters = F.when(t.rlike("^[0-9a-f]+$"), 6).otherwise(26)  # hexadecimal stays so
-        capitals = F.when(t.rlike("^[0-9A-F]+$"), 6).otherwise(26) if tweak == "secret" else F.lit(26)  # other types may have few letters by chance
-        start = F.struct(F.slice(chars, F.lit(1), half).alias("l"), F.slice(chars, half + 1, F.length(t)).alias("r"), letters.alias("letters"), capitals.alias("capitals"))
-        return F.aggregate(F.array(*[F.lit(k) for k in range(ROUNDS)]), start, one_round, lambda s: F.array_join(F.concat(s["l"], s["r"]), ""))
+    def network(t: str) -> str:
+        half = f"cast(floor(length({t}) / 2) AS int)"
+        start = f"named_struct('l', slice(split({t}, ''), 1, {half}), 'r', slice(split({t}, ''), {half} + 1, length({t})))"
+        there = f"named_struct('l', s.r, 'r', {moved('s.l', 's.r', 'k', '')})"
+        back = f"named_struct('l', {moved('s.r', 's.l', 'k', '-')}, 'r', s.l)"
+        on = lambda side: f"transform({side}, c -> {_shifted('c', '1', classes, alphabets)})"
+        turned = f"aggregate({turns}, {start}, (s, k) -> {there}, s -> named_struct('l', {on('s.l')}, 'r', {on('s.r')}))"
+        return f"aggregate(reverse({turns}), {turned}, (s, k) -> {back}, s -> array_join(concat(s.l, s.r), ''))"
 
-    return F.when(F.length(text) > 0, _let(text, network)).otherwise("")
+    return _let(text, lambda t: f"CASE WHEN length({t}) > 0 THEN {network(t)} ELSE '' END")
 
 
-def _luhn_digit(digits: Column) -> Column:
+def _luhn_digit(digits: str) -> str:
     """The check digit for a string of digits."""
-    total = F.aggregate(
-        F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 1, d.cast("int")).otherwise(F.floor(d.cast("int") * 2 / 10).cast("int") + d.cast("int") * 2 % 10)),
-        F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)),
-    )
-    return F.pmod(10 - total % 10, F.lit(10))
+    total = f"aggregate(transform(split(reverse({digits}), ''), (d, i) -> IF(i % 2 = 1, cast(d AS int), int(floor(cast(d AS int) * 2 / 10)) + cast(d AS int) * 2 % 10)), 0, (a, x) -> a + coalesce(x, 0))"
+    return f"pmod(10 - {total} % 10, 10)"
 
 
-def _refilled(pattern: Column, digits: Column) -> Column:
+def _refilled(pattern: str, digits: str) -> str:
     """``pattern`` with its digits replaced, in order, by ``digits``."""
-    chars = F.split(pattern, "")
-    at = lambda i: F.length(F.regexp_replace(F.substring(pattern, F.lit(1), i + 1), r"\D", ""))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"^\d$"), F.substring(digits, at(i), F.lit(1))).otherwise(c)), "")
-
-
-def _canonical(e: Column, kind: Column) -> Column:
-    """What makes two mentions the same entity: case aside in addresses, format aside in numbers."""
-    return F.when(kind == "email", F.lower(e)).when(kind.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", "")).when(kind == "iban", F.regexp_replace(e, " ", "")).otherwise(e)
-
-
-def canonical(e: Column) -> Column:
-    return _let(_kind(e), lambda kind: _canonical(e, kind))
-
-
-def surrogate(e: Column, key: str) -> Column:
-    """The replacement of one entity."""
-    return _let(_kind(e), lambda kind: _let(_canonical(e, kind), lambda norm: _replaced(e, kind, norm, key)))
-
-
-def _replaced(e: Column, kind: Column, norm: Column, key: str) -> Column:
-    tweaked = lambda text, name: _permuted(text, name, key)
-    suffix = F.regexp_extract(norm, r"\.[a-z]{2,24}$", 0)
-    mail = F.concat(tweaked(F.substring(norm, F.lit(1), F.length(norm) - F.length(suffix)), "email"), suffix)
-    mail = F.array_join(F.zip_with(F.split(mail, ""), F.split(e, ""), lambda new, old: F.when(old.rlike("^[A-Z]$"), F.upper(new)).otherwise(new)), "")
-    country = F.when(e.startswith("+"), F.length(F.regexp_extract(e, r"^\+(\d{1,3})[ .\-(]", 1))).otherwise(F.lit(0))
-    phone = _let(country, lambda c: F.concat(F.substring(norm, F.lit(1), c), tweaked(F.substring(norm, c + 1, F.length(norm)), "phone")))
-    phone = _let(phone, lambda digits: _refilled(e, digits))
-    card = _let(F.substring(norm, F.lit(1), F.length(norm) - 1), lambda body: _card(e, body, norm, key))
-    pad = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("ip"), i).cast("binary"), 256), 1, 4), 16, 10).cast("int")
-    # Each octet moves by a keyed amount that depends on the later ones, so the map can be undone from the last one back.
-    octets = lambda parts: F.transform(parts, lambda o, i: F.pmod(o.cast("int") + pad(F.concat_ws(".", i.cast("string"), F.slice(parts, i + 2, F.lit(4)))), F.lit(256)).cast("string"))
-    ip = F.array_join(_let(F.split(e, r"\."), octets), ".")
-    given, rest = F.regexp_extract(e, r"^\S+", 0), F.regexp_replace(e, r"^\S+", "")
-    named = tweaked(given, "given")
-    for names in GIVEN_NAMES.values():
-        listed = F.array(*[F.lit(n) for n in names])
-        turn = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("given"), rest).cast("binary"), 256), 1, 6), 16, 10).cast("int")
-        named = F.when(F.array_contains(listed, given), F.element_at(listed, 1 + F.pmod(F.array_position(listed, given).cast("int") + F.pmod(turn, F.lit(len(names) - 1)), F.lit(len(names))))).otherwise(named)
-    person = F.concat(named, tweaked(rest, "family"))
-    cloud = F.concat(F.substring(e, 1, 4), tweaked(F.substring(e, 5, 16), "cloud"))
-    # The pattern of blanks is put back from the original.
-    iban = _let(F.concat(F.substring(norm, 1, 2), tweaked(F.substring(norm, F.lit(3), F.length(norm)), "iban")), lambda t: _spaced(e, t))
-    return (
-        F.when(kind == "email", mail).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind == "ssn", _let(tweaked(norm, "ssn"), lambda digits: _refilled(e, digits))).when(kind == "person", person).when(kind == "cloud_key", cloud).when(kind == "iban", iban)
-        .otherwise(tweaked(e, "secret"))
-    )
+    at = f"length(regexp_replace(substring({pattern}, 1, i + 1), '[^0-9]', ''))"
+    return f"array_join(transform(split({pattern}, ''), (c, i) -> IF(c BETWEEN '0' AND '9', substring({digits}, {at}, 1), c)), '')"
 
 
-def _spaced(pattern: Column, text: Column) -> Column:
+def _spaced(pattern: str, text: str) -> str:
     """``text`` with blanks where ``pattern`` has them."""
-    chars = F.split(pattern, "")
-    at = lambda i: F.length(F.replace(F.substring(pattern, F.lit(1), i + 1), F.lit(" "), F.lit("")))
-    return F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substring(text, at(i), F.lit(1)))), "")
+    return f"array_join(transform(split({pattern}, ''), (c, i) -> IF(c = ' ', c, substring({text}, length(replace(substring({pattern}, 1, i + 1), ' ', '')), 1))), '')"
+
+
+def _octets(e: str) -> str:
+    return f"transform(split({e}, '[.]'), o -> cast(o AS int))"
+
+
+def _canonical(e: str, kind: str) -> str:
+    """What makes two mentions the same entity: case aside in addresses, format aside in numbers. A number with a country code is another than one without."""
+    digits = f"regexp_replace({e}, '[^0-9]', '')"
+    return (
+        f"CASE {kind} WHEN 'email' THEN lower({e}) WHEN 'phone' THEN concat(IF(startswith({e}, '+'), '+', ''), {digits}) WHEN 'card' THEN {digits} WHEN 'ssn' THEN {digits} "
+        f"WHEN 'ip' THEN array_join(transform({_octets(e)}, o -> cast(o AS string)), '.') WHEN 'iban' THEN replace({e}, ' ', '') ELSE {e} END"
+    )
+
+
+def _number(*parts: str) -> str:
+    """A keyed number."""
+    return f"cast(conv(substring(sha2(cast(concat_ws('|', {', '.join(parts)}) AS binary), 256), 1, 6), 16, 10) AS int)"
+
 
+def _surrogate(e: str, key: str) -> str:
+    alphabets = f"split({_text(' '.join(ALPHABETS))}, ' ')"
+    return _let(alphabets, lambda a: _let(_kind(e), lambda kind: _let(_canonical(e, kind), lambda norm: _replaced(e, kind, norm, key, a))))
 
-def _card(e: Column, body: Column, norm: Column, key: str) -> Column:
-    """The issuer's first digit stays, and a check digit is as right or wrong as it was."""
-    last = F.substring(norm, F.length(norm), F.lit(1)).cast("int")
-    moved = F.concat(F.substring(body, 1, 1), _permuted(F.substring(body, F.lit(2), F.length(body)), "card", key))
-    whole = lambda b: F.concat(b, F.pmod(_luhn_digit(b) + last - _luhn_digit(body), F.lit(10)).cast("string"))
-    return _let(_let(moved, whole), lambda digits: _refilled(e, digits))
+
+def canonical(e: str) -> Column:
+    """The canonical form of the entity in the column ``e``."""
+    return F.expr(_let(_kind(e), lambda kind: _canonical(e, kind)))
+
+
+def surrogate(e: str, key: str) -> Column:
+    """The replacement of the entity in the column ``e``."""
+    return F.expr(_surrogate(e, key))
+
+
+def _replaced(e: str, kind: str, norm: str, key: str, alphabets: str) -> str:
+    tweaked = lambda text, name: _permuted(text, name, key, alphabets)
+    suffix = rf"regexp_extract({norm}, '[.][a-z]{{2,24}}$', 0)"
+    mail = f"concat({tweaked(f'substring({norm}, 1, length({norm}) - length({suffix}))', 'email')}, {suffix})"
+    mail = f"array_join(zip_with(split({mail}, ''), split({e}, ''), (new, old) -> IF(old BETWEEN 'A' AND 'Z', upper(new), new)), '')"
+    # What is kept follows from the canonical form alone, so all formats of a number get one surrogate.
+    rest = lambda c: tweaked(f"substring(replace({norm}, '+', ''), length({c}) + 1, length({norm}))", "phone")
+    phone = _let(_let(f"regexp_extract({norm}, {_text(CALLING_CODE)}, 1)", lambda c: f"concat({c}, {rest(c)})"), lambda digits: _refilled(e, digits))
+    # The issuer's first digit stays, and a check digit is as right or wrong as it was.
+    body = f"substring({norm}, 1, length({norm}) - 1)"
+    moved = f"concat(substring({norm}, 1, 1), {tweaked(f'substring({norm}, 2, length({norm}) - 2)', 'card')})"
+    check = lambda b: f"pmod({_luhn_digit(b)} + cast(right({norm}, 1) AS int) - {_luhn_digit(body)}, 10)"
+    card = _let(_let(moved, lambda b: f"concat({b}, {check(b)})"), lambda digits: _refilled(e, digits))
+    # Each octet moves by a keyed amount that depends on the later ones, so the map can be undone from the last one back; the last always moves.
+    by = lambda parts: _number(_text(key), "'ip'", "i", f"array_join(slice({parts}, i + 2, 4), '.')")
+    ip = _let(_octets(e), lambda parts: f"array_join(transform({parts}, (o, i) -> cast(pmod(o + IF(i = 3, 1 + pmod({by(parts)}, 255), {by(parts)}), 256) AS string)), '.')")
+    given, family = f"regexp_extract({e}, '^[^ ]+', 0)", f"regexp_replace({e}, '^[^ ]+', '')"
+    person = f"concat({_let(given, lambda g: _given(g, family, key, alphabets))}, {tweaked(family, 'family')})"
+    cloud = f"concat(substring({e}, 1, 4), {tweaked(f'substring({e}, 5, 16)', 'cloud')})"
+    # The pattern of blanks is put back from the original.
+    iban = _let(f"concat(substring({norm}, 1, 2), {tweaked(f'substring({norm}, 3, length({norm}))', 'iban')})", lambda t: _spaced(e, t))
+    ssn = _let(tweaked(norm, "ssn"), lambda digits: _refilled(e, digits))
+    by_kind = {"email": mail, "phone": phone, "card": card, "ip": ip, "ssn": ssn, "person": person, "cloud_key": cloud, "iban": iban}
+    return f"CASE {kind} {' '.join(f"WHEN '{name}' THEN {made}" for name, made in by_kind.items())} ELSE {tweaked(e, 'secret')} END"
+
+
+def _given(given: str, rest: str, key: str, alphabets: str) -> str:
+    """A listed given name becomes another of its gender; an unlisted one is permuted, again and again while it is on a list, so the two kinds can't meet."""
+    listed = {gender: f"array({', '.join(map(_text, names))})" for gender, names in GIVEN_NAMES.items()}
+    on_list = lambda name: " OR ".join(f"array_contains({names}, {name})" for names in listed.values())
+    walk = f"aggregate(sequence(1, {WALK}), {_permuted(given, 'given', key, alphabets)}, (w, _) -> IF({on_list('w')}, {_permuted('w', 'given', key, alphabets)}, w))"
+    cases = []
+    for gender, names in GIVEN_NAMES.items():
+        turn = f"pmod({_number(_text(key), "'given'", rest)}, {len(names) - 1})"
+        cases.append(f"WHEN array_contains({listed[gender]}, {given}) THEN element_at({listed[gender]}, 1 + pmod(cast(array_position({listed[gender]}, {given}) AS int) + {turn}, {len(names)}))")
+    return f"CASE {' '.join(cases)} ELSE {walk} END"
 
 
 def pieces(text: Column) -> Column:
@@ -192,27 +233,51 @@ def pieces(text: Column) -> Column:
     return F.when(~text.rlike(HINT), F.array(text)).when(text.contains(MARK), slow).otherwise(marked)
 
 
+def _odd(apart: Column) -> Column:
+    return F.filter(F.coalesce(apart, F.array().cast("array<string>")), lambda _, i: i % 2 == 1)
+
+
 def entities(text: Column) -> Column:
     """All entities of a text, in order; none for a null text."""
-    return F.filter(F.coalesce(pieces(text), F.array().cast("array<string>")), lambda _, i: i % 2 == 1)
+    return _odd(pieces(text))
+
 
+def _clashes(found: DataFrame, key: str) -> DataFrame:
+    """``found``: a column e, an array of entities. One shuffle of distinct entities, combined before it."""
+    distinct = found.select(F.explode("e").alias("e")).groupBy("e").agg(F.count("*").alias("mentions"))
+    new = _let(_surrogate("e", key), lambda x: _let(_kind(x), lambda kind: _canonical(x, kind)))
+    mapped = distinct.select(F.expr(_kind("e")).alias("kind"), canonical("e").alias("entity"), F.expr(new).alias("surrogate"))
+    return mapped.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n_entities")).where("n_entities > 1")
+
+
+def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """Surrogates that stand for more than one entity; empty if distinctness holds."""
+    return _clashes(docs.select(entities(F.col(text_col)).alias("e")), key)
+
+
+def _distinct_key(found: DataFrame, key: str) -> str:
+    """``key``, or the first key derived from it under which no two entities have one surrogate."""
+    for k in range(KEYS):
+        tried = f"{key}#{k}" if k else key
+        if _clashes(found, tried).isEmpty():
+            return tried
+    raise ValueError(f"entities share surrogates under each of {KEYS} keys")
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with surrogates in ``text_col``, and ``n_entities``.
 
-    Nothing is shuffled. A null text stays null with 0 entities; an empty one stays empty; repeated rows get equal
-    texts; every other column passes through (an existing ``n_entities`` is replaced); texts of any length are whole.
+    Texts are taken apart once, into a written table; from its distinct entities it is made sure that no two share a
+    surrogate, by another key if need be. ``check=False`` leaves the table and the check out, and moves nothing. A null
+    text stays null with 0 entities; an empty one stays empty; repeated rows get equal texts; every other column passes
+    through, whatever its name (an existing ``n_entities`` is replaced); texts of any length are whole.
     """
     columns = [c for c in docs.columns if c != "n_entities"]
-    apart = docs.select(*[F.col(f"`{c}`") for c in columns], pieces(F.col(text_col)).alias("__pieces"))
-    filled = F.array_join(F.transform("__pieces", lambda e, i: F.when(i % 2 == 1, surrogate(e, key)).otherwise(e)), "")
-    new_text = F.when(F.size("__pieces") > 1, filled).otherwise(F.col(text_col))
-    n = F.coalesce(F.floor(F.size("__pieces") / 2), F.lit(0))
-    return apart.select(*[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.greatest(n, F.lit(0)).cast("long").alias("n_entities"))
-
-
-def collisions(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """Surrogates that stand for more than one entity; empty if distinctness holds. One shuffle of distinct entities."""
-    distinct = docs.select(F.explode(entities(F.col(text_col))).alias("e")).groupBy("e").agg(F.count("*").alias("mentions"))
-    mapped = distinct.select(_kind(F.col("e")).alias("kind"), canonical(F.col("e")).alias("entity"), canonical(surrogate(F.col("e"), key)).alias("surrogate"))
-    return mapped.groupBy("kind", "surrogate").agg(F.count_distinct("entity").alias("n_entities")).where("n_entities > 1")
+    made = free_name(columns, "pieces")
+    apart = docs.select(*[F.col(f"`{c}`") for c in columns if c != text_col], pieces(F.col(f"`{text_col}`")).alias(made))
+    if check:
+        apart = written(apart, "pieces")
+        key = _distinct_key(apart.where(F.size(made) > 1).select(_odd(F.col(made)).alias("e")), key)
+    new_text = F.expr(f"array_join(transform(`{made}`, (e, j) -> IF(j % 2 = 1, {_surrogate('e', key)}, e)), '')")
+    n = F.greatest(F.coalesce(F.floor(F.size(made) / 2), F.lit(0)), F.lit(0)).cast("long")
+    return apart.select(*[new_text.alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], n.alias("n_entities"))
