@@ -30,7 +30,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = compaction.ingest_and_compact(_table(spark, sf_dir, "documents"))
-    return stored.select("doc_id", "lang", "source", "n_chars", _sha256("text").alias("text_sha256"))
+    return stored.select("doc_id", "lang", "source", "n_chars", _sha256("text").alias("text_sha256"), "manifest_docs", "manifest_bytes")
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,9 @@ kept AS (
          CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END AS k
   FROM words LEFT JOIN gone USING (doc_id))
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept""",
-    "op2_compaction": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+    "op2_compaction": """
+SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256, t.manifest_docs, t.manifest_bytes
+FROM documents, (SELECT count(*)::BIGINT AS manifest_docs, coalesce(sum(strlen(text)), 0)::BIGINT AS manifest_bytes FROM documents) t""",
     "op9_exact_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings

@@ -4,6 +4,7 @@ import hashlib
 import re
 import unicodedata
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -435,23 +436,67 @@ def test_pii_clashing_columns(spark):
     assert (row["pieces"], row["n_entities"], row["e.e"]) == ("x", 1, "y") and row["text"] != "mail a@b.org"
 
 
-def test_compaction(edge, empty, spark):
-    back = compaction.ingest_and_compact(edge)
-    key = lambda df: sorted(map(repr, df.collect()))
-    assert key(back) == key(edge) and back.columns == edge.columns
+def test_compaction(edge, empty):
+    held = edge.withColumn("merged", F.lit(1)).withColumn("run", F.lit("r")).withColumn("__file", F.lit(2)).withColumn("manifest_docs", F.lit("old"))
+    back = compaction.ingest_and_compact(held)
+    key = lambda df: sorted(map(repr, df.drop("manifest_docs", "manifest_bytes").collect()))
+    assert key(back) == key(held) and set(back.columns) == {*held.columns, "manifest_bytes"}
+    n_bytes = sum(len((r.text or "").encode()) for r in edge.collect())
+    assert {(r.manifest_docs, r.manifest_bytes) for r in back.collect()} == {(edge.count(), n_bytes)}
     assert compaction.ingest_and_compact(empty).count() == 0
+
+
+def test_compaction_by_tiers(spark):
     root = compaction.scratch_path(spark, "corpus")
-    docs = spark.range(0, 4000, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 400).alias("text"))
-    assert compaction.append(docs, root, rows=100) == 1
-    assert compaction.append(docs.withColumn("doc_id", F.col("doc_id") + 4000), root, rows=100) == 2
-    assert compaction.manifest(spark, root).count() == 80 and compaction.manifest(spark, root, 1).count() == 40
+    docs = lambda n, first=0: spark.range(first, first + n, 1, 8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 400).alias("text"))
+    assert compaction.append(docs(4000), root, rows=100, runs=4) == 1
+    runs = compaction.manifest(spark, root).orderBy("seq").collect()
+    assert [r.seq for r in runs] == [0, 1, 2, 3] and [r.n_docs for r in runs] == [1000] * 4 and [r.n_files for r in runs] == [10] * 4 and [r.n_bytes for r in runs] == [2_000_000] * 4
+    assert compaction.append(docs(10, 4000), root, rows=100, runs=1) == 2
     assert compaction.compact(spark, root, target=2 << 20) == 3
-    sizes = [r.n_bytes for r in compaction.manifest(spark, root).collect()]
-    assert len(sizes) == 8 and max(sizes) <= 2.2 * (1 << 20)
-    for version, n in ((1, 4000), (2, 8000), (3, 8000)):
+    runs = compaction.manifest(spark, root).orderBy("seq").collect()  # four neighbours of one tier became one run; the small one keeps its place
+    assert [(r.seq, r.n_docs, r.n_files) for r in runs] == [(0, 4000, 4), (4, 10, runs[1].n_files)]
+    assert compaction.compact(spark, root, target=2 << 20) in (3, 4)
+    rest = compaction.compact(spark, root, target=2 << 20)
+    files = {r.folder for r in compaction.manifest(spark, root).collect()}
+    assert compaction.compact(spark, root, target=2 << 20) == rest and {r.folder for r in compaction.manifest(spark, root).collect()} == files  # at rest
+    for version, n in ((1, 4000), (2, 4010), (rest, 4010)):
         assert compaction.read(spark, root, version).select("doc_id").distinct().count() == n
-    with pytest.raises(RuntimeError):
-        compaction.commit(spark, root, compaction.manifest(spark, root), 2)
+    assert max(r.n for r in compaction.read(spark, root).groupBy(F.input_file_name()).agg(F.sum(F.octet_length("text")).alias("n")).collect()) <= 1.1 * (2 << 20)
+
+
+def test_compaction_plan():
+    run = lambda seq, n_files, n_bytes: (seq, f"f{seq}", n_files, 1, n_bytes)
+    small, large = 1 << 20, 1 << 29
+    assert compaction.plan([run(k, 1, small) for k in range(3)]) == []  # too few of a tier
+    assert [[r[0] for r in g] for g in compaction.plan([run(k, 1, small) for k in range(5)] + [run(5, 2, large)])] == [[0, 1, 2, 3, 4]]
+    apart = [run(0, 1, small), run(1, 1, small), run(2, 2, large), run(3, 1, small), run(4, 1, small)]
+    assert compaction.plan(apart) == []  # not neighbours: order is kept
+    assert compaction.plan([run(0, 900, large)]) == [[run(0, 900, large)]]  # one run of many small files
+
+
+def test_compaction_commits_atomically(spark, monkeypatch):
+    root = compaction.scratch_path(spark, "corpus")
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    compaction.append(docs, root)
+    rows = compaction.manifest(spark, root)
+    with pytest.raises(compaction.Conflict):
+        compaction.commit(spark, root, rows, 0)
+    # A reader between the writing of a pointer and its rename sees the old version.
+    path, fs = compaction.file_system(spark, f"{root}/committed/.unfinished/pointer")
+    fs.create(path, False).close()
+    assert compaction.current_version(spark, root) == 1 and compaction.read(spark, root).count() == 20
+    # Two writers that race: each version is committed once, and no append is lost.
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: compaction.append(docs.withColumn("doc_id", F.col("doc_id") + 100 * (k + 1)), root), range(4)))
+    assert sorted(versions) == [2, 3, 4, 5]
+    assert compaction.read(spark, root).select("doc_id").distinct().count() == 100
+    # A compaction that lost the race changes nothing.
+    held = compaction.commit
+    monkeypatch.setattr(compaction, "commit", lambda s, r, m, base: (held(s, r, rows, base), held(s, r, m, base))[1])
+    with pytest.raises(compaction.Conflict):
+        compaction.compact(spark, root)
+    assert compaction.current_version(spark, root) == 6 and compaction.read(spark, root, 5).count() == 100
 
 
 def test_digests_of_queries(spark):
