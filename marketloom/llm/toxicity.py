@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows, chosen by a hash of their ids, are used to learn; candidates and terms are bounded too.
-TRAIN_ROWS, FREQUENT, CANDIDATES, TERMS = 20_000, 50_000, 2_000, 200
+#: At most so many labelled rows, chosen by a hash of their ids, are used to learn. The model's size: features tried, by
+#: what they tell apart, and terms of the lexicon. Nothing here bounds what is scored.
+TRAIN_ROWS, CANDIDATES, TERMS = 20_000, 2_000, 200
 #: Lengths of stems.
 STEMS = range(4, 9)
 #: Phrases in which a listed word gives no offence (fixed values, extendable by the caller).
@@ -119,7 +120,7 @@ def _lexicon(spec: str) -> Lexicon:
 
 
 def features(text: str) -> set[str]:
-    """Folded words of a text, and their stems."""
+    """Folded words of a text of three to forty letters, and their stems."""
     words = {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
     return words | {w[:k] + "*" for w in words for k in STEMS if k <= len(w)}
 
@@ -162,8 +163,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -
     """Texts and labels outside the held-out fifth, of at most ``limit`` label rows; the label side is small enough to broadcast."""
     chosen = (
         labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic")
+        .groupBy("doc_id")
+        .agg(F.max("toxic").cast("int").alias("toxic"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
@@ -201,14 +203,20 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon and scale from labelled rows: word counts in Spark, then a cover and a fit over a bounded table on the driver."""
+    """Lexicon and scale from labelled rows: word counts in Spark, then a cover and a fit over a bounded table on the driver.
+
+    ``labels``: doc_id, toxic. Labels other than 0 and 1, and those without an id or a document, take no part; an id
+    labelled more than once counts once, as toxic if any label says so. Each row of a repeated document counts; a null
+    text has no words. With labels of one kind only, or none, the lexicon is empty. Ties fall to the longer term, then
+    to the later in order.
+    """
     rows = training_rows(docs, labels)
     totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = int(totals.t or 0), int(totals.n or 0)
     if not t or t == n:
         return Lexicon({}, exceptions)
     count = lambda df, known=None: df.mapInArrow(_features(known), "feature string, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    bad = {r.feature: r.n for r in count(rows.where("toxic = 1")).where("n >= 3").orderBy(F.desc("n"), "feature").limit(FREQUENT).collect()}
+    bad = {r.feature: r.n for r in count(rows.where("toxic = 1")).where("n >= 3").collect()}
     clean = {r.feature: r.n for r in count(rows.where("toxic = 0"), frozenset(bad)).collect()}
     odds = {f: math.log((k + 0.5) / (t + 1)) - math.log((clean.get(f, 0) + 0.5) / (n - t + 1)) for f, k in bad.items()}
     ranked = sorted((f for f in bad if odds[f] > 1.5), key=lambda f: (-odds[f] * bad[f], -len(f), f))[:CANDIDATES]
@@ -221,11 +229,11 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     return Lexicon(terms, exceptions, scale)
 
 
-def _scoring(spec: str):
+def _scoring(spec: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(spec)
         for batch in batches:
-            scores = pa.array([lexicon.score(x or "") for x in batch.column("text").to_pylist()], pa.float64())
+            scores = pa.array([lexicon.score(x or "") for x in batch.column(text_col).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "toxic_score"])
 
     return run
@@ -235,11 +243,8 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     """``docs`` with ``toxic_score`` (0 to 1; 0.5 and more is predicted toxic).
 
     Only the text counts. Null and empty texts get the score of a text without any term; repeated rows get equal
-    scores; an empty table stays empty; an existing ``toxic_score`` column is replaced.
+    scores; an empty table stays empty; an existing ``toxic_score`` column is replaced, all others pass through.
     """
     base = docs.drop("toxic_score") if "toxic_score" in docs.columns else docs
-    if text_col != "text":
-        base = base.withColumn("text", F.col(text_col))
-    spec = lexicon.to_json()
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", toxic_score double"
-    return base.mapInArrow(_scoring(spec), schema)
+    return base.mapInArrow(_scoring(lexicon.to_json(), text_col), schema)

@@ -103,6 +103,26 @@ def test_minhash_chain_needs_later_pivots(spark, monkeypatch, small, block):
     assert got == want
 
 
+def test_minhash_rows_that_share_an_id(spark):
+    text = lambda first, n=60: " ".join(f"s{k}" for k in range(first, first + n))
+    rows = [(1, text(0)), (2, text(0)), (2, text(500, 30)), (3, text(500, 30)), (4, ""), (4, text(500, 31)), (0, None), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for n in (1, 3):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs.repartition(n)).collect())
+        # Document 2 counts with its lesser set, of 26 shingles, so it goes with 3 and 4, not with 1.
+        assert got == [(0, 0, 0, True), (0, 0, 0, True), (1, 56, 1, True), (2, 26, 2, True), (2, 56, 2, True), (3, 26, 2, False), (4, 0, 4, True), (4, 27, 2, False)]
+
+
+def test_forest():
+    linked = np.zeros((6, 6), bool)
+    for i, j in ((0, 1), (1, 2), (0, 2), (3, 4), (2, 5)):
+        linked[i, j] = linked[j, i] = True
+    component = np.array([7, 8, 9, 1, 2, 8])  # rows 1 and 5 are connected already
+    edges = minhash._forest(linked, component).tolist()
+    assert len(edges) == 3 and all(linked[i, j] for i, j in edges)
+    assert minhash._forest(np.zeros((3, 3), bool), np.arange(3)).shape == (0, 2)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(k + 1, k) for k in range(20)] + [(100, 50), (50, 100), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in minhash.components(edges).collect()}
@@ -210,6 +230,62 @@ def test_toxicity_edges(edge, empty):
     assert toxicity.learn(edge, labels).terms == {}
 
 
+def naive_hits(lexicon, text):
+    """Every term tried at every place of the folded text; phrases spare what begins inside them."""
+    at = lambda k, size: k and text[k - 1].isalnum()
+    spared = set()
+    for phrase in map(toxicity.fold, lexicon.exceptions):
+        for k in range(len(text)):
+            end = k + len(phrase)
+            if text.startswith(phrase, k) and not at(k, 0) and not text[end : end + 1].isalnum():
+                spared.update(range(k, end))
+    out = []
+    for k in range(len(text)):
+        if k in spared or at(k, 0):
+            continue
+        here = []
+        for term, weight in lexicon.terms.items():
+            plain = term.rstrip("*")
+            if text.startswith(plain, k) and (term.endswith("*") or not text[k + len(plain) : k + len(plain) + 1].isalnum()):
+                here.append((len(plain), term, weight))
+        if here:
+            out.append(max(here)[1:])
+    return out
+
+
+def test_toxicity_against_a_naive_scan(spark, edge):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    learned = toxicity.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    some = {w: 1.0 + k % 3 for k, w in enumerate(sorted({w for r in docs.limit(40).collect() for w in toxicity.features(r.text or "")})[::37])}
+    phrases = tuple(" ".join((r.text or "x").split()[2:4]) for r in docs.limit(30).collect())
+    for lexicon in (learned, toxicity.Lexicon(learned.terms | some, toxicity.EXCEPTIONS + tuple(p for p in phrases if p), learned.scale)):
+        found = 0
+        for r in toxicity.score(docs, lexicon).collect():
+            hits = naive_hits(lexicon, toxicity.fold(r.text or ""))
+            found += len(hits)
+            total, words = sum(w for _, w in hits), 1 + (r.text or "").count(" ") + (r.text or "").count("\n")
+            base, by_sum, by_density = lexicon.scale
+            z = base + (by_sum * np.log1p(max(total, 0)) + by_density * total / (1 + words / 100) if hits else 0)
+            assert abs(r.toxic_score - 1 / (1 + np.exp(-np.clip(z, -60, 60)))) < 1e-9
+        assert found or lexicon is learned
+
+
+def test_toxicity_of_another_column(spark):
+    docs = spark.createDataFrame([(1, "calm", "idiot"), (2, "idiot", None)], "doc_id bigint, text string, body string")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.Lexicon({"idiot": 9.0}), "body").collect()}
+    assert got[1].text == "calm" and got[1].toxic_score > 0.5 > got[2].toxic_score
+
+
+def test_toxicity_of_repeated_and_odd_labels(spark):
+    texts = [(k, f"you fool number {k}" if k % 2 else f"a calm day number {k}") for k in range(60)]
+    docs = spark.createDataFrame(texts + [(None, "you fool"), (500, None)], "doc_id bigint, text string")
+    labels = [(k, k % 2) for k in range(60)]
+    one = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    odd = labels * 2 + [(1, 0), (500, 1), (None, 1), (4, None), (6, 7)]
+    two = toxicity.learn(docs, spark.createDataFrame(odd, "doc_id bigint, toxic int"))
+    assert "fool*" in one.terms and set(one.terms) == set(two.terms)
+
+
 def test_toxicity_held_out(spark):
     path = "/root/testdata/sf0.1"
     scored = queries.op10_toxicity(spark, path).where("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").collect()
