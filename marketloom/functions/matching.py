@@ -102,6 +102,7 @@ def _whole_suffix(toks: Column, i: Column, suffix: Column) -> Column:
 
 
 def _suffix_conflict(toks: Column, parts: Column, brand_present: Column) -> Column:
+    """``branded``, and ``bare`` for a judgement that leaves the brand aside: whether a token of the model's digits goes on differently."""
     model_suffix = parts["suffix"]
 
     def differs(found: Column) -> Column:
@@ -110,13 +111,14 @@ def _suffix_conflict(toks: Column, parts: Column, brand_present: Column) -> Colu
         one = F.when(model_suffix != "", model_suffix).otherwise(found)
         bare = F.regexp_replace(one, "[0-9]", "")
         generic = (bare != "") & F.array_contains(strings(GENERIC_SUFFIXES), bare)
-        with_digit = one.rlike("[0-9]") & (one == model_suffix) & ~one.rlike("|".join(IMPORTANT_WORDS)) & brand_present & (F.length(parts["digits"]) >= 3)
-        return (found != model_suffix) & F.when((model_suffix != "") & (found != ""), both).otherwise(~(generic | (~generic & with_digit)))
+        with_digit = one.rlike("[0-9]") & (one == model_suffix) & ~one.rlike("|".join(IMPORTANT_WORDS)) & (F.length(parts["digits"]) >= 3)
+        clash = (found != model_suffix) & F.when((model_suffix != "") & (found != ""), both).otherwise(~generic)
+        spared = ((model_suffix == "") | (found == "")) & with_digit
+        return F.struct(clash.alias("bare"), spared.alias("spared"))
 
-    def at(i: Column) -> Column:
-        return (_digits_of(toks, i) == parts["digits"]) & _matches_prefix(toks, i, parts["prefix"]) & let(_whole_suffix(toks, i, model_suffix), differs)
-
-    return (parts["digits"] != "") & F.exists(_indices(toks), at)
+    here = F.filter(_indices(toks), lambda i: (_digits_of(toks, i) == parts["digits"]) & _matches_prefix(toks, i, parts["prefix"]))
+    judged_here = F.when(parts["digits"] != "", F.transform(here, lambda i: let(_whole_suffix(toks, i, model_suffix), differs)))
+    return let(judged_here, lambda h: F.struct(*[F.coalesce(F.exists(h, f), F.lit(False)).alias(k) for k, f in (("branded", lambda x: x["bare"] & ~(brand_present & x["spared"])), ("bare", lambda x: x["bare"]))]))
 
 
 def _norm(value: Column | None) -> Column:
@@ -139,7 +141,7 @@ def prefix_conflict(text: Column, model: Column, brand: Column | None = None) ->
 
 def suffix_conflict(text: Column, model: Column, brand: Column | None = None) -> Column:
     """Whether the text has the model's digits before a suffix that makes it another model."""
-    return lets(_context(text, model, brand), lambda **c: _conflicts(**c)[1])
+    return lets(_context(text, model, brand), lambda **c: _conflicts(**c)[1]["branded"])
 
 
 def _bounded(text: Column, part: Column) -> Column:
@@ -151,12 +153,16 @@ def _bounded(text: Column, part: Column) -> Column:
     return (part != "") & (at > 0) & ~clash
 
 
-def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
-    """``matched``, ``prefix`` and ``suffix`` (the conflicts) of a text and a model, from one reading of both."""
+def _longest_segment(model: Column) -> Column:
+    """The longest of a model's parts that has three letters or digits; '' if none has."""
     pieces = F.filter(F.split(F.coalesce(model, F.lit("")), r"[\s\-_]+"), lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z0-9]", "")) > 0)
     segments = F.filter(F.transform(pieces, normalize_model), lambda s: F.length(s) >= 3)
-    longest = F.coalesce(F.aggregate(segments, F.lit("").cast("string"), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)), F.lit(""))
-    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": longest}
+    return F.coalesce(F.aggregate(segments, F.lit("").cast("string"), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)), F.lit(""))
+
+
+def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
+    """``matched``, ``prefix`` and ``suffix`` (the conflicts), and ``bare_suffix`` (without the brand) of a text and a model, from one reading of both."""
+    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": _longest_segment(model)}
 
     def decide(nt: Column, nm: Column, longest: Column, b: Column, **c: Column) -> Column:
         digits, text_digits = F.regexp_replace(nm, "[^0-9]", ""), F.regexp_replace(nt, "[^0-9]", "")
@@ -167,12 +173,29 @@ def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
         alike = digits.contains(text_digits) | ((n >= 3) & (head(digits) == head(text_digits)) & (F.length(digits) >= F.length(text_digits)))
         lenient = (b != "") & nt.contains(b) & (F.length(digits) >= 3) & (F.length(text_digits) >= 3) & alike
         prefix, suffix = _conflicts(b=b, **c)
-        clash = F.struct(prefix.alias("prefix"), suffix.alias("suffix"), ((nm != "") & (literal | lenient)).alias("like"))
-        return let(clash, lambda k: F.struct((k["like"] & ~k["prefix"] & ~k["suffix"]).alias("matched"), k["prefix"].alias("prefix"), k["suffix"].alias("suffix")))
+        clash = F.struct(prefix.alias("prefix"), suffix.alias("s"), ((nm != "") & (literal | lenient)).alias("like"))
+        fields = lambda k: {"matched": k["like"] & ~k["prefix"] & ~k["s"]["branded"], "prefix": k["prefix"], "suffix": k["s"]["branded"], "bare_suffix": k["s"]["bare"]}
+        return let(clash, lambda k: F.struct(*[v.alias(name) for name, v in fields(k).items()]))
 
     return lets(context, decide)
 
 
+def blocking_keys(text: Column, model: Column | None = None) -> Column:
+    """Keys that a text and every model it can speak of (without a brand) have in common; of the text alone if no model is given.
+
+    A model is found by its normal form, all its digits or its longest segment. What of these has digits shares a whole
+    run of digits with the text's normal form, else its first three letters. A model without digits and with fewer than
+    three letters has no key.
+    """
+    first_run = lambda x: F.regexp_extract(x, "[0-9]+", 0)
+    if model is None:
+        joined = lambda n: F.concat(F.regexp_extract_all(n, F.lit("[0-9]+"), F.lit(0)), F.when(F.length(n) >= 3, F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+        return F.array_distinct(let(normalize_model(text), joined))
+    key = lambda x: F.when(first_run(x) != "", first_run(x)).when(F.length(x) >= 3, F.substring(x, 1, 3))
+    forms = F.struct(normalize_model(model).alias("nm"), _longest_segment(model).alias("longest"))
+    return let(forms, lambda m: F.array_distinct(F.filter(F.array(key(m["nm"]), key(m["longest"]), F.nullif(F.regexp_replace(m["nm"], "[^0-9]", ""), F.lit(""))), lambda x: x.isNotNull())))
+
+
 def model_match(text: Column, model: Column, brand: Column | None = None) -> Column:
     """Whether a title or URL speaks of the model: four rules, from literal to lenient, none against a conflict."""
     return judged(text, model, brand)["matched"]

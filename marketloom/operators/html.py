@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
-from marketloom.functions.base import lets
+from marketloom.functions.base import let, lets
 
 # Elements and selectors in the order in which they are tried, and words that mark junk.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -194,8 +194,9 @@ def price_candidates(root: Node, learned: str | None = None, json_prices: bool =
     value = lambda n: n.attrs.get("content") or n.attrs.get("value") or n.text()
     junk: dict[int, bool] = {}
     bad = lambda n: junk.setdefault(id(n), is_junk(n))
-    for stage, selector in ([(1, learned)] if learned else []) + [(2, s) for s in PRICE_SELECTORS]:
-        for n in inner:
+    marked = [n for n in inner if n.classes or n.tag == "ins"]  # all that the listed selectors can fit
+    for stage, selector, those in ([(1, learned, inner)] if learned else []) + [(2, s, marked) for s in PRICE_SELECTORS]:
+        for n in those:
             if n.fits(selector) and not bad(n):
                 add(stage, selector, value(n))
     if json_prices:
@@ -247,28 +248,30 @@ def extract(pages: DataFrame, learned: DataFrame | None = None) -> DataFrame:
 
 def verify(titles_: Column, url: Column, model: Column, brand: Column) -> Column:
     """NULL for a page about the model; else the reason why it is not."""
-    def reason(t: Column, u: Column, t_suffix: Column, u_suffix: Column, nm: Column, nb: Column, nt: Column) -> Column:
+    def reason(t: Column, u: Column, nm: Column, nb: Column, nt: Column) -> Column:
         missing = F.when((nb != "") & nt.contains(nb), "Only brand matched, model missing").otherwise("Model not found")
-        checked = F.when(~(t["matched"] | u["matched"]), missing).when(t_suffix | u_suffix, "Conflicting suffix found (extended model)").when(t["prefix"] | u["prefix"], "Conflicting prefix found")
+        checked = F.when(~(t["matched"] | u["matched"]), missing).when(t["bare_suffix"] | u["bare_suffix"], "Conflicting suffix found (extended model)").when(t["prefix"] | u["prefix"], "Conflicting prefix found")
         return F.when(nm == "", "Empty model").otherwise(checked)
 
     # The suffix is judged without the brand here.
     read = {
-        "t": matching.judged(titles_, model, brand), "u": matching.judged(url, model, brand), "t_suffix": matching.suffix_conflict(titles_, model), "u_suffix": matching.suffix_conflict(url, model),
+        "t": matching.judged(titles_, model, brand), "u": matching.judged(url, model, brand),
         "nm": text.normalize_model(model), "nb": text.normalize_model(brand), "nt": text.normalize_model(titles_),
     }
     return lets(read, reason)
 
 
 def choose_price(candidates: Column, model: Column, reference: Column) -> Column:
-    """The first plausible candidate: its price and the selector that found it; NULL if none is."""
+    """The first plausible candidate: its price and the selector that found it; NULL if none is. Later ones are not read."""
 
     def read(c: Column) -> Column:
         price = F.when(c["numeric"], money.parse_price_number(c["raw"].try_cast("double"))).otherwise(money.parse_price_text(c["raw"]))
         return F.struct(price.alias("price"), c["selector"].alias("selector"), c["names"].alias("names"))
 
     good = lambda c: money.is_plausible(c["price"], reference, model) & ~F.exists(c["names"], lambda n: ~matching.model_match(n, model))
-    return F.get(F.filter(F.transform(candidates, read), good), F.lit(0))
+    kind = "struct<price:bigint,selector:string,names:array<string>>"
+    first = lambda found, c: F.when(found.isNotNull(), found).otherwise(let(read(c), lambda r: F.when(good(r), r.cast(kind))))
+    return F.aggregate(candidates, F.lit(None).cast(kind), first)
 
 
 def page_prices(products: DataFrame, extracted: DataFrame) -> DataFrame:

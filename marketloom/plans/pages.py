@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import urls
 from marketloom.operators import html
-from marketloom.session import table
+from marketloom.session import spread, table
 
 
 def page_titles(spark, sf):
@@ -29,7 +29,7 @@ def shop_pages(spark, sf):
     shown = shown.when(k % 5 == 2, F.concat(F.lit('<b itemprop="price" content="'), F.col("price").cast("string"), F.lit('">x</b>')))
     shown = shown.when(k % 5 == 3, F.concat(F.lit("<p>"), dong(F.col("price")), F.lit("</p>"))).otherwise(F.concat(F.lit('<ins><span class="amount">'), dong(F.col("price")), F.lit("</span></ins>")))
     body = F.concat(F.lit("<html><head><title>Bep Kocher "), F.col("named"), F.lit('</title></head><body><div class="product-detail"><h1>Kocher '), F.col("named"), F.lit("</h1><del>"), dong(F.col("price") + 1_000_000), F.lit("</del>"), shown, F.lit("</div></body></html>"))
-    rows = table(spark, sf, "part").withColumn("price", price).withColumn("named", named)
+    rows = spread(table(spark, sf, "part")).withColumn("price", price).withColumn("named", named)
     return rows.select("p_partkey", F.concat(F.lit("https://shop.vn/p/"), k.cast("string")).alias("url"), body.alias("html"), F.concat(F.lit("DI-"), (k + 1000).cast("string")).alias("model"), F.lit("Kocher").alias("brand"), (F.col("price") * 1.2).alias("reference"))
 
 
@@ -45,7 +45,7 @@ def price_cascade(spark, sf):
 
 
 def captured_titles(spark, sf):
-    """Title bundles of the captured pages by the parser, counted by site."""
+    """Captured pages that the parser read and the price candidates it found on them, counted by site."""
     found = html.extract(table(spark, sf, "pages"))
     return found.groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.size("candidates")).alias("price_candidates"))
 

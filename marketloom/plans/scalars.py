@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
 from marketloom.operators import relational
-from marketloom.session import table
+from marketloom.session import spread, table
 
 _ACCENTS = "translate(strip_accents(lower({0})), 'đ', 'd')"
 
@@ -135,11 +135,11 @@ def model_match(spark, sf):
 
 
 def model_theta_join(spark, sf):
-    """Titles met with models through their digit tokens, so that the match rules run on few pairs."""
-    titles = _titles(spark, sf).select("s_suppkey", "title", F.explode(F.array_distinct(F.regexp_extract_all(F.col("title"), F.lit("[0-9]+"), F.lit(0)))).alias("digits"))
-    models = _titles(spark, sf).select(F.col("s_suppkey").alias("model_key"), "model", F.regexp_extract("model", "[0-9]+", 0).alias("digits"))
-    pairs = titles.join(models, "digits").where(matching.model_match(F.col("title"), F.col("model"), F.lit("")))
-    return pairs.select("s_suppkey", "model_key")
+    """Titles met with models through keys of their normal forms, so that the match rules run on few pairs."""
+    titles = _titles(spark, sf).select("s_suppkey", "title", F.explode(matching.blocking_keys(F.col("title"))).alias("key"))
+    models = _titles(spark, sf).select(F.col("s_suppkey").alias("model_key"), "model", F.explode(matching.blocking_keys(F.lit(""), F.col("model"))).alias("key"))
+    pairs = titles.join(models, "key").select("s_suppkey", "model_key", "title", "model").distinct()
+    return pairs.where(matching.model_match(F.col("title"), F.col("model"), F.lit(""))).select("s_suppkey", "model_key")
 
 
 def model_from_title(spark, sf):
@@ -167,7 +167,7 @@ def _product_urls(spark, sf) -> DataFrame:
     slug = F.concat(F.replace(F.col("p_name"), F.lit(" "), F.lit("-")), F.lit("-di-"), (k + 1000).cast("string"), F.when(F.col("p_size") % 5 == 0, F.lit("-plus")).otherwise(F.lit("")))
     url = F.when(k % 4 == 0, F.concat(F.lit("https://shop.vn/san-pham/"), slug)).when(k % 4 == 1, F.concat(F.lit("https://www.nguyenkim.com/"), slug, F.lit(".html")))
     url = url.when(k % 4 == 2, F.concat(F.lit("https://shop.vn/collections/"), slug)).otherwise(F.concat(F.lit("https://google.com/search?q="), slug))
-    return table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", url.alias("url"), F.concat(F.lit("DI-"), (k + 1000).cast("string")).alias("model"))
+    return spread(table(spark, sf, "part")).select("p_partkey", "p_brand", "p_size", url.alias("url"), F.concat(F.lit("DI-"), (k + 1000).cast("string")).alias("model"))
 
 
 def detail_url_filter(spark, sf):
