@@ -39,12 +39,22 @@ def batches(rows: DataFrame, partition: list[str], order: list[Column], size: in
 
 
 def ttl_lookup(requests: DataFrame, cache: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
-    """Each request (request_id, keys, at) with the newest entry of its key written up to then and not older than the TTL."""
-    known = cache.select(*keys, F.col("written_at"), F.col("value"))
-    age = F.col("at") - F.col("written_at")
-    fresh = requests.join(known, keys, "left").where(F.col("written_at").isNull() | age.between(0, ttl_us))
-    best = fresh.groupBy("request_id").agg(F.max_by("value", F.struct("written_at", "value")).alias("value"))
-    return requests.join(best, "request_id", "left")
+    """Each request (keys, at, perhaps more) with the newest entry of its key written up to then and not older than the TTL.
+
+    One pass over requests and entries of a key in order of time, never a join of all with all. Time is cut into slots
+    of the TTL's length, an entry standing in its own slot and the next, so a busy key is many small windows. Of entries
+    written at one time the greatest value counts; a request with a null key finds nothing.
+    """
+    slot = lambda t: F.floor(F.col(t) / ttl_us)
+    known = F.col("written_at").isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    entries = cache.where(known).select(*keys, F.explode(F.array(slot("written_at"), slot("written_at") + 1)).alias("slot"), F.col("written_at").alias("t"), F.lit(False).alias("asks"), F.struct("written_at", "value").alias("entry"))
+    asked = requests.select(*keys, slot("at").alias("slot"), F.col("at").alias("t"), F.lit(True).alias("asks"), F.struct(*requests.columns).alias("request"))
+    by_time = Window.partitionBy(*keys, "slot").orderBy("t", "asks", "entry").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = entries.unionByName(asked, allowMissingColumns=True).withColumn("newest", F.last("entry", ignorenulls=True).over(by_time)).where("asks")
+    value = F.when(F.col("t") - F.col("newest.written_at") <= ttl_us, F.col("newest.value"))
+    return both.select("request.*", value.alias("value"))
 
 
 def best_offer(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
@@ -64,7 +63,8 @@ def keyword_engine_cross(spark, sf):
 def header_map(spark, sf):
     """Headers named by the market segments and brands of the tables, found by candidate names."""
     names = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("h")).unionByName(table(spark, sf, "part").select(F.concat(F.lit("% "), F.col("p_type")).alias("h"))).distinct()
-    headers = names.select((F.row_number().over(Window.orderBy("h")) - 1).cast("int").alias("idx"), text.normalize_text(F.col("h")).alias("header"))
+    # A sheet's header row is a few dozen names: one array, combined in each task first.
+    headers = names.agg(F.array_sort(F.collect_set("h")).alias("row")).select(F.posexplode("row").alias("idx", "h")).select("idx", text.normalize_text(F.col("h")).alias("header"))
     wanted = table(spark, sf, "customer").select(F.col("c_mktsegment").alias("field")).distinct()
     candidates = wanted.select("field", F.posexplode(F.array(F.concat(F.lit("no "), F.col("field")), F.substring("field", 1, 4))).alias("position", "c")).select("field", "position", text.normalize_text(F.col("c")).alias("candidate"))
     return relational.find_header(headers, candidates)
@@ -79,9 +79,9 @@ def sheet_union(spark, sf):
 
 def keyword_except(spark, sf):
     """The keywords of the last search step: all but those of the first two."""
-    words = table(spark, sf, "part").select("p_partkey", text.keywords(F.col("p_brand"), F.concat(F.lit("KX"), F.col("p_partkey").cast("string"), F.lit("A")), F.lit("")).alias("all"))
+    words = table(spark, sf, "part").select("p_partkey", "p_brand", text.keywords(F.col("p_brand"), F.concat(F.lit("KX"), F.col("p_partkey").cast("string"), F.lit("A")), F.lit("")).alias("all"))
     done = F.array(F.concat(F.col("p_brand"), F.lit(" KX"), F.col("p_partkey").cast("string"), F.lit("A")), F.concat(F.lit("KX"), F.col("p_partkey").cast("string"), F.lit("A")))
-    return words.withColumn("p_brand", F.lit(None)).drop("p_brand").join(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", F.explode(F.array_except("all", done)).alias("keyword"))
+    return words.select("p_partkey", F.explode(F.array_except("all", done)).alias("keyword"))
 
 
 def candidate_union(spark, sf):

@@ -1,6 +1,7 @@
 """Sources, sinks and the whole run on small captured inputs."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,18 @@ def test_candidate_union_whole(spark):
     every = relations._product_urls(spark, sf).select("url").distinct()
     found = relations.candidate_union_whole(spark, sf)
     assert found.count() == every.count() and every.join(found, "url", "left_anti").count() == 0
+
+
+def test_ttl_lookup_against_brute_force(spark):
+    rng = random.Random(4)
+    entries = [(rng.choice("abc"), rng.randrange(0, 2000), rng.randrange(5)) for _ in range(150)] + [(None, 5, 1), ("a", None, 2), ("a", 700, 1), ("a", 700, 4)]
+    asked = [(k, rng.choice("abcd"), rng.randrange(0, 2000)) for k in range(200)] + [(200, None, 6), (201, "a", 700), (202, "a", None), (203, "a", 700)]
+    cache = spark.createDataFrame(entries, "k string, written_at bigint, value int")
+    requests = spark.createDataFrame(asked, "request_id int, k string, at bigint")
+    for ttl in (1, 40, 5000):
+        got = {r.request_id: r.value for r in relational.ttl_lookup(requests, cache, ["k"], ttl).collect()}
+        want = {}
+        for i, k, at in asked:
+            fit = [(w, v) for key, w, v in entries if None not in (k, at, w) and key == k and 0 <= at - w <= ttl]
+            want[i] = max(fit)[1] if fit else None
+        assert got == want
