@@ -103,9 +103,10 @@ def _kind(e: str) -> str:
 CLASSES, SECRET_CLASSES = ("09", "az", "AZ"), ("09", "af", "gz", "AF", "GZ")
 
 
-def _shifted(c: str, n: str, classes: tuple[str, ...], alphabets: str) -> str:
+def _shifted(c: str, n: str, tweak: str, alphabets: str) -> str:
     """One character moved on by ``n`` within its class (first and last ASCII character of each), or within its alphabet; others stay."""
-    cases = [f"WHEN {c} BETWEEN '{x}' AND '{y}' THEN char({ord(x)} + pmod(ascii({c}) - {ord(x)} + {n}, {ord(y) - ord(x) + 1}))" for x, y in classes]
+    guarded = [(f"{tweak} <> 'secret' AND", x) for x in CLASSES] + [("", x) for x in SECRET_CLASSES]
+    cases = [f"WHEN {guard} {c} BETWEEN '{x}' AND '{y}' THEN char({ord(x)} + pmod(ascii({c}) - {ord(x)} + {n}, {ord(y) - ord(x) + 1}))" for guard, (x, y) in guarded]
     own = _let(f"get(filter({alphabets}, a -> contains(a, {c})), 0)", lambda a: f"substring({a}, pmod(instr({a}, {c}) - 1 + {n}, length({a})) + 1, 1)")
     return f"CASE {' '.join(cases)} WHEN ascii({c}) > 127 THEN coalesce({own}, {c}) ELSE {c} END"
 
@@ -116,21 +117,20 @@ def _permuted(text: str, tweak: str, key: str, alphabets: str) -> str:
     A Feistel network, then each character moved on by one, then the network undone: as the middle step leaves nothing
     in place, neither does the whole.
     """
-    classes = SECRET_CLASSES if tweak == "secret" else CLASSES
     turns = f"array({', '.join(map(str, range(ROUNDS)))})"
 
     def moved(chars: str, by: str, k: str, sign: str) -> str:
         """``chars`` moved by amounts that depend on the key, the round and ``by``."""
-        pad = f"sha2(cast(concat_ws('|', {_text(key)}, '{tweak}', {k}, array_join({by}, '')) AS binary), 256)"
+        pad = f"sha2(cast(concat_ws('|', {_text(key)}, {tweak}, {k}, array_join({by}, '')) AS binary), 256)"
         amount = lambda h: f"{sign}(ascii(substring({h}, 1 + 2 * pmod(i, 31), 1)) * 16 + ascii(substring({h}, 2 + 2 * pmod(i, 31), 1)))"
-        return _let(pad, lambda h: f"transform({chars}, (c, i) -> {_shifted('c', amount(h), classes, alphabets)})")
+        return _let(pad, lambda h: f"transform({chars}, (c, i) -> {_shifted('c', amount(h), tweak, alphabets)})")
 
     def network(t: str) -> str:
         half = f"cast(floor(length({t}) / 2) AS int)"
         start = f"named_struct('l', slice(split({t}, ''), 1, {half}), 'r', slice(split({t}, ''), {half} + 1, length({t})))"
         there = f"named_struct('l', s.r, 'r', {moved('s.l', 's.r', 'k', '')})"
         back = f"named_struct('l', {moved('s.r', 's.l', 'k', '-')}, 'r', s.l)"
-        on = lambda side: f"transform({side}, c -> {_shifted('c', '1', classes, alphabets)})"
+        on = lambda side: f"transform({side}, c -> {_shifted('c', '1', tweak, alphabets)})"
         turned = f"aggregate({turns}, {start}, (s, k) -> {there}, s -> named_struct('l', {on('s.l')}, 'r', {on('s.r')}))"
         return f"aggregate(reverse({turns}), {turned}, (s, k) -> {back}, s -> array_join(concat(s.l, s.r), ''))"
 
@@ -174,7 +174,14 @@ def _number(*parts: str) -> str:
 
 def _surrogate(e: str, key: str) -> str:
     alphabets = f"split({_text(' '.join(ALPHABETS))}, ' ')"
-    return _let(alphabets, lambda a: _let(_kind(e), lambda kind: _let(_canonical(e, kind), lambda norm: _replaced(e, kind, norm, key, a))))
+    listed = f"array({', '.join(_text(n) for names in GIVEN_NAMES.values() for n in names)})"
+    known = f"named_struct('alphabets', {alphabets}, 'listed', {listed})"
+    kind = lambda k: f"IF({_kind(e)} = 'person' AND array_contains({k}.listed, {_GIVEN.format(e)}), 'listed', {_kind(e)})"
+    return _let(known, lambda k: _let(kind(k), lambda tweak: _let(_canonical(e, tweak), lambda norm: _replaced(e, tweak, norm, key, k))))
+
+
+#: The first word of a name.
+_GIVEN = "regexp_extract({0}, '^[^ ]+', 0)"
 
 
 def canonical(e: str) -> Column:
@@ -187,42 +194,49 @@ def surrogate(e: str, key: str) -> Column:
     return F.expr(_surrogate(e, key))
 
 
-def _replaced(e: str, kind: str, norm: str, key: str, alphabets: str) -> str:
-    tweaked = lambda text, name: _permuted(text, name, key, alphabets)
-    suffix = rf"regexp_extract({norm}, '[.][a-z]{{2,24}}$', 0)"
-    mail = f"concat({tweaked(f'substring({norm}, 1, length({norm}) - length({suffix}))', 'email')}, {suffix})"
-    mail = f"array_join(zip_with(split({mail}, ''), split({e}, ''), (new, old) -> IF(old BETWEEN 'A' AND 'Z', upper(new), new)), '')"
-    # What is kept follows from the canonical form alone, so all formats of a number get one surrogate.
-    rest = lambda c: tweaked(f"substring(replace({norm}, '+', ''), length({c}) + 1, length({norm}))", "phone")
-    phone = _let(_let(f"regexp_extract({norm}, {_text(CALLING_CODE)}, 1)", lambda c: f"concat({c}, {rest(c)})"), lambda digits: _refilled(e, digits))
-    # The issuer's first digit stays, and a check digit is as right or wrong as it was.
-    body = f"substring({norm}, 1, length({norm}) - 1)"
-    moved = f"concat(substring({norm}, 1, 1), {tweaked(f'substring({norm}, 2, length({norm}) - 2)', 'card')})"
-    check = lambda b: f"pmod({_luhn_digit(b)} + cast(right({norm}, 1) AS int) - {_luhn_digit(body)}, 10)"
-    card = _let(_let(moved, lambda b: f"concat({b}, {check(b)})"), lambda digits: _refilled(e, digits))
-    # Each octet moves by a keyed amount that depends on the later ones, so the map can be undone from the last one back; the last always moves.
+def _replaced(e: str, kind: str, norm: str, key: str, known: str) -> str:
+    """What is kept at the start, what is permuted and what is kept at the end, by type; then the format of ``e`` is put back.
+
+    All follow from the canonical form, so all formats of an entity get one surrogate. A card keeps its issuer's first
+    digit, and a check digit that is as right or wrong as it was. An unlisted given name is permuted again while it is
+    on a list, so names of the two kinds can't meet.
+    """
+    size = f"length({norm})"
+    suffix = f"regexp_extract({norm}, '[.][a-z]{{2,24}}$', 0)"
+    code = f"regexp_extract({norm}, {_text(CALLING_CODE)}, 1)"
+    head = f"CASE {kind} WHEN 'phone' THEN {code} WHEN 'card' THEN left({norm}, 1) WHEN 'iban' THEN left({norm}, 2) WHEN 'cloud_key' THEN left({norm}, 4) WHEN 'listed' THEN {_given(e, key)} ELSE '' END"
+    cut = lambda lo, n: f"substring({norm}, {lo}, {n})"
+    body = (
+        f"CASE {kind} WHEN 'email' THEN {cut(1, f'{size} - length({suffix})')} WHEN 'phone' THEN substring(replace({norm}, '+', ''), length({code}) + 1, {size}) WHEN 'card' THEN {cut(2, f'{size} - 2')} "
+        f"WHEN 'iban' THEN {cut(3, size)} WHEN 'cloud_key' THEN {cut(5, size)} WHEN 'listed' THEN {cut(f'length({_GIVEN.format(e)}) + 1', size)} WHEN 'ip' THEN '' ELSE {norm} END"
+    )
+    again = f"{kind} = 'person' AND array_contains({known}.listed, {_GIVEN.format('w')})"
+    moved = f"aggregate(sequence(0, {WALK}), {body}, (w, n) -> IF(n = 0 OR {again}, {_permuted('w', kind, key, f'{known}.alphabets')}, w))"
+    check = lambda b: f"pmod({_luhn_digit(b)} + cast(right({norm}, 1) AS int) - {_luhn_digit(cut(1, f'{size} - 1'))}, 10)"
+
+    def formatted(new: str) -> str:
+        mail = f"array_join(zip_with(split({new}, ''), split({e}, ''), (new, old) -> IF(old BETWEEN 'A' AND 'Z', upper(new), new)), '')"
+        card = _let(f"concat({new}, {check(new)})", lambda digits: _refilled(e, digits))
+        by_kind = {"email": mail, "phone": _refilled(e, new), "ssn": _refilled(e, new), "card": card, "iban": _spaced(e, new), "ip": _address(e, key)}
+        return f"CASE {kind} {' '.join(f"WHEN '{name}' THEN {made}" for name, made in by_kind.items())} ELSE {new} END"
+
+    return _let(f"concat({head}, {moved}, IF({kind} = 'email', {suffix}, ''))", formatted)
+
+
+def _address(e: str, key: str) -> str:
+    """Each octet moves by a keyed amount that depends on the later ones, so the map can be undone from the last one back; the last always moves."""
     by = lambda parts: _number(_text(key), "'ip'", "i", f"array_join(slice({parts}, i + 2, 4), '.')")
-    ip = _let(_octets(e), lambda parts: f"array_join(transform({parts}, (o, i) -> cast(pmod(o + IF(i = 3, 1 + pmod({by(parts)}, 255), {by(parts)}), 256) AS string)), '.')")
-    given, family = f"regexp_extract({e}, '^[^ ]+', 0)", f"regexp_replace({e}, '^[^ ]+', '')"
-    person = f"concat({_let(given, lambda g: _given(g, family, key, alphabets))}, {tweaked(family, 'family')})"
-    cloud = f"concat(substring({e}, 1, 4), {tweaked(f'substring({e}, 5, 16)', 'cloud')})"
-    # The pattern of blanks is put back from the original.
-    iban = _let(f"concat(substring({norm}, 1, 2), {tweaked(f'substring({norm}, 3, length({norm}))', 'iban')})", lambda t: _spaced(e, t))
-    ssn = _let(tweaked(norm, "ssn"), lambda digits: _refilled(e, digits))
-    by_kind = {"email": mail, "phone": phone, "card": card, "ip": ip, "ssn": ssn, "person": person, "cloud_key": cloud, "iban": iban}
-    return f"CASE {kind} {' '.join(f"WHEN '{name}' THEN {made}" for name, made in by_kind.items())} ELSE {tweaked(e, 'secret')} END"
-
-
-def _given(given: str, rest: str, key: str, alphabets: str) -> str:
-    """A listed given name becomes another of its gender; an unlisted one is permuted, again and again while it is on a list, so the two kinds can't meet."""
-    listed = {gender: f"array({', '.join(map(_text, names))})" for gender, names in GIVEN_NAMES.items()}
-    on_list = lambda name: " OR ".join(f"array_contains({names}, {name})" for names in listed.values())
-    walk = f"aggregate(sequence(1, {WALK}), {_permuted(given, 'given', key, alphabets)}, (w, _) -> IF({on_list('w')}, {_permuted('w', 'given', key, alphabets)}, w))"
+    return _let(_octets(e), lambda parts: f"array_join(transform({parts}, (o, i) -> cast(pmod(o + IF(i = 3, 1 + pmod({by(parts)}, 255), {by(parts)}), 256) AS string)), '.')")
+
+
+def _given(e: str, key: str) -> str:
+    """Another given name of the same gender, never the same, by the rest of the name."""
     cases = []
-    for gender, names in GIVEN_NAMES.items():
-        turn = f"pmod({_number(_text(key), "'given'", rest)}, {len(names) - 1})"
-        cases.append(f"WHEN array_contains({listed[gender]}, {given}) THEN element_at({listed[gender]}, 1 + pmod(cast(array_position({listed[gender]}, {given}) AS int) + {turn}, {len(names)}))")
-    return f"CASE {' '.join(cases)} ELSE {walk} END"
+    for names in GIVEN_NAMES.values():
+        listed, given = f"array({', '.join(map(_text, names))})", _GIVEN.format(e)
+        turn = f"pmod({_number(_text(key), "'given'", f"regexp_replace({e}, '^[^ ]+', '')")}, {len(names) - 1})"
+        cases.append(f"WHEN array_contains({listed}, {given}) THEN element_at({listed}, 1 + pmod(cast(array_position({listed}, {given}) AS int) + {turn}, {len(names)}))")
+    return f"CASE {' '.join(cases)} ELSE '' END"
 
 
 def pieces(text: Column) -> Column:

@@ -441,7 +441,7 @@ class PlainSurrogates:
             new = self.permuted(low[: -len(suffix)], "email") + suffix
             return "".join(n.upper() if o.isascii() and o.isupper() else n for n, o in zip(new, e))
         if match("cloud_key"):
-            return e[:4] + self.permuted(e[4:], "cloud")
+            return e[:4] + self.permuted(e[4:], "cloud_key")
         if match("iban"):
             plain = e.replace(" ", "")
             new = iter(plain[:2] + self.permuted(plain[2:], "iban"))
@@ -463,12 +463,11 @@ class PlainSurrogates:
             family = " " + family if family else ""
             names = next((n for n in pii.GIVEN_NAMES.values() if given in n), None)
             if names:
-                new = names[(names.index(given) + 1 + self.number("given", family) % (len(names) - 1)) % len(names)]
-            else:
-                new = self.permuted(given, "given")
-                while any(new in n for n in pii.GIVEN_NAMES.values()):
-                    new = self.permuted(new, "given")
-            return new + self.permuted(family, "family")
+                return names[(names.index(given) + 1 + self.number("given", family) % (len(names) - 1)) % len(names)] + self.permuted(family, "listed")
+            new = self.permuted(e, "person")
+            while any(new.split()[0] in n for n in pii.GIVEN_NAMES.values()):
+                new = self.permuted(new, "person")
+            return new
         return self.permuted(e, "secret")
 
 
