@@ -195,12 +195,26 @@ def keyword_expand(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.explode(text.keywords(brand, model, sheet)).alias("keyword"))
 
 
+def search_href(spark, sf):
+    """Targets of links as a search page writes them: redirects, plain links, and links of its own."""
+    k = F.col("page_id") % 3
+    href = F.when(k == 0, F.concat(F.lit("/url?sa=t&q="), F.url_encode("url"), F.lit("&ved=1"))).when(k == 1, F.col("url")).otherwise(F.lit("/search?q=x"))
+    return table(spark, sf, "pages").select("page_id", urls.normalize_href(href).alias("target"))
+
+
+def absolute_href(spark, sf):
+    """Links as written on a page, seen from the page's own URL."""
+    k = F.col("page_id") % 4
+    href = F.when(k == 0, F.lit("//cdn.vn/x.html")).when(k == 1, F.lit("/gia/tot")).when(k == 2, F.lit("trang.html")).otherwise(F.lit("https://khac.vn/y"))
+    return table(spark, sf, "pages").select("page_id", urls.absolute(F.col("url"), href).alias("target"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         price_parse_plain, price_parse_million, price_parse_thousand, price_parse_reject, price_shape_check, price_range_filter, fake_price_filter, normalize_text, normalize_model,
         clean_model_specs, clean_title, model_variants, mask_value, row_selection, token_explode, model_split, prefix_conflict, suffix_conflict, model_match, model_theta_join,
-        model_from_title, brand_detect, url_host_counts, homepage_flag, detail_url_filter, relevance_score, bing_decode, topk_candidates, keyword_expand,
+        model_from_title, brand_detect, url_host_counts, homepage_flag, detail_url_filter, relevance_score, bing_decode, topk_candidates, keyword_expand, search_href, absolute_href,
     )
 }
 
@@ -242,6 +256,9 @@ SELECT p_partkey, a AS row_number FROM s UNION SELECT p_partkey, unnest(range(le
     "homepage_flag": "SELECT page_id, page_id % 3 = 0 OR regexp_full_match(url, 'https?://[^/?#]+(/|/index.html|/index.php|/index.htm)?([?#].*)?') AS is_home FROM pages",
     "detail_url_filter": f"WITH {_SQL_URLS} SELECT p_partkey, url FROM t WHERE r IN (0, 1) AND p_size % 5 <> 0",
     "relevance_score": f"WITH {_SQL_URLS} SELECT p_partkey, score FROM t",
+    "search_href": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url END AS target FROM pages",
+    "absolute_href": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || '//cdn.vn/x.html' WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/gia/tot' WHEN 3 THEN 'https://khac.vn/y'
+  ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || 'trang.html' END AS target FROM pages""",
     "bing_decode": "SELECT page_id, url AS target FROM pages",
     "topk_candidates": f"WITH {_SQL_URLS}, k AS (SELECT p_brand, url, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, url)::INT AS rank FROM t) SELECT p_brand, rank, url, score FROM k WHERE rank <= 50",
     "keyword_expand": """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Bosch' ELSE p_brand END AS b, p_size, concat('QA', p_partkey::VARCHAR) AS base, CASE WHEN p_size % 3 = 0 THEN 'Ab' ELSE '-7' END AS tail FROM part),

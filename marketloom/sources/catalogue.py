@@ -9,12 +9,10 @@ from marketloom.functions import text
 from marketloom.operators import relational
 
 SCHEMA = "products array<struct<title:string,vendor:string,variants:array<struct<id:bigint,sku:string,barcode:string>>>>"
-#: Fixed value: pages of the catalogue that are read at most.
-LAST_PAGE = 100
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages of the catalogue, one JSON document for each."""
+    """Captured pages of the catalogue, one JSON document for each; all of them are read, an empty one adds nothing."""
     return spark.read.schema(SCHEMA).option("multiLine", True).json(path)
 
 
