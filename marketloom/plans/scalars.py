@@ -202,6 +202,14 @@ def search_href(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.normalize_href(href).alias("target"))
 
 
+def category_flag(spark, sf):
+    """Links that name a product category in their text or path."""
+    k = F.col("p_partkey") % 3
+    label = F.when(k == 0, F.concat(F.lit("Xem Quạt "), F.col("p_name"))).otherwise(F.col("p_name"))
+    path = F.when(k == 1, F.lit("/may-giat/9")).otherwise(F.lit("/p/9"))
+    return table(spark, sf, "part").select("p_partkey", urls.matches_category(label, path).alias("is_category"))
+
+
 def absolute_href(spark, sf):
     """Links as written on a page, seen from the page's own URL."""
     k = F.col("page_id") % 4
@@ -214,7 +222,7 @@ QUERIES = {
     for f in (
         price_parse_plain, price_parse_million, price_parse_thousand, price_parse_reject, price_shape_check, price_range_filter, fake_price_filter, normalize_text, normalize_model,
         clean_model_specs, clean_title, model_variants, mask_value, row_selection, token_explode, model_split, prefix_conflict, suffix_conflict, model_match, model_theta_join,
-        model_from_title, brand_detect, url_host_counts, homepage_flag, detail_url_filter, relevance_score, bing_decode, topk_candidates, keyword_expand, search_href, absolute_href,
+        model_from_title, brand_detect, url_host_counts, homepage_flag, detail_url_filter, relevance_score, bing_decode, topk_candidates, keyword_expand, search_href, category_flag, absolute_href,
     )
 }
 
@@ -257,6 +265,8 @@ SELECT p_partkey, a AS row_number FROM s UNION SELECT p_partkey, unnest(range(le
     "detail_url_filter": f"WITH {_SQL_URLS} SELECT p_partkey, url FROM t WHERE r IN (0, 1) AND p_size % 5 <> 0",
     "relevance_score": f"WITH {_SQL_URLS} SELECT p_partkey, score FROM t",
     "search_href": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url END AS target FROM pages",
+    "category_flag": f"""WITH l AS (SELECT p_partkey, lower(CASE WHEN p_partkey % 3 = 0 THEN 'Xem Quạt ' ELSE '' END || p_name) AS txt, CASE WHEN p_partkey % 3 = 1 THEN '/may-giat/9' ELSE '/p/9' END AS path FROM part)
+SELECT p_partkey, len(list_filter([{', '.join(f"'{w}'" for w in urls.CATEGORY_WORDS)}], lambda w: contains(txt, w) OR contains(path, replace(w, ' ', '-')))) > 0 AS is_category FROM l""",
     "absolute_href": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || '//cdn.vn/x.html' WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/gia/tot' WHEN 3 THEN 'https://khac.vn/y'
   ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || 'trang.html' END AS target FROM pages""",
     "bing_decode": "SELECT page_id, url AS target FROM pages",
