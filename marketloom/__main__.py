@@ -1,4 +1,4 @@
-"""Command line: python -m marketloom config | tabs | run | row | catalogue | cache-clear | notify."""
+"""Command line: python -m marketloom config | tabs | run | row | catalogue | cache-clear | update-price | notify."""
 
 from __future__ import annotations
 
@@ -26,6 +26,12 @@ def parser() -> argparse.ArgumentParser:
         row.add_argument(f"--{name}", default="")
     sub.add_parser("catalogue", help="write the catalogue's variants as brand, model and id")
     sub.add_parser("cache-clear", help="empty the cache")
+    update = sub.add_parser("update-price", help="write the price update of one variant")
+    update.add_argument("variant_id", type=int)
+    update.add_argument("price", type=int)
+    update.add_argument("--write-log", action="store_true", help="append to the update log too")
+    for name in ("brand", "model"):
+        update.add_argument(f"--{name}", default="")
     notify = sub.add_parser("notify", help="print the message that would be sent")
     notify.add_argument("text")
     return top
@@ -52,6 +58,11 @@ def main(argv: list[str] | None = None) -> int:
         catalogue.variants(catalogue.read(spark, settings.catalogue_path)).write.mode("overwrite").parquet(f"{settings.output_path}/variants")
     elif args.command == "cache-clear":
         cache.clear(spark, settings.cache_path)
+    elif args.command == "update-price":
+        change = spark.createDataFrame([(args.variant_id, args.brand, args.model, args.price, "success")], "variant_id bigint, brand string, model string, price bigint, status string")
+        catalogue.price_updates(change).write.mode("append").parquet(f"{settings.output_path}/price_updates")
+        if args.write_log:
+            sheets.update_log(change).write.mode("append").parquet(f"{settings.output_path}/update_log")
     else:
         if args.command == "run":
             tab = sheets.find_sheet(sheets.read_raw(spark, settings.sheets_path), args.sheet)
@@ -62,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
             rows = spark.createDataFrame([values], "sheet_name string, row_number int, product_id string, brand string, model string, list_price string, cost_price string, sale_price string, market_prices array<bigint>")
         out = run_pricing(rows, spark.read.parquet(settings.links_path), spark.read.parquet(settings.pages_path))
         out.results.write.mode("overwrite").parquet(f"{settings.output_path}/results")
-        out.logs.write.mode("overwrite").parquet(f"{settings.output_path}/logs")
+        out.logs.write.mode("append").parquet(f"{settings.output_path}/logs")
     return 0
 
 

@@ -274,8 +274,17 @@ def choose_price(candidates: Column, model: Column, reference: Column) -> Column
     return F.aggregate(candidates, F.lit(None).cast(kind), first)
 
 
-def page_prices(products: DataFrame, extracted: DataFrame) -> DataFrame:
-    """``products`` (url, model, brand, reference) with reject_reason, price and the selector that found it."""
+def page_prices(products: DataFrame, extracted: DataFrame, cached: DataFrame | None = None) -> DataFrame:
+    """``products`` (url, model, brand, reference) with reject_reason, price and the selector that found it.
+
+    ``cached`` (url, price; one row a URL, see sources.cache): a page that passes verification takes its known price, and its candidates are not read.
+    """
     joined = products.join(extracted, "url", "left").withColumn("reject_reason", F.when(F.col("titles").isNull(), "Page not found").otherwise(verify(F.col("titles"), F.col("url"), F.col("model"), F.col("brand"))))
-    chosen = joined.withColumn("chosen", F.when(F.col("reject_reason").isNull(), choose_price(F.col("candidates"), F.col("model"), F.col("reference"))))
-    return chosen.withColumns({"price": F.col("chosen.price"), "selector": F.col("chosen.selector")}).drop("chosen", "titles", "candidates")
+    if cached is not None:
+        joined = joined.join(cached.select("url", F.col("price").cast("bigint").alias("known")), "url", "left")
+    else:
+        joined = joined.withColumn("known", F.lit(None).cast("bigint"))
+    passed = F.col("reject_reason").isNull()
+    chosen = joined.withColumn("chosen", F.when(passed & F.col("known").isNull(), choose_price(F.col("candidates"), F.col("model"), F.col("reference"))))
+    price = F.coalesce(F.when(passed, F.col("known")), F.col("chosen.price"))
+    return chosen.withColumns({"price": price, "selector": F.col("chosen.selector")}).drop("chosen", "known", "titles", "candidates")

@@ -10,6 +10,7 @@ from marketloom.operators import pricing, relational
 from marketloom.plans import statistics
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
+from marketloom.sources import sheets
 
 #: An anchor with its text, and its target.
 ANCHOR, HREF = r'(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>', r'(?is)^<a\s[^>]*href="([^"]+)"'
@@ -206,6 +207,24 @@ def sheet_update_cells(spark, sf):
     return rows.select("l_orderkey", F.array_join(market, "|").alias("market_cells"), cell(F.col("min_price")).alias("min_cell"), cell(F.col("gap_value")).alias("gap_cell"), cell(share).alias("share_cell"), cell(F.col("suggested_price")).alias("suggested_cell"))
 
 
+def sale_price_update(spark, sf):
+    """Supplied parts as rows of sheets, of which every third part's sale price is set anew: sale price, gap and share of the cost after it."""
+    part, row = table(spark, sf, "part"), F.col("p_partkey") + 2
+    money_of = lambda factor: F.floor(F.col("p_retailprice") * factor).cast("bigint")
+    cost = F.when(F.col("p_size") % 5 != 0, money_of(7000))
+    blank = F.lit(None)
+    stored = part.select(F.col("p_brand").alias("sheet_name"), row.alias("row_number"), money_of(9000).alias("sale_price"), cost.alias("cost_price"), blank.cast("bigint").alias("gap_value"), blank.cast("double").alias("gap_percent"))
+    changes = part.where("p_size % 3 = 0").select(F.col("p_brand").alias("sheet_name"), row.alias("row_number"), money_of(8000).alias("price"))
+    after = sheets.set_sale_prices(stored, changes)
+    return after.select("sheet_name", "row_number", "sale_price", "gap_value", F.bround("gap_percent", 9).cast("decimal(20,9)").alias("gap_percent"))
+
+
+def update_log(spark, sf):
+    """Rows of the update log for orders as price changes, at a given time."""
+    changes = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("brand"), F.col("o_orderkey").cast("string").alias("model"), F.floor("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    return sheets.update_log(changes, "2026-01-02 03:04:05")
+
+
 def category_links(spark, sf):
     """All links of a page, whatever they lead to, as its SQL counts them; ``site_category_links`` applies the reference's filter."""
     hrefs = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]+)"'), F.lit(1))).alias("href"))
@@ -250,6 +269,7 @@ QUERIES = {
         code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, candidate_union_whole, first_seen_dedup,
         best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, cache_savings, learned_selector,
         group_updates, crawl_log_explode, sheet_update_row, sheet_update_cells, category_links, site_category_links, parent_path_anti, model_conflict_counts,
+        sale_price_update, update_log,
     )
 }
 
@@ -261,6 +281,9 @@ _HOME = ", ".join(f"'{w}'" for w in urls.HOME_PATHS)
 _FOLD = "translate(strip_accents(lower({0})), 'đ', 'd')"
 
 ORACLES = {
+    "sale_price_update": """WITH p AS (SELECT p_brand, p_partkey + 2 AS r, p_size, floor(p_retailprice * 9000)::BIGINT AS sale, floor(p_retailprice * 8000)::BIGINT AS new, CASE WHEN p_size % 5 <> 0 THEN floor(p_retailprice * 7000)::BIGINT END AS cost FROM part)
+SELECT p_brand AS sheet_name, r AS row_number, CASE WHEN p_size % 3 = 0 THEN new ELSE sale END AS sale_price, CASE WHEN p_size % 3 = 0 THEN new - cost END AS gap_value, CASE WHEN p_size % 3 = 0 THEN round_even((new - cost) / cost, 9)::DECIMAL(20, 9) END AS gap_percent FROM p""",
+    "update_log": "SELECT '2026-01-02 03:04:05' AS timestamp, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority ELSE '' END AS brand, o_orderkey::VARCHAR AS model, floor(o_totalprice)::BIGINT AS price, o_orderstatus AS status FROM orders",
     "code_model_join": """WITH d AS (SELECT (p_partkey % 1500) AS code, max(p_partkey) AS k FROM part GROUP BY 1)
 SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN coalesce('KF-' || k::VARCHAR, l_partkey::VARCHAR || '.0') ELSE 'M' || l_partkey::VARCHAR END AS model FROM lineitem LEFT JOIN d ON code = l_partkey""",
     "normalized_key_join": "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_partkey END AS variant_id FROM part",

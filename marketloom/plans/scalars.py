@@ -217,12 +217,55 @@ def absolute_href(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.absolute(F.col("url"), href).alias("target"))
 
 
+def entity_decode(spark, sf):
+    """Part names inside escaped text, one entity escaped twice and one that is not among the five."""
+    escaped = F.concat(F.lit("&amp;lt;b&gt; "), F.col("p_name"), F.lit(" &quot;"), F.col("p_brand"), F.lit("&quot; &#39;"), F.col("p_type"), F.lit("&#39; &amp;amp; &nbsp;"))
+    return table(spark, sf, "part").select("p_partkey", text.decode_entities(escaped).alias("decoded"))
+
+
+def sheet_name_list(spark, sf):
+    """Names of tabs as typed: blanks around them, empty ones, and repeats."""
+    typed = F.concat(F.lit(" "), F.col("p_brand"), F.lit(" ,, "), F.col("p_type"), F.lit(","), F.col("p_brand"), F.lit(", "), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise(F.col("p_name")), F.lit(" , "))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(text.selected_sheet_names(typed), "|").alias("names"))
+
+
+def _stock(spark, sf) -> DataFrame:
+    """Parts as variants of a shop's catalogue: SKUs and barcodes of many kinds, titles with and without a model code."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    sku = F.when(size % 4 == 0, F.concat(F.lit(" SK"), k.cast("string"), F.lit(" "))).when(size % 4 == 1, k.cast("string")).when(size % 4 == 2, F.col("p_brand"))
+    barcode = F.when(size % 3 == 0, F.concat(F.lit("B"), k.cast("string"))).when(size % 3 == 1, F.lit("a1")).otherwise(F.lit(""))
+    code = F.when(k % 4 == 0, F.concat(F.lit("EH-DIH"), k.cast("string"), F.lit(" "))).when(k % 4 == 1, F.concat(F.lit("x-"), k.cast("string"), F.lit(" kv-77 "))).otherwise(F.lit(""))
+    title = F.concat(F.lit("Bếp từ "), F.lower("p_brand"), F.lit(" [mới] "), code, F.col("p_name"), F.lit(" (hộp)|máy ĐÔI"))
+    return table(spark, sf, "part").select("p_partkey", "p_brand", sku.alias("sku"), barcode.alias("barcode"), title.alias("title"))
+
+
+def real_model(spark, sf):
+    return _stock(spark, sf).select("p_partkey", text.is_real_model(F.col("sku")).alias("sku_is_model"), text.is_real_model(F.col("barcode")).alias("barcode_is_model"))
+
+
+def commercial_name(spark, sf):
+    return _stock(spark, sf).select("p_partkey", text.commercial_name(F.col("title"), F.col("p_brand")).alias("name"))
+
+
+def variant_model(spark, sf):
+    """The model of a variant: SKU, barcode, code in the title, or commercial name."""
+    return _stock(spark, sf).select("p_partkey", text.extract_model(F.col("sku"), F.col("barcode"), F.col("title"), F.col("p_brand")).alias("model"))
+
+
+def sheet_price(spark, sf):
+    """Order totals as typed into a sheet in four notations, read as the sheet's script does."""
+    k, v = F.col("o_orderkey") % 4, F.floor("o_totalprice").cast("bigint")
+    typed = F.when(k == 0, F.concat(F.translate(F.format_number(v, 0), ",", "."), F.lit(" đ"))).when(k == 1, F.concat(v.cast("string"), F.lit(".00"))).when(k == 2, F.lit("0")).otherwise(F.lit("liên hệ"))
+    return table(spark, sf, "orders").select("o_orderkey", money.sheet_number(typed).alias("price"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         price_parse_plain, price_parse_million, price_parse_thousand, price_parse_reject, price_shape_check, price_range_filter, fake_price_filter, normalize_text, normalize_model,
         clean_model_specs, clean_title, model_variants, mask_value, row_selection, token_explode, model_split, prefix_conflict, suffix_conflict, model_match, model_theta_join,
         model_from_title, brand_detect, url_host_counts, homepage_flag, detail_url_filter, relevance_score, bing_decode, topk_candidates, keyword_expand, search_href, category_flag, absolute_href,
+        entity_decode, sheet_name_list, real_model, commercial_name, variant_model, sheet_price,
     )
 }
 
@@ -231,7 +274,25 @@ v AS (SELECT *, CASE r WHEN 0 THEN concat('https://shop.vn/san-pham/', slug) WHE
 s AS (SELECT *, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 150 + 100 * (r = 1)::INT END + 40 + 10 + 10 * (r = 0)::INT + 10 * (r = 1)::INT + 10 * (r <> 3)::INT - 50 * (r IN (2, 3))::INT - 100 * (p_size % 5 = 0)::INT AS raw FROM v),
 t AS (SELECT *, greatest(0, least(300, raw))::INT AS score FROM s)"""
 
+_STOP = ", ".join(f"'{w}'" for w in text.NAME_STOP_WORDS)
+_SQL_STOCK = """v AS (SELECT p_partkey, p_brand, CASE p_size % 4 WHEN 0 THEN concat('SK', p_partkey) WHEN 1 THEN p_partkey::VARCHAR WHEN 2 THEN p_brand ELSE '' END AS sku,
+  CASE p_size % 3 WHEN 0 THEN concat('B', p_partkey) WHEN 1 THEN 'a1' ELSE '' END AS barcode,
+  CASE p_partkey % 4 WHEN 0 THEN concat('EH-DIH', p_partkey, ' ') WHEN 1 THEN concat('x-', p_partkey, ' kv-77 ') ELSE '' END AS code, p_name FROM part),
+t AS (SELECT *, length(sku) >= 3 AND regexp_matches(sku, '[A-Za-z]') AND regexp_matches(sku, '[0-9]') AS sku_ok,
+  length(barcode) >= 3 AND regexp_matches(barcode, '[A-Za-z]') AND regexp_matches(barcode, '[0-9]') AS barcode_ok,
+  list_filter(string_split_regex(concat('Bếp từ ', replace(concat(lower(p_brand), '  ', code, p_name, ' '), lower(p_brand), ' '), ' máy ĐÔI'), '\\s+'), lambda w: w <> '' AND lower(w) NOT IN (""" + _STOP + """)) AS words FROM v)"""
+
 ORACLES = {
+    "entity_decode": """WITH e AS (SELECT p_partkey, concat('&amp;lt;b&gt; ', p_name, ' &quot;', p_brand, '&quot; &#39;', p_type, '&#39; &amp;amp; &nbsp;') AS e FROM part)
+SELECT p_partkey, replace(replace(replace(replace(replace(e, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)) AS decoded FROM e""",
+    "sheet_name_list": """WITH l AS (SELECT p_partkey, list_filter(list_transform(string_split(concat(' ', p_brand, ' ,, ', p_type, ',', p_brand, ', ', CASE WHEN p_size % 3 = 0 THEN p_type ELSE p_name END, ' , '), ','), lambda x: trim(x)), lambda x: x <> '') AS l FROM part)
+SELECT p_partkey, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS names FROM l""",
+    "real_model": f"WITH {_SQL_STOCK} SELECT p_partkey, sku_ok AS sku_is_model, barcode_ok AS barcode_is_model FROM t",
+    "commercial_name": f"WITH {_SQL_STOCK} SELECT p_partkey, array_to_string(words, ' ') AS name FROM t",
+    "variant_model": f"""WITH {_SQL_STOCK} SELECT p_partkey, CASE WHEN sku_ok THEN sku WHEN barcode_ok THEN barcode WHEN p_partkey % 4 = 0 THEN concat('DIH', p_partkey)
+  WHEN p_partkey % 4 = 1 THEN CASE WHEN length(p_partkey::VARCHAR) >= 3 THEN concat('X-', p_partkey) ELSE 'KV-77' END ELSE array_to_string(words, ' ') END AS model FROM t""",
+    "sheet_price": r"""WITH o AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN floor(o_totalprice)::BIGINT WHEN 1 THEN floor(o_totalprice)::BIGINT * 100 END AS v FROM orders)
+SELECT o_orderkey, CASE WHEN v > 0 THEN CASE WHEN v < 100000 THEN v * 1000 ELSE v END END AS price FROM o""",
     "price_parse_plain": "SELECT p_partkey, floor(p_retailprice * 10000)::BIGINT AS price FROM part",
     "price_parse_million": "SELECT o_orderkey, CASE WHEN v < 100000 THEN v * 1000 ELSE v END AS price FROM (SELECT o_orderkey, floor(o_totalprice / 100)::BIGINT * 10000 AS v FROM orders)",
     "price_parse_thousand": "SELECT p_partkey, CASE WHEN v < 100000 THEN v * 1000 ELSE v END AS price FROM (SELECT p_partkey, floor(p_retailprice)::BIGINT * 1000 AS v FROM part)",

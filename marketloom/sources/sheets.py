@@ -106,6 +106,27 @@ def upsert(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return priced.withColumn("gap_value", gap).withColumn("gap_percent", F.when(F.col("cost_price") > 0, gap / F.col("cost_price")))
 
 
+def set_sale_prices(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """The stored rows after single sale prices were set (``changes``: sheet_name, row_number, price; the highest of several for a row).
+
+    The gap and its share of the cost follow from the new price where the cost is known, as the sheet's formulas work them out.
+    Rows without a change, and the two protected ones, stay as they are.
+    """
+    new = changes.groupBy("sheet_name", "row_number").agg(F.max("price").alias("new"))
+    joined = stored.join(new, ["sheet_name", "row_number"], "left")
+    given = F.col("new").isNotNull() & (F.col("row_number") > 2)
+    gap = F.col("new") - F.col("cost_price")
+    after = {"sale_price": F.col("new"), "gap_value": gap, "gap_percent": F.when(F.col("cost_price") > 0, gap / F.col("cost_price"))}
+    return joined.withColumns({name: F.when(given, value).otherwise(F.col(name)) for name, value in after.items()}).drop("new")
+
+
+def update_log(changes: DataFrame, at: str | None = None) -> DataFrame:
+    """The five cells of the update log for each change (brand, model, price, status); append them to the log's table. ``at``: a timestamp, now if None."""
+    stamp = F.date_format(F.lit(at).cast("timestamp") if at else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+    cell = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return changes.select(stamp.alias("timestamp"), cell("brand").alias("brand"), cell("model").alias("model"), F.col("price").cast("bigint").alias("price"), cell("status").alias("status"))
+
+
 def last_filled_row(rows: DataFrame, column: str) -> Column:
     """The last row with something in ``column``, 2 at least; an aggregate expression."""
     return F.greatest(F.lit(2), F.coalesce(F.max(F.when(F.trim(F.coalesce(F.col(column), F.lit(""))) != "", F.col("row_number"))), F.lit(2)))

@@ -176,3 +176,34 @@ def test_ttl_lookup_against_brute_force(spark):
             fit = [(w, v) for key, w, v in entries if None not in (k, at, w) and key == k and 0 <= at - w <= ttl]
             want[i] = max(fit)[1] if fit else None
         assert got == want
+
+
+def test_single_sale_prices_and_update_log(spark):
+    stored = spark.createDataFrame(
+        [("s", 2, 5, 1, None, None), ("s", 3, 20, 8, None, None), ("s", 4, 20, None, 7, 0.5), ("s", 5, 20, 8, 12, 1.5), ("s", 6, 20, 0, None, None)],
+        "sheet_name string, row_number int, sale_price bigint, cost_price bigint, gap_value bigint, gap_percent double",
+    )
+    changes = spark.createDataFrame([("s", 2, 9), ("s", 3, 10), ("s", 3, 9), ("s", 4, 30), ("s", 6, 9), ("t", 5, 9)], "sheet_name string, row_number int, price bigint")
+    out = {r.row_number: (r.sale_price, r.gap_value, r.gap_percent) for r in sheets.set_sale_prices(stored, changes).collect()}
+    assert out == {2: (5, None, None), 3: (10, 2, 0.25), 4: (30, None, None), 5: (20, 12, 1.5), 6: (9, 9, None)}
+    log = spark.createDataFrame([(None, "M", 5, "success"), ("B", None, None, "error: x")], "brand string, model string, price bigint, status string")
+    assert [tuple(r) for r in sheets.update_log(log, "2026-01-02 03:04:05").orderBy("status").collect()] == [("2026-01-02 03:04:05", "B", "", None, "error: x"), ("2026-01-02 03:04:05", "", "M", 5, "success")]
+
+
+def test_known_prices_of_verified_pages(spark):
+    urls = [f"https://shop.vn/{k}" for k in range(3)]
+    pages = spark.createDataFrame([(urls[0], page("DI-333Pro", "12.500.000đ")), (urls[1], page("DI-333Pro", "12.500.000đ")), (urls[2], page("DI-888", "12.500.000đ"))], "url string, html string")
+    products = spark.createDataFrame([(u, "DI-333Pro", "Kocher", 12e6) for u in [*urls, "https://shop.vn/9"]], "url string, model string, brand string, reference double")
+    known = spark.createDataFrame([(urls[1], 11), (urls[2], 12), ("https://shop.vn/9", 13)], "url string, price bigint")
+    out = {r.url[-1]: (r.price, r.reject_reason is None) for r in html.page_prices(products, html.extract(pages), known).collect()}
+    assert out == {"0": (12_500_000, True), "1": (11, True), "2": (None, False), "9": (None, False)}
+
+
+def test_update_price_command(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("MARKETLOOM_OUTPUT_PATH", str(tmp_path))
+    for price in ("100", "200"):
+        assert cli.main(["update-price", "77", price, "--write-log", "--brand", "B", "--model", "M"]) == 0
+    assert cli.main(["update-price", "78", "300"]) == 0
+    bodies = [json.loads(r.payload)["variant"] for r in spark.read.parquet(str(tmp_path / "price_updates")).collect()]
+    assert sorted((b["id"], b["price"]) for b in bodies) == [(77, 100), (77, 200), (78, 300)]
+    assert sorted(r.price for r in spark.read.parquet(str(tmp_path / "update_log")).collect()) == [100, 200]
