@@ -76,6 +76,14 @@ class ByteEncoder:
             return _packed(self._library.encode(text, add_special_tokens=False).ids)
         return self._ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
+    def plain(self, text: str) -> list[int]:
+        """Ids where special tokens' strings are plain text."""
+        return self._ranks.encode_ordinary(text)
+
+    def all_bytes(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        return [self._ranks.decode_single_token_bytes(i) for i in range(self._ranks.n_vocab)]
+
 
 def _byte_letters() -> dict[int, str]:
     """Byte-level BPE's letter for each byte: printable Latin-1 stands for itself, the others follow from U+0100."""

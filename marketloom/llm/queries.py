@@ -1,11 +1,11 @@
-"""The registered queries op1 to op10, each over its whole table with production parameters, and their SQL."""
+"""The registered queries op1 to op13, each over its whole table with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import chunk_bpe, compaction, exact_topk, ivf, minhash, packing, pii, substring_dedup, token_counts, toxicity
+from marketloom.llm import alignment, chunk_bpe, compaction, exact_topk, ivf, minhash, packing, pii, piece_bpe, substring_dedup, token_counts, toxicity
 
 #: The key of the surrogates in the registered query; a deployment passes its own secret.
 DEMO_KEY = "marketloom-demo-key"
@@ -76,10 +76,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.encode_decode(_documents(spark, sf_dir))
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op2_compaction, op3_surrogates, op4_packing, op5_token_counts, op6_chunk_bpe, op7_minmax_dedup, op8_ivf_search, op9_exact_topk, op10_toxicity,
+        op1_substring_dedup, op2_compaction, op3_surrogates, op4_packing, op5_token_counts, op6_chunk_bpe, op7_minmax_dedup, op8_ivf_search, op9_exact_topk, op10_toxicity, op11_piece_bpe,
+        op13_alignment,
     )
 }
 
