@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import alignment, chunk_bpe, compaction, exact_topk, ivf, minhash, packing, pii, piece_bpe, substring_dedup, token_counts, toxicity
+from marketloom.llm import alignment, chunk_bpe, compaction, conversations, exact_topk, ivf, minhash, packing, pii, piece_bpe, substring_dedup, token_counts, toxicity
 
 #: The key of the surrogates in the registered query; a deployment passes its own secret.
 DEMO_KEY = "marketloom-demo-key"
@@ -82,6 +82,11 @@ def op11_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _sha256("decoded").alias("decoded_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(_table(spark, sf_dir, "conversations"))
+    return conversations.repair(rows, absent_col="absent").drop("repaired")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_documents(spark, sf_dir))
 
@@ -90,7 +95,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_compaction, op3_surrogates, op4_packing, op5_token_counts, op6_chunk_bpe, op7_minmax_dedup, op8_ivf_search, op9_exact_topk, op10_toxicity, op11_piece_bpe,
-        op13_alignment,
+        op12_conversation_repair, op13_alignment,
     )
 }
 
