@@ -81,11 +81,28 @@ def normalize_href(href: Column) -> Column:
     return F.when(href.startswith("/url?"), asked).when(href.rlike("^https?://"), F.when(href.contains("bing.com/ck/a"), decode_bing(href)).otherwise(href))
 
 
+def without_dots(url_path: Column) -> Column:
+    """A path from the root without ``.`` and ``..``: a fold over its segments, ``..`` taking the last one back."""
+    parts = F.split(url_path, "/")
+    step = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1)))).when(s == ".", kept).otherwise(F.array_append(kept, s))
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.array(F.lit("")), step)
+    ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded)
+    return F.when(url_path.contains("/."), F.array_join(ended, "/")).otherwise(url_path)
+
+
 def absolute(base: Column, href: Column) -> Column:
-    """``href`` as seen from ``base``: full, without scheme, from the root, or beside the base's last segment."""
-    scheme, site = url_part(base, "PROTOCOL"), F.concat(url_part(base, "PROTOCOL"), F.lit("://"), url_part(base, "AUTHORITY"))
-    beside = F.concat(site, F.when(path(base) == "", "/").otherwise(F.regexp_replace(path(base), "[^/]*$", "")), href)
-    return F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(site, href)).otherwise(beside)
+    """``href`` as seen from ``base``, as RFC 3986 resolves references; one that has a scheme, or a site, stays as it is."""
+    scheme, own = url_part(base, "PROTOCOL"), F.when(path(base) == "", "/").otherwise(path(base))
+    site = F.concat(scheme, F.lit("://"), url_part(base, "AUTHORITY"))
+    head, tail = F.regexp_extract(href, "^[^?#]*", 0), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    merged = F.when(head.startswith("/"), head).otherwise(F.concat(F.regexp_replace(own, "[^/]*$", ""), head))
+    same = F.concat(F.when(tail.startswith("?"), F.regexp_extract(base, "^[^?#]*", 0)).otherwise(F.regexp_extract(base, "^[^#]*", 0)), tail)
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(head == "", same)
+        .otherwise(F.concat(site, without_dots(merged), tail))
+    )
 
 
 def matches_category(text: Column, url_path: Column) -> Column:

@@ -211,9 +211,10 @@ def category_flag(spark, sf):
 
 
 def absolute_href(spark, sf):
-    """Links as written on a page, seen from the page's own URL."""
-    k = F.col("page_id") % 4
-    href = F.when(k == 0, F.lit("//cdn.vn/x.html")).when(k == 1, F.lit("/gia/tot")).when(k == 2, F.lit("trang.html")).otherwise(F.lit("https://khac.vn/y"))
+    """Links as written on a page, seen from the page's own URL: of another site, from the root, beside it, with dots, a query or a place alone."""
+    k = F.col("page_id") % 8
+    hrefs = ["//cdn.vn/x.html", "/gia/tot", "trang.html", "https://khac.vn/y", "../../a/./b/../c.html?x=../y", "..", "?trang=2", "#dau"]
+    href = F.element_at(F.array(*map(F.lit, hrefs)), (k + 1).cast("int"))
     return table(spark, sf, "pages").select("page_id", urls.absolute(F.col("url"), href).alias("target"))
 
 
@@ -328,8 +329,12 @@ SELECT p_partkey, a AS row_number FROM s UNION SELECT p_partkey, unnest(range(le
     "search_href": "SELECT page_id, CASE WHEN page_id % 3 < 2 THEN url END AS target FROM pages",
     "category_flag": f"""WITH l AS (SELECT p_partkey, lower(CASE WHEN p_partkey % 3 = 0 THEN 'Xem Quạt ' ELSE '' END || p_name) AS txt, CASE WHEN p_partkey % 3 = 1 THEN '/may-giat/9' ELSE '/p/9' END AS path FROM part)
 SELECT p_partkey, len(list_filter([{', '.join(f"'{w}'" for w in urls.CATEGORY_WORDS)}], lambda w: contains(txt, w) OR contains(path, replace(w, ' ', '-')))) > 0 AS is_category FROM l""",
-    "absolute_href": """SELECT page_id, CASE page_id % 4 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || '//cdn.vn/x.html' WHEN 1 THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || '/gia/tot' WHEN 3 THEN 'https://khac.vn/y'
-  ELSE regexp_extract(url, '^[a-z]+://[^/?#]+') || coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || 'trang.html' END AS target FROM pages""",
+    "absolute_href": """WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]+') AS site, coalesce(nullif(regexp_extract(url, '^[a-z]+://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') AS folder,
+  ['//cdn.vn/x.html', '/gia/tot', 'trang.html', 'https://khac.vn/y', '../../a/./b/../c.html?x=../y', '..', '?trang=2', '#dau'][page_id % 8 + 1] AS href FROM pages),
+s AS (SELECT *, string_split(folder || regexp_extract(href, '^[^?#]*'), '/')[2:] AS parts, regexp_extract(href, '^[^?#]*([?#].*)?', 1) AS tail FROM h),
+f AS (SELECT *, list_reduce(list_transform([p for p in parts if p <> '.'], lambda p: [p]), lambda kept, p: CASE WHEN p[1] <> '..' THEN list_concat(kept, p) WHEN len(kept) > 1 THEN kept[:-2] ELSE kept END, ['']) AS kept FROM s)
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN regexp_extract(url, '^[a-z]+:') || href WHEN 1 THEN site || href WHEN 3 THEN href WHEN 6 THEN regexp_extract(url, '^[^?#]*') || href WHEN 7 THEN regexp_extract(url, '^[^#]*') || href
+  ELSE site || '/' || array_to_string(kept[2:], '/') || CASE WHEN parts[-1] IN ('.', '..') AND len(kept) > 1 THEN '/' ELSE '' END || coalesce(tail, '') END AS target FROM f""",
     "bing_decode": "SELECT page_id, url AS target FROM pages",
     "topk_candidates": f"WITH {_SQL_URLS}, k AS (SELECT p_brand, url, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, url)::INT AS rank FROM t) SELECT p_brand, rank, url, score FROM k WHERE rank <= 50",
     "keyword_expand": """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'Bosch' ELSE p_brand END AS b, p_size, concat('QA', p_partkey::VARCHAR) AS base, CASE WHEN p_size % 3 = 0 THEN 'Ab' ELSE '-7' END AS tail FROM part),
