@@ -27,17 +27,15 @@ def top_k(rows: DataFrame, partition: list[str], order: list[Column], k: int, ra
 
 
 def progressive_stop(rows: DataFrame, partition: list[str], order: list[Column], hit: Column, batch: int, enough: int) -> DataFrame:
-    """Rows that are still looked at when work goes in batches and stops before the first batch with ``enough`` hits behind it."""
+    """Rows that are still looked at when work goes in batches and stops before the first batch with ``enough`` hits behind it.
+
+    For groups of bounded size, such as the fifty candidates of a row; ``ranks.progressive_stop`` takes groups of any size.
+    """
     numbered = rows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / batch).cast("int"))
     before = Window.partitionBy(*partition).orderBy("batch_no").rangeBetween(Window.unboundedPreceding, -1)
     return numbered.withColumn("hits_before", F.coalesce(F.sum(hit.cast("int")).over(before), F.lit(0))).where(F.col("hits_before") < enough)
 
 
-def batches(rows: DataFrame, partition: list[str], order: list[Column], size: int) -> DataFrame:
-    """Rows with the number of the flush that writes them."""
-    return rows.withColumn("batch_no", F.floor((F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1) / size).cast("int"))
-
-
 def ttl_lookup(requests: DataFrame, cache: DataFrame, keys: list[str], ttl_us: int) -> DataFrame:
     """Each request (keys, at, perhaps more) with the newest entry of its key written up to then and not older than the TTL.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
 from marketloom.functions.base import any_contained
-from marketloom.operators import pricing, relational
+from marketloom.operators import pricing, ranks, relational
 from marketloom.plans import statistics
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
@@ -139,20 +139,20 @@ def progressive_stop(spark, sf):
     """Which links are crawled when work goes in batches of ten and stops at five matches."""
     rows = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_discount")
     order = [F.col("l_orderkey"), F.col("l_linenumber")]
-    kept = relational.progressive_stop(rows, ["l_suppkey"], order, F.col("l_discount") >= 0.09, 10, 5)
+    kept = ranks.progressive_stop(rows, ["l_suppkey"], order, F.col("l_discount") >= 0.09, 10, 5)
     return kept.select("l_suppkey", "l_orderkey", "l_linenumber", "batch_no", "hits_before")
 
 
 def progressive_search(spark, sf):
     """Which keywords are searched, one by one in step order, until five detail links are there."""
     rows = table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type")
-    kept = relational.progressive_stop(rows, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "click", 1, 5)
+    kept = ranks.progressive_stop(rows, ["user_id"], [F.col("ts"), F.col("event_id")], F.col("event_type") == "click", 1, 5)
     return kept.groupBy("user_id").agg(F.count("*").alias("searched"))
 
 
 def batch_assignment(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    return relational.batches(rows, ["o_orderpriority"], [F.col("o_orderkey")], 10).select("o_orderkey", "o_orderpriority", "batch_no")
+    return ranks.batches(rows, ["o_orderpriority"], [F.col("o_orderkey")], 10).select("o_orderkey", "o_orderpriority", "batch_no")
 
 
 def ttl_lookup(spark, sf):
@@ -179,7 +179,7 @@ def learned_selector(spark, sf):
 def group_updates(spark, sf):
     """Updates grouped by sheet for writing, as JSON payloads of a flush of ten."""
     rows = table(spark, sf, "supplier").select(F.concat(F.lit("sheet"), (F.col("s_nationkey") % 5).cast("string")).alias("sheet"), F.col("s_suppkey").alias("row_number"))
-    flushed = relational.batches(rows, ["sheet"], [F.col("row_number")], 10)
+    flushed = ranks.batches(rows, ["sheet"], [F.col("row_number")], 10)
     grouped = flushed.groupBy("sheet", "batch_no").agg(F.array_sort(F.collect_list("row_number")).alias("rows"))
     return grouped.select("sheet", "batch_no", F.size("rows").cast("bigint").alias("n"), F.array_join("rows", ",").alias("row_numbers"))
 

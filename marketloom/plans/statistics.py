@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import money
-from marketloom.operators import pricing, relational
+from marketloom.operators import pricing, ranks, relational
 from marketloom.session import table
 
 
@@ -81,8 +81,30 @@ def sheet_recalc(spark, sf):
     return out.select("l_orderkey", "min_price", F.coalesce("min_price", "sale_price").alias("sale_price"), gap.alias("gap_value"), F.bround(gap / F.col("cost_price"), 9).alias("gap_percent"))
 
 
-QUERIES = {f.__name__: f for f in (suggested_pricing, price_percentiles, iqr_outliers, price_median, price_summary, lowest_ten, sheet_recalc)}
+def _by_flag(spark, sf):
+    """Prices by return flag: three groups that hold the whole table."""
+    return table(spark, sf, "lineitem").select("l_returnflag", money.parse_price_number(F.col("l_extendedprice") * F.col("l_quantity") * 100).alias("price"))
+
+
+def flag_price_summary(spark, sf):
+    """Quartiles and statistics of groups that no task could hold."""
+    out = ranks.price_summary(_by_flag(spark, sf), ["l_returnflag"])
+    return out.select("l_returnflag", "n_distinct", "p25", "p50", "p75", "n_kept", "min_price", "max_price", "avg_price", "median_price")
+
+
+def flag_outliers(spark, sf):
+    return ranks.price_outliers(_by_flag(spark, sf), ["l_returnflag"])
+
+
+QUERIES = {f.__name__: f for f in (suggested_pricing, price_percentiles, iqr_outliers, price_median, price_summary, lowest_ten, sheet_recalc, flag_price_summary, flag_outliers)}
+_FLAGS = """v AS (SELECT l_returnflag, round_even(l_extendedprice * l_quantity * 100, 0)::BIGINT AS x FROM lineitem),
+d AS (SELECT DISTINCT l_returnflag, CASE WHEN x < 100000 THEN x * 1000 ELSE x END AS price FROM v WHERE x > 0),
+q AS (SELECT l_returnflag, count(*) AS n_distinct, quantile_cont(price, 0.25) AS p25, quantile_cont(price, 0.5) AS p50, quantile_cont(price, 0.75) AS p75 FROM d GROUP BY 1),
+k AS (SELECT d.l_returnflag, price, n_distinct < 4 OR price BETWEEN p25 - 1.5 * (p75 - p25) AND p75 + 1.5 * (p75 - p25) AS kept FROM d JOIN q USING (l_returnflag))"""
 ORACLES = {
+    "flag_price_summary": f"""WITH {_FLAGS}, s AS (SELECT l_returnflag, count(*) AS n_kept, min(price) AS min_price, max(price) AS max_price, round_even(avg(price), 0)::BIGINT AS avg_price, round_even(quantile_cont(price, 0.5), 0)::BIGINT AS median_price FROM k WHERE kept GROUP BY 1)
+SELECT * FROM q JOIN s USING (l_returnflag)""",
+    "flag_outliers": f"WITH {_FLAGS} SELECT l_returnflag, price AS outlier_price FROM k WHERE NOT kept",
     "suggested_pricing": f"""WITH {_QUARTILES}, nd AS (SELECT l_orderkey, count(*) AS n_distinct FROM d GROUP BY 1), {_PRODUCTS}
 SELECT l_orderkey, min_price, max_price, avg_price, median_price, coalesce(n_kept < n_distinct, false) AS outlier_removed, min_price AS suggested_price,
   coalesce(min_price, sale_price, list_price) - cost_price AS gap_value,
