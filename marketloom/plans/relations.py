@@ -11,6 +11,7 @@ from marketloom.plans import statistics
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
 from marketloom.sources import sheets
+from marketloom.streaming import cache_state
 
 #: An anchor with its text, and its target.
 ANCHOR, HREF = r'(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>', r'(?is)^<a\s[^>]*href="([^"]+)"'
@@ -85,12 +86,6 @@ def keyword_except(spark, sf):
     return words.select("p_partkey", F.explode(F.array_except("all", done)).alias("keyword"))
 
 
-def candidate_union(spark, sf):
-    """Discovered links and those of the sitemaps, each once, where the sources are cut by id as in its SQL; ``candidate_union_whole`` covers all of ``part``."""
-    u = _product_urls(spark, sf)
-    return u.where("p_partkey % 4 <= 1").select("url").union(u.where("p_partkey % 4 = 1 OR p_size % 5 = 0").select("url")).distinct()
-
-
 def candidate_union_whole(spark, sf):
     """Discovered links (smaller sizes) and those of the sitemaps (larger or unknown ones), which overlap: every link is in one at least."""
     u = _product_urls(spark, sf)
@@ -163,6 +158,14 @@ def ttl_lookup(spark, sf):
     return relational.ttl_lookup(requests, cache, ["user_id"], 12 * 3600 * 1_000_000).select("request_id", F.col("value").alias("cached_event"))
 
 
+def ttl_stream(spark, sf):
+    """The same lookups answered by a stream: purchases enter the state, views ask it, an entry is forgotten after twelve hours."""
+    e = table(spark, sf, "events").where("event_type IN ('view', 'purchase')")
+    asks, event = F.col("event_type") == "view", F.col("event_id")
+    rows = e.select(F.col("user_id").cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), asks.alias("asks"), F.when(asks, event).alias("request_id"), F.when(~asks, event.cast("string")).alias("value"))
+    return cache_state.replay(rows, 12 * 3600 * 1_000_000).select("request_id", F.col("value").cast("bigint").alias("cached_event"))
+
+
 def cache_savings(spark, sf):
     """Requests and milliseconds saved by cache hits: 4 and 1500 for a link map hit, 1 and 500 for a page."""
     per_user = table(spark, sf, "events").groupBy("user_id").agg(F.max((F.col("event_type") == "click").cast("int")).alias("hit"), F.count_if(F.col("event_type") == "view").alias("n"))
@@ -190,13 +193,6 @@ def crawl_log_explode(spark, sf):
     return details.select("l_orderkey", F.explode("matched").alias("d")).select("l_orderkey", F.col("d.n").alias("l_linenumber"), money.format_dong(F.col("d.price")).alias("price_text"))
 
 
-def sheet_update_row(spark, sf):
-    """Ten market prices of an order's row (blank where there are fewer), minimum, and an empty gap, as its SQL has them; ``sheet_update_cells`` gives all fourteen cells."""
-    prices = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.bround(F.col("l_extendedprice") * 1000).cast("bigint"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.coalesce(F.get("m", i).cast("string"), F.lit("")))
-    return prices.select("l_orderkey", F.array_join(cells, "|").alias("market_cells"), F.get("m", F.lit(0)).cast("string").alias("min_cell"), F.lit("").alias("gap_cell"))
-
-
 def sheet_update_cells(spark, sf):
     """Fourteen cells of an order's row: ten market prices (blank where there are fewer), minimum, gap, share, suggestion."""
     arrays = pricing.price_arrays(statistics.observations(spark, sf), ["l_orderkey"])
@@ -225,13 +221,6 @@ def update_log(spark, sf):
     return sheets.update_log(changes, "2026-01-02 03:04:05")
 
 
-def category_links(spark, sf):
-    """All links of a page, whatever they lead to, as its SQL counts them; ``site_category_links`` applies the reference's filter."""
-    hrefs = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]+)"'), F.lit(1))).alias("href"))
-    full = hrefs.select("page_id", urls.host(F.col("url")).alias("site"), urls.absolute(F.col("url"), F.col("href")).alias("target"))
-    return full.select("page_id", (urls.host(F.col("target")) == F.col("site")).alias("own")).groupBy("page_id").agg(F.count("*").alias("links"))
-
-
 def site_category_links(spark, sf):
     """Distinct category links of a page: to its own site, naming a category in text or path, not the homepage, no excluded path."""
     found = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("a"))
@@ -266,9 +255,9 @@ def model_conflict_counts(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union, candidate_union_whole, first_seen_dedup,
-        best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, cache_savings, learned_selector,
-        group_updates, crawl_log_explode, sheet_update_row, sheet_update_cells, category_links, site_category_links, parent_path_anti, model_conflict_counts,
+        code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union_whole, first_seen_dedup,
+        best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, ttl_stream, cache_savings, learned_selector,
+        group_updates, crawl_log_explode, sheet_update_cells, site_category_links, parent_path_anti, model_conflict_counts,
         sale_price_update, update_log,
     )
 }
@@ -280,6 +269,9 @@ _EXCLUDED = ", ".join(f"'{w}'" for w in urls.CATEGORY_EXCLUSIONS)
 _HOME = ", ".join(f"'{w}'" for w in urls.HOME_PATHS)
 _FOLD = "translate(strip_accents(lower({0})), 'đ', 'd')"
 
+_TTL = """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
+SELECT r.event_id AS request_id, (SELECT arg_max(event_id, ts) FROM c WHERE c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 12 HOURS) AS cached_event FROM events r WHERE event_type = 'view'"""
+
 ORACLES = {
     "sale_price_update": """WITH p AS (SELECT p_brand, p_partkey + 2 AS r, p_size, floor(p_retailprice * 9000)::BIGINT AS sale, floor(p_retailprice * 8000)::BIGINT AS new, CASE WHEN p_size % 5 <> 0 THEN floor(p_retailprice * 7000)::BIGINT END AS cost FROM part)
 SELECT p_brand AS sheet_name, r AS row_number, CASE WHEN p_size % 3 = 0 THEN new ELSE sale END AS sale_price, CASE WHEN p_size % 3 = 0 THEN new - cost END AS gap_value, CASE WHEN p_size % 3 = 0 THEN round_even((new - cost) / cost, 9)::DECIMAL(20, 9) END AS gap_percent FROM p""",
@@ -300,7 +292,6 @@ SELECT f.field, coalesce((SELECT idx FROM m WHERE m.field = f.field ORDER BY pos
     "sheet_union": "SELECT 'suppliers' AS sheet, count(*) AS n, max(s_suppkey) AS last_row FROM supplier UNION ALL SELECT 'customers', count(*), max(c_custkey) FROM customer",
     "keyword_except": """WITH m AS (SELECT p_partkey, p_brand AS b, 'KX' || p_partkey::VARCHAR AS base FROM part)
 SELECT DISTINCT p_partkey, unnest(['"' || base || 'A"', b || ' ' || base || 'A giá', b || ' ' || base || 'A site:.vn', b || ' ' || base || 'A khuyến mãi', b || ' ' || base, base, '"' || base || '"', b || ' ' || base || ' giá', lower(base) || 'a', b || ' ' || lower(base) || 'a']) AS keyword FROM m""",
-    "candidate_union": "WITH u AS (SELECT p_partkey, p_size, p_partkey % 4 AS r, concat(replace(p_name, ' ', '-'), '-di-', (p_partkey + 1000)::VARCHAR, CASE WHEN p_size % 5 = 0 THEN '-plus' ELSE '' END) AS slug FROM part) SELECT DISTINCT CASE r WHEN 0 THEN concat('https://shop.vn/san-pham/', slug) WHEN 1 THEN concat('https://www.nguyenkim.com/', slug, '.html') WHEN 2 THEN concat('https://shop.vn/collections/', slug) ELSE concat('https://google.com/search?q=', slug) END AS url FROM u WHERE r <= 1 OR p_size % 5 = 0",
     "candidate_union_whole": """WITH u AS (SELECT p_partkey % 4 AS r, p_size, concat(replace(p_name, ' ', '-'), '-di-', (p_partkey + 1000)::VARCHAR, CASE WHEN p_size % 5 = 0 THEN '-plus' ELSE '' END) AS slug FROM part),
 l AS (SELECT p_size, CASE r WHEN 0 THEN concat('https://shop.vn/san-pham/', slug) WHEN 1 THEN concat('https://www.nguyenkim.com/', slug, '.html') WHEN 2 THEN concat('https://shop.vn/collections/', slug) ELSE concat('https://google.com/search?q=', slug) END AS url FROM u)
 SELECT url FROM l WHERE p_size <= 30 UNION SELECT url FROM l WHERE p_size >= 20 OR p_size IS NULL""",
@@ -317,20 +308,17 @@ SELECT l_suppkey, l_orderkey, l_linenumber, batch_no, hits_before FROM b WHERE h
     "progressive_search": """WITH n AS (SELECT user_id, coalesce(sum((event_type = 'click')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events)
 SELECT user_id, count(*) AS searched FROM n WHERE before < 5 GROUP BY 1""",
     "batch_assignment": "SELECT o_orderkey, o_orderpriority, ((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 10)::INT AS batch_no FROM orders",
-    "ttl_lookup": """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
-SELECT r.event_id AS request_id, (SELECT arg_max(event_id, ts) FROM c WHERE c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 12 HOURS) AS cached_event FROM events r WHERE event_type = 'view'""",
+    "ttl_lookup": _TTL,
+    "ttl_stream": _TTL,
     "cache_savings": "SELECT user_id, 4 * max((event_type = 'click')::INT) + count(*) FILTER (event_type = 'view') AS saved_requests, 1500 * max((event_type = 'click')::INT) + 500 * count(*) FILTER (event_type = 'view') AS saved_ms FROM events GROUP BY 1",
     "learned_selector": "SELECT 'shop' || (user_id % 40)::VARCHAR || '.vn' AS domain, '.' || arg_max(event_type, (ts, event_id)) AS selector FROM events GROUP BY 1",
     "group_updates": """WITH r AS (SELECT 'sheet' || (s_nationkey % 5)::VARCHAR AS sheet, s_suppkey FROM supplier), b AS (SELECT *, ((row_number() OVER (PARTITION BY sheet ORDER BY s_suppkey) - 1) // 10)::INT AS batch_no FROM r)
 SELECT sheet, batch_no, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER BY s_suppkey) AS row_numbers FROM b GROUP BY 1, 2""",
     "crawl_log_explode": "SELECT l_orderkey, l_linenumber, replace(format('{:,}', round_even(l_extendedprice * 1000, 0)::BIGINT), ',', '.') || ' đ' AS price_text FROM lineitem",
-    "sheet_update_row": """WITH a AS (SELECT l_orderkey, list_sort(list(round_even(l_extendedprice * 1000, 0)::BIGINT)) AS m FROM lineitem GROUP BY 1)
-SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, m[1]::VARCHAR AS min_cell, '' AS gap_cell FROM a""",
     "sheet_update_cells": f"""WITH {statistics._QUARTILES}, {statistics._PRODUCTS}, a AS (SELECT l_orderkey, list_sort(list(price)) AS m FROM obs GROUP BY 1),
 g AS (SELECT l_orderkey, m, min_price, coalesce(min_price, sale_price, list_price) AS base, cost_price FROM pp LEFT JOIN a USING (l_orderkey) LEFT JOIN stats USING (l_orderkey))
 SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, coalesce(min_price::VARCHAR, '') AS min_cell, coalesce((base - cost_price)::VARCHAR, '') AS gap_cell,
   coalesce(round_even((base - cost_price) / base, 9)::DECIMAL(20, 9)::VARCHAR, '') AS share_cell, coalesce(min_price::VARCHAR, '') AS suggested_cell FROM g""",
-    "category_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS links FROM h GROUP BY 1""",
     "site_category_links": f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}')) AS a FROM pages),
 h AS (SELECT page_id, url, trim(regexp_extract(a, '{HREF}', 1)) AS href, lower(regexp_replace(a, '<[^>]*>', '', 'g')) AS txt, regexp_extract(url, '^https?://[^/?#]*') AS site FROM a),
 t AS (SELECT page_id, url, txt, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^https?:') || href WHEN starts_with(href, '/') THEN site || href

@@ -1,14 +1,10 @@
-"""Streaming side of a run: results flushed in batches, and caches that forget by processing time."""
+"""Streaming side of a run: results flushed in batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marketloom.operators import ranks
 from marketloom.sources import sheets
@@ -22,23 +18,3 @@ def flush_results(results: DataFrame, target: str, checkpoint: str, batch_rows:
         sheets.payloads(numbered).write.mode("overwrite").json(f"{target}/batch={batch_id}")
 
     return results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def remembered(entries: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, value, ts) each time a key's value changes, or comes back after it was forgotten: a cache as state, with a TTL."""
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        value, ts = state.get if state.exists else (None, None)
-        out = []
-        for row in pd.concat(list(frames)).sort_values("ts", kind="stable").itertuples():
-            if value != row.value or row.ts - ts > ttl_ms:
-                out.append((key[0], row.value, row.ts))
-            value, ts = row.value, row.ts
-        state.update((value, ts))
-        state.setTimeoutDuration(ttl_ms)
-        yield pd.DataFrame(out, columns=["key", "value", "ts"])
-
-    return entries.groupBy("key").applyInPandasWithState(update, "key string, value string, ts bigint", "value string, ts bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
