@@ -88,6 +88,12 @@ def free_name(columns: Iterable[str], name: str) -> str:
     return name
 
 
+def without_names(columns: Iterable[str], *made: str) -> list[str]:
+    """``columns`` but those called as one of ``made``, in any case: Spark tells no two such names apart."""
+    taken = {m.lower() for m in made}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def vector_rows(column: pa.Array) -> np.ndarray:
     """A list column of vectors of one length as a matrix of doubles (of longs for whole numbers)."""
     if isinstance(column, pa.ChunkedArray):
@@ -103,6 +109,18 @@ def same_length(vectors: DataFrame, column: str) -> tuple[DataFrame, int]:
     return (vectors.where(F.size(column) == found["size"]), found["n"]) if found else (vectors, 0)
 
 
+def least_hashes(rows: DataFrame, key: str, n_rows: int, limit: int) -> DataFrame:
+    """Of ``n_rows`` rows those with low hashes of ``key``, about twice ``limit``: a limit in order of hashes then moves these alone.
+
+    All rows if there are few, or if a repeated key leaves fewer than ``limit`` under the bound.
+    """
+    if n_rows <= 8 * limit:
+        return rows
+    bound = -(2**63) + int(2**64 * 2 * limit / n_rows)
+    low = rows.where(F.xxhash64(key) < bound)
+    return low if low.limit(limit).count() == limit else rows
+
+
 def met(rows: DataFrame, queries: DataFrame, keys: list[str], blocks: int) -> DataFrame:
     """Rows and queries with equal ``keys`` brought together in about ``blocks`` partitions, a group's rows before its queries.
 

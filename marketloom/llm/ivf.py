@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import meetings, met, same_length, vector_rows, written
+from marketloom.llm.common import least_hashes, meetings, met, same_length, vector_rows, written
 
 #: Vectors that the centroids and the number of probes are fitted on, at most (by hash of id), and lists; every vector is indexed.
 SAMPLE_ROWS, MAX_LISTS = 20_000, 1024
@@ -75,7 +75,7 @@ class Index:
         needed = np.sort(np.take_along_axis(place, own[near], 1).ravel()) + 1
         return int(needed[min(len(needed) - 1, math.ceil(TARGET * len(needed)) - 1)])
 
-    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray, sizes: np.ndarray, least: int | np.ndarray) -> list[np.ndarray]:
         """Each row's nearest lists: ``n_probed`` of them, or as many more as it takes to hold ``least`` rows by ``sizes``."""
         order = np.argsort(_squared(x, self.centres), 1, kind="stable")
         short = (np.cumsum(sizes[order], 1) < least).sum(1)  # lists that do not reach it yet
@@ -94,7 +94,7 @@ class Index:
 
 
 def fit(vectors: DataFrame, n_rows: int, k: int, probed: float | None) -> Index:
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).toArrow()
+    sample = least_hashes(vectors, "vec_id", n_rows, SAMPLE_ROWS).orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE_ROWS).toArrow()
     return Index(vector_rows(sample.column("embedding")), sample.column("vec_id").to_numpy(), n_rows, k, probed)
 
 
@@ -103,7 +103,7 @@ def _listed(index: Index):
         for batch in batches:
             if batch.num_rows:
                 lists = index.nearest(vector_rows(batch.column("embedding")))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(lists.astype(np.int32))], ["vec_id", "embedding", "list"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists.astype(np.int32))], [*batch.schema.names, "list"])
 
     return run
 
@@ -114,10 +114,10 @@ def _probing(index: Index, sizes: np.ndarray, k: int):
             for lo in range(0, whole.num_rows, QUERY_ROWS):
                 batch = whole.slice(lo, QUERY_ROWS)
                 x, ids = vector_rows(batch.column("embedding")), batch.column("vec_id").to_numpy()
-                probes = index.probes(x, sizes, k + 1)
+                probes = index.probes(x, sizes, k + batch.column("own").to_numpy()[:, None])
                 at = np.concatenate([[0], np.cumsum([len(p) for p in probes])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(probes).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), lists, pa.array(index.bounds(ids, x, probes, k))], ["vec_id", "embedding", "lists", "bound"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("vec_id", "embedding", "copies")), lists, pa.array(index.bounds(ids, x, probes, k))], ["vec_id", "embedding", "copies", "lists", "bound"])
 
     return run
 
@@ -127,8 +127,10 @@ def scan_block(q: np.ndarray, r: np.ndarray, k: int, own: np.ndarray, bounds: np
 
     Queries and rows are rotated. Rows come in chunks; each query's bound is the lesser of ``bounds`` and its k-th
     smallest squared distance so far. Over the blocks of dimensions a row goes when its partial squared distance over d
-    of D dimensions exceeds bound * (d / D) * (1 + EPSILON / sqrt(d))**2. ``own``: the row that is the query itself, or -1.
+    of D dimensions exceeds bound * (d / D) * (1 + EPSILON / sqrt(d))**2. ``own``: the row that is the query itself, or
+    -1; or the first and the end of rows with the query's id, in two columns.
     """
+    own_lo, own_hi = (own[:, :1], own[:, 1:]) if own.ndim == 2 else (own[:, None], own[:, None] + 1)
     dim, work, kept = q.shape[1], 0, []
     first_bound = np.full(len(q), np.inf) if bounds is None else bounds
     best = np.full((len(q), k), np.inf)
@@ -138,7 +140,8 @@ def scan_block(q: np.ndarray, r: np.ndarray, k: int, own: np.ndarray, bounds: np
         part = _squared(q[:, :step], chunk[:, :step])  # the first block of dimensions, for all pairs at once
         work += part.size
         limit = lambda hi: bound * (hi / dim) * ((1 + EPSILON / math.sqrt(hi)) ** 2 if hi < dim else 1) * (1 + 1e-6) + 1e-9  # noqa: E731, B023
-        stay = (part <= limit(min(step, dim))[:, None]) & (np.arange(first, first + len(chunk))[None, :] != own[:, None])
+        places = np.arange(first, first + len(chunk))[None, :]
+        stay = (part <= limit(min(step, dim))[:, None]) & ((places < own_lo) | (places >= own_hi))
         qi, ri = np.nonzero(stay)
         part = part[qi, ri]
         for lo in range(step, dim, step):
@@ -160,19 +163,19 @@ def _searched(rotation: np.ndarray, k: int):
         held = None
         for block, queries in meetings(batches, ["list", "block"], QUERY_ROWS):
             if block is not held:
-                held, r, r_id = block, vector_rows(block.column("embedding")), block.column("vec_id").to_numpy()
-                order = np.argsort(r_id)
-                r, r_id = r[order], r_id[order]
+                held, r, r_id, copies = block, vector_rows(block.column("embedding")), block.column("vec_id").to_numpy(), block.column("copies").to_numpy()
+                order = np.argsort(r_id, kind="stable")
+                r, r_id, copies = r[order], r_id[order], copies[order]
                 turned = r @ rotation
             q, q_id = vector_rows(queries.column("embedding")), queries.column("vec_id").to_numpy()
-            at = np.minimum(np.searchsorted(r_id, q_id), len(r_id) - 1)
-            own = np.where(r_id[at] == q_id, at, -1)
+            own = np.stack([np.searchsorted(r_id, q_id), np.searchsorted(r_id, q_id, "right")], 1)
             qi, ri, _ = scan_block(q @ rotation, turned, k, own, queries.column("bound").to_numpy())
             exact = np.sqrt(((q[qi] - r[ri]) ** 2).sum(1))
             order = np.lexsort((r_id[ri], exact, qi))
             qi, ri, exact = qi[order], ri[order], exact[order]
             keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
-            yield pa.RecordBatch.from_arrays([pa.array(q_id[qi[keep]]), pa.array(r_id[ri[keep]]), pa.array(exact[keep])], ["query_id", "vec_id", "score"])
+            times = np.minimum(k, np.minimum(k, copies[ri]) * np.minimum(k, queries.column("copies").to_numpy()[qi]))
+            yield pa.RecordBatch.from_arrays([pa.array(q_id[qi[keep]]), pa.array(r_id[ri[keep]]), pa.array(exact[keep]), pa.array(times[keep])], ["query_id", "vec_id", "score", "times"])
 
     return run
 
@@ -183,26 +186,31 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, probed: float | No
     ``vectors``: vec_id, embedding (floats or doubles). ``probed``: the share of lists to probe; by default it is chosen
     so that the lists hold TARGET of a bounded sample's nearest neighbours. Rows whose id is null, or whose vector is
     null, empty, zero or not finite, take no part, as queries or candidates; nor do vectors of another length than the
-    most frequent one (the greatest of several). A repeated id counts once, with the least of its vectors. With fewer
-    than ``k`` candidates all are returned: beyond its share of lists, a query probes as many more as hold ``k``
-    others. An empty table gives no rows; other columns are not read.
+    most frequent one (the greatest of several). Every row counts, also one whose id or whole is repeated: a query's
+    candidates are all rows with another id, and queries of one id share one ranking. Equal rows travel as one, with
+    their number. With fewer than ``k`` candidates all are returned: beyond its share of lists, a query probes as many
+    more as hold ``k`` others. An empty table gives no rows; other columns are not read.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(usable() & F.col("vec_id").isNotNull())
-    good, n = same_length(written(good.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors"), "embedding")
+    good, n = same_length(written(good.groupBy("vec_id", "embedding").agg(F.count("*").alias("copies")), "vectors"), "embedding")
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     index = fit(good, n, k, probed)
-    kind = f"vec_id bigint, embedding {good.schema['embedding'].dataType.simpleString()}"
+    kind = f"vec_id bigint, embedding {good.schema['embedding'].dataType.simpleString()}, copies bigint"
     rows = written(good.mapInArrow(_listed(index), f"{kind}, list int"), "lists")
     held = np.zeros(len(index.centres), np.int64)
     for r in rows.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list: at most MAX_LISTS
         held[r.list] = r.n
     blocks = -(-held // BLOCK_ROWS)
     n_blocks = F.get(F.array(*[F.lit(int(b)) for b in blocks]), F.col("list"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
-    probes = rows.where(is_query).drop("list").mapInArrow(_probing(index, held, k), f"{kind}, lists array<int>, bound double")
-    probes = probes.select("vec_id", "embedding", "bound", F.explode("lists").alias("list")).where(n_blocks > 0)
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), n_blocks).cast("int"))
+    asked = rows.where(is_query).drop("list", "block")
+    several = asked.groupBy("vec_id").agg(F.count("*").alias("several")).where("several > 1")  # ids with more than one vector
+    asked = asked.join(several, "vec_id", "left").select("vec_id", "embedding", "copies", F.coalesce("several", F.lit(1)).alias("own"))
+    probes = asked.mapInArrow(_probing(index, held, k), f"{kind}, lists array<int>, bound double")
+    probes = probes.select("vec_id", "embedding", "copies", "bound", F.explode("lists").alias("list")).where(n_blocks > 0)
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    found = met(rows, probes, ["list", "block"], math.ceil(n / BLOCK_ROWS)).mapInArrow(_searched(index.rotation, k), "query_id bigint, vec_id bigint, score double")
+    found = met(rows, probes, ["list", "block"], math.ceil(n / BLOCK_ROWS)).mapInArrow(_searched(index.rotation, k), "query_id bigint, vec_id bigint, score double, times bigint")
+    found = found.select("query_id", "vec_id", "score", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("copy"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -99,8 +99,42 @@ def test_ivf_is_complete_at_every_small_size(spark):
 
 def test_ivf_repeated_ids(spark):
     df = frame(spark, [(0, [1.0, 2.0]), (0, [9.0, 9.0]), (1, [1.0, 2.5]), (1, [1.0, 2.5]), (2, [1.0, 4.0])])
-    rows = ivf.search(df, F.col("vec_id") == 0, k=10).collect()
-    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 0.5), (2, 2, 2.0)]
+    rows = ivf.search(df, F.col("vec_id") == 1, k=10).collect()  # two equal queries share a ranking: each pair counts twice
+    far = float(np.hypot(8, 6.5))
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 0, 0.5), (2, 0, 0.5), (3, 2, 1.5), (4, 2, 1.5), (5, 0, far), (6, 0, far)]
+    rows = ivf.search(df, F.col("vec_id") == 2, k=3).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in rows) == [(1, 1, 1.5), (2, 1, 1.5), (3, 0, 2.0)]
+
+
+def test_ivf_hot_id(spark):
+    """A third of all rows share an id: none is lost, and equal rows are as many as they were."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(300, 3)), 3)
+    rows = [(7 if i < 100 else i, v.tolist()) for i, v in enumerate(x)] + [(7, x[0].tolist())] * 40
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = ivf.search(table, F.col("vec_id") == 150, k=120, probed=1.0).collect()
+    apart = sorted((float(np.sqrt(((x[150] - np.array(v)) ** 2).sum())), i) for i, v in rows if i != 150)[:120]
+    assert [(r.vec_id, round(r.score, 9)) for r in sorted(got, key=lambda r: r.rank)] == [(i, round(d, 9)) for d, i in apart]
+
+
+def test_exact_topk_repeated_ids_as_its_sql(spark, tmp_path):
+    """The registered SQL and the query over a table with repeated ids and rows."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from marketloom.llm import queries
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i), rng.normal(size=8).astype(np.float32).tolist()) for i in rng.integers(0, 120, 400)]
+    rows += [rows[0]] * 9 + [(50, rows[3][1])] * 3 + [(None, rows[4][1]), (1, None)]
+    table = pa.table({"vec_id": pa.array([r[0] for r in rows], pa.int64()), "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})
+    pq.write_table(table, f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = sorted(con.execute(queries.ORACLES["op9_exact_topk"]).fetchall())
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in queries.op9_exact_topk(spark, str(tmp_path)).collect())
+    assert got == want and len(got) == 5 * len({r[0] for r in rows if r[0] is not None and r[0] % 50 == 0})
 
 
 def test_ivf_probes_until_there_are_k(spark):
@@ -128,7 +162,7 @@ def test_exact_topk(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "FIRST_ROWS", 50)
     x = np.floor(256 * sample().astype(float)).astype(int)
     weights = {i: v.tolist() for i, v in enumerate(x)}
-    rows = [*weights.items(), (None, [1] * 16), (2000, None), (2001, [1] * 15), (2002, [None] * 16), (2003, []), (7, weights[7])]
+    rows = [*weights.items(), (None, [1] * 16), (2000, None), (2001, [1] * 15), (2002, [None] * 16), (2003, [])]
     df = spark.createDataFrame([(i, w, 1) for i, w in rows], "vec_id bigint, weights array<bigint>, score int")
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in exact_topk.search(df, F.col("vec_id") % 50 == 0, k=5).collect())
     assert got == brute(weights, range(0, 600, 50), 5)
