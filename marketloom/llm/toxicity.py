@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled rows, chosen by a hash of their ids, are used to learn. The model's size: features tried, by
-#: what they tell apart, and terms of the lexicon. Nothing here bounds what is scored.
-TRAIN_ROWS, CANDIDATES, TERMS = 20_000, 2_000, 200
-#: Lengths of stems.
+from marketloom.llm.common import least_hashes, without_names, written
+
+#: At most so many labelled rows, chosen by a hash of their ids, are used to learn. Nothing else is bounded.
+TRAIN_ROWS = 20_000
+#: Clean rows that make a phrase an exception. Lengths of stems.
+SPARED = 3
 STEMS = range(4, 9)
 #: Phrases in which a listed word gives no offence (fixed values, extendable by the caller).
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "sore loser rule", "class clown act", "oil scum")
@@ -120,8 +122,8 @@ def _lexicon(spec: str) -> Lexicon:
 
 
 def features(text: str) -> set[str]:
-    """Folded words of a text of three to forty letters, and their stems."""
-    words = {w for w in _WORD.findall(fold(text)) if 3 <= len(w) <= 40}
+    """Folded words of a text, and their stems."""
+    words = set(_WORD.findall(fold(text)))
     return words | {w[:k] + "*" for w in words for k in STEMS if k <= len(w)}
 
 
@@ -150,43 +152,66 @@ def _measured(spec: str):
     return run
 
 
-def _listed(known: frozenset[str]):
+def _listed(numbers: dict[str, int]):
+    """Each row's candidates by number; rows without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = numbers.keys()
+        for batch in batches:
+            rows = [(t, [numbers[f] for f in features(x or "") & known]) for t, x in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist())]
+            rows = [r for r in rows if r[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["toxic", "terms"])
+
+    return run
+
+
+def _around(spec: str):
+    """Each hit of the lexicon with the word before it, and with the one after it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _lexicon(spec)
         for batch in batches:
-            terms = [sorted(features(x or "") & known) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(terms, pa.list_(pa.string()))], ["toxic", "terms"])
+            counts: Counter = Counter()
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                words = _WORD.findall(fold(text or ""))
+                hit = [bool(lexicon.hits(w)) for w in words]
+                counts.update({(f"{words[k]} {words[k + 1]}", toxic) for k in range(len(words) - 1) if hit[k] or hit[k + 1]})
+            keys = list(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["phrase", "toxic", "n"])
 
     return run
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> DataFrame:
     """Texts and labels outside the held-out fifth, of at most ``limit`` label rows; the label side is small enough to broadcast."""
-    chosen = (
-        labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-        .groupBy("doc_id")
-        .agg(F.max("toxic").cast("int").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(limit)
-    )
+    usable = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    each = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    chosen = least_hashes(each, "doc_id", each.count(), limit).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def _cover(rows: list, candidates: dict[str, float], limit: int = TERMS) -> dict[str, float]:
-    """Terms, best first, each of which finds more toxic rows than clean ones among those that no earlier one finds."""
-    by_term: dict[str, set[int]] = {}
-    for k, row in enumerate(rows):
-        for term in row.terms:
-            by_term.setdefault(term, set()).add(k)
-    toxic = {k for k, row in enumerate(rows) if row.toxic == 1}
-    gain = lambda t, left: len(by_term[t] & left) - len((by_term[t] - toxic) - hit)
-    left, hit, chosen = set(toxic), set(), {}
-    while by_term and len(chosen) < limit:
-        best = max(by_term, key=lambda t: (gain(t, left), candidates.get(t, 0.0), len(t), t))
-        if gain(best, left) < 2:
+def _cover(toxic: np.ndarray, at: np.ndarray, terms: np.ndarray, candidates: dict[str, float]) -> dict[str, float]:
+    """Terms, best first, each of which finds two toxic rows more than clean ones among those that no earlier one finds.
+
+    ``toxic``: of each row. Row k has the ``terms`` (numbers of ``candidates``, in order) from at[k] to at[k + 1].
+    """
+    names = list(candidates)
+    rank = np.empty(len(names), np.int64)  # of equal gains: the greater odds, the longer, the later in order
+    rank[sorted(range(len(names)), key=lambda i: (candidates[names[i]], len(names[i]), names[i]))] = np.arange(len(names))
+    of = np.repeat(np.arange(len(toxic)), np.diff(at))
+    gain = np.bincount(terms, np.where(toxic[of] == 1, 1, -1), len(names)).astype(np.int64) if len(terms) else np.zeros(len(names), np.int64)
+    order = np.argsort(terms, kind="stable")
+    first = np.searchsorted(terms[order], np.arange(len(names) + 1))
+    open_rows, chosen = np.ones(len(toxic), bool), {}
+    while len(names):
+        best = int(np.argmax(gain * len(names) + rank))
+        if gain[best] < 2:
             break
-        chosen[best] = candidates[best]
-        found = by_term.pop(best)
-        left, hit = left - found, hit | (found - toxic)
+        chosen[names[best]] = candidates[names[best]]
+        for row in of[order[first[best] : first[best + 1]]]:
+            if open_rows[row]:  # found: it counts for no other term
+                open_rows[row] = False
+                np.subtract.at(gain, terms[at[row] : at[row + 1]], 1 if toxic[row] == 1 else -1)
     return chosen
 
 
@@ -203,14 +228,17 @@ def _fit_scale(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """Lexicon and scale from labelled rows: word counts in Spark, then a cover and a fit over a bounded table on the driver.
+    """Lexicon, exception phrases and scale from labelled rows: word counts in Spark, then a cover and a fit over a bounded table on the driver.
+
+    The training rows are written once. A phrase of two words, of which one holds a term, is an exception if ``SPARED``
+    clean rows have it and no toxic one does.
 
     ``labels``: doc_id, toxic. Labels other than 0 and 1, and those without an id or a document, take no part; an id
     labelled more than once counts once, as toxic if any label says so. Each row of a repeated document counts; a null
     text has no words. With labels of one kind only, or none, the lexicon is empty. Ties fall to the longer term, then
     to the later in order.
     """
-    rows = training_rows(docs, labels)
+    rows = written(training_rows(docs, labels), "training")
     totals = rows.agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).first()
     t, n = int(totals.t or 0), int(totals.n or 0)
     if not t or t == n:
@@ -219,10 +247,13 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = EXCE
     bad = {r.feature: r.n for r in count(rows.where("toxic = 1")).where("n >= 3").collect()}
     clean = {r.feature: r.n for r in count(rows.where("toxic = 0"), frozenset(bad)).collect()}
     odds = {f: math.log((k + 0.5) / (t + 1)) - math.log((clean.get(f, 0) + 0.5) / (n - t + 1)) for f, k in bad.items()}
-    ranked = sorted((f for f in bad if odds[f] > 1.5), key=lambda f: (-odds[f] * bad[f], -len(f), f))[:CANDIDATES]
-    candidates = {f: odds[f] for f in ranked}
-    seen = rows.mapInArrow(_listed(frozenset(candidates)), "toxic int, terms array<string>").where("size(terms) > 0").collect()
-    terms = _cover(seen, candidates)
+    candidates = {f: odds[f] for f in sorted(bad) if odds[f] > 1.5}
+    seen = rows.mapInArrow(_listed({f: k for k, f in enumerate(candidates)}), "toxic int, terms array<int>").toArrow()
+    lists = seen.column("terms").combine_chunks()
+    terms = _cover(seen.column("toxic").to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), candidates)
+    spared = rows.mapInArrow(_around(Lexicon(terms, exceptions).to_json()), "phrase string, toxic int, n bigint").groupBy("phrase").pivot("toxic", [0, 1]).agg(F.sum("n"))
+    phrases = sorted(r.phrase for r in spared.where(F.col("`0`") >= SPARED).where(F.col("`1`").isNull()).collect())  # of at most TRAIN_ROWS texts
+    exceptions = (*exceptions, *phrases)
     lexicon = Lexicon(terms, exceptions)
     seen = rows.mapInArrow(_measured(lexicon.to_json()), "toxic int, total double, density double").collect()
     scale = _fit_scale(np.array([[r.total, r.density] for r in seen]).reshape(-1, 2), np.array([r.toxic for r in seen], float))
@@ -243,8 +274,8 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFram
     """``docs`` with ``toxic_score`` (0 to 1; 0.5 and more is predicted toxic).
 
     Only the text counts. Null and empty texts get the score of a text without any term; repeated rows get equal
-    scores; an empty table stays empty; an existing ``toxic_score`` column is replaced, all others pass through.
+    scores; an empty table stays empty; an existing ``toxic_score`` column, in any case, is replaced, all others pass through.
     """
-    base = docs.drop("toxic_score") if "toxic_score" in docs.columns else docs
+    base = docs.select(*[F.col(f"`{c}`") for c in without_names(docs.columns, "toxic_score")])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", toxic_score double"
     return base.mapInArrow(_scoring(lexicon.to_json(), text_col), schema)
