@@ -17,7 +17,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import file_system, free_name, scratch_path
+from marketloom.llm.common import file_system, free_name, scratch_path, without_names
 
 #: Rows of an arriving shard at most; runs of one append; bytes of text of a merged file; the ratio of sizes within a tier.
 ARRIVAL_ROWS, ARRIVAL_RUNS, TARGET_BYTES, FANOUT = 500, 8, 256 << 20, 4
@@ -178,7 +178,7 @@ def ingest_and_compact(docs: DataFrame, text_col: str = "text", target: int = TA
 
     Null texts and ids, empty texts, repeated rows and all columns, whatever their names, come back as they were, in
     other files. With them come manifest_docs and manifest_bytes, what the version's manifest says it holds (existing
-    columns of these names are replaced). An empty table comes back empty.
+    columns of these names, in any case, are replaced). An empty table comes back empty.
     """
     spark = docs.sparkSession
     root = scratch_path(spark, "corpus")
@@ -187,5 +187,5 @@ def ingest_and_compact(docs: DataFrame, text_col: str = "text", target: int = TA
         seen, version = version, compact(spark, root, text_col, target)
     held = manifest(spark, root, version).agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     found = read(spark, root, version) if held[0] else docs.where("false")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("manifest_docs", "manifest_bytes")]
+    kept = [F.col(f"`{c}`") for c in without_names(docs.columns, "manifest_docs", "manifest_bytes")]
     return found.select(*kept, F.lit(held[0]).cast("long").alias("manifest_docs"), F.lit(held[1]).cast("long").alias("manifest_bytes"))

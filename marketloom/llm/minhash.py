@@ -187,6 +187,7 @@ def _block_links(percent: int):
             m = np.zeros((len(doc), 2048), np.float32)
             m[row[a:b], col[a:b] - lo] = 1
             both += m @ m.T
+        both = both.astype(np.int64)  # exact there up to 2**24 shared shingles, and with the factor of 100 here
         union = lengths[:, None] + lengths[None, :] - both
         chosen = doc[_forest((both * 100 >= union * percent) & (component[:, None] != component[None, :]), component)]
         return pa.RecordBatch.from_arrays([pa.array(chosen.min(1, initial=np.iinfo(np.int64).max)), pa.array(chosen.max(1, initial=-1))], ["a", "b"])

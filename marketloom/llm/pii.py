@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import free_name, written
+from marketloom.llm.common import free_name, without_names, written
 
 #: Titles that a person's name follows.
 TITLES = "Mr|Mrs|Ms|Miss|Herr|Frau|Señor|Señora|Mme|Madame|Monsieur"
@@ -284,9 +284,9 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", check: bool
     Texts are taken apart once, into a written table; from its distinct entities it is made sure that no two share a
     surrogate, by another key if need be. ``check=False`` leaves the table and the check out, and moves nothing. A null
     text stays null with 0 entities; an empty one stays empty; repeated rows get equal texts; every other column passes
-    through, whatever its name (an existing ``n_entities`` is replaced); texts of any length are whole.
+    through, whatever its name (an existing ``n_entities``, in any case, is replaced); texts of any length are whole.
     """
-    columns = [c for c in docs.columns if c != "n_entities"]
+    columns = without_names(docs.columns, "n_entities")
     made = free_name(columns, "pieces")
     apart = docs.select(*[F.col(f"`{c}`") for c in columns if c != text_col], pieces(F.col(f"`{text_col}`")).alias(made))
     if check:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import Words, mix, runs_hash, signed, slices, text_buffers
+from marketloom.llm.common import Words, free_name, mix, runs_hash, signed, slices, text_buffers, without_names
 
 #: Words in a window, and in the phrases whose least hash is the window's anchor.
 WINDOW, PHRASE = 20, 6
@@ -219,12 +219,12 @@ def _automata(window: int):
     return run
 
 
-def _removal(window: int, carried: list[str]):
+def _removal(window: int, carried: list[str], own_text: str, own_spans: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text")
+            texts = batch.column(own_text)
             data, offsets = text_buffers(texts)
-            spans = batch.column("__spans")
+            spans = batch.column(own_spans)
             span_at, flat = np.asarray(spans.offsets), spans.values
             starts, sizes = (np.asarray(flat.field(k)) for k in ("start", "n"))
             kept, totals, removed = [], [], []
@@ -279,20 +279,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     document with a smaller id, or in the same one. Words are what white-space bytes part, unchanged. Null and empty
     texts have no words and kept_text ''. A row with a null id is compared with itself only. Rows that share an id
     count as one document, so none removes the other's words at the same place. Other columns pass through (equal
-    names are replaced); an empty table stays empty. Long texts are whole; memory in a task grows with one document.
+    names, in any case, are replaced); an empty table stays empty. Long texts are whole; memory in a task grows with one document.
     """
-    made = ("kept_text", "n_words", "n_removed", "__text", "__spans", "__id")
-    carried = [c for c in docs.columns if c not in made]
+    carried = without_names(docs.columns, "kept_text", "n_words", "n_removed")
+    own_id, own_spans, own_text = (free_name(carried, x) for x in ("own_id", "own_spans", "own_text"))
     base = docs.select(*[F.col(f"`{c}`") for c in carried])
     known, unknown = base.where(F.col(f"`{id_col}`").isNotNull()), base.where(F.col(f"`{id_col}`").isNull())
     # Expressions, not bare columns: so both uses of the texts plan to one and the same exchange, and they are moved once.
     rest = [c for c in carried if c not in (id_col, text_col)]
     packed = [F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest")] if rest else []
     texts = known.select((F.col(f"`{id_col}`").cast("long") + F.lit(0)).alias("doc_id"), F.concat(F.col(f"`{text_col}`")).alias("text"), *packed)
-    gathered = repeats(texts, window, phrase).groupBy(F.col("doc_id").alias("__id")).agg(F.collect_list(F.struct("start", "n")).alias("__spans"))
+    gathered = repeats(texts, window, phrase).groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_list(F.struct("start", "n")).alias(own_spans))
     none = F.array().cast("array<struct<start:bigint,n:bigint>>")
     back = {id_col: F.col("doc_id").cast(base.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"rest.`{c}`") for c in rest}
-    joined = texts.join(gathered, F.col("doc_id") == F.col("__id"), "left").select(*[back[c].alias(c) for c in carried], F.coalesce("__spans", none).alias("__spans"))
-    joined = joined.unionByName(unknown.withColumn("__spans", none)).withColumn("__text", F.col(f"`{text_col}`"))
+    joined = texts.join(gathered, F.col("doc_id") == F.col(own_id), "left").select(*[back[c].alias(c) for c in carried], F.coalesce(own_spans, none).alias(own_spans))
+    joined = joined.unionByName(unknown.withColumn(own_spans, none)).withColumn(own_text, F.col(f"`{text_col}`"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema) + ", kept_text string, n_words bigint, n_removed bigint"
-    return joined.mapInArrow(_removal(window, carried), schema)
+    return joined.mapInArrow(_removal(window, carried, own_text, own_spans), schema)

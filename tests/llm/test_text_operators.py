@@ -582,3 +582,36 @@ def test_digests_of_queries(spark):
         assert rows[r.doc_id].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert rows[r.doc_id].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
         assert rows[r.doc_id].n_tokens == len(ids)
+
+
+def test_names_that_clash_in_another_case(spark):
+    """Made columns replace given ones of the same name in any case, and nothing else is lost."""
+    rows = [(1, "one two three", 5, 6, 7, 8, 9, 10), (2, None, 5, 6, 7, 8, 9, 10)]
+    made = ("Kept_Text", "N_ENTITIES", "TOXIC_SCORE", "Manifest_Docs", "__id", "__Spans")
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, " + ", ".join(f"`{m}` int" for m in made))
+    for out, replaced in (
+        (substring_dedup.remove_repeats(df), "kept_text"),
+        (pii.pseudonymise(df, "key"), "n_entities"),
+        (toxicity.score(df, toxicity.Lexicon({"two": 1.0})), "toxic_score"),
+        (compaction.ingest_and_compact(df), "manifest_docs"),
+    ):
+        names = [c.lower() for c in out.columns]
+        assert len(names) == len(set(names)) and replaced in out.columns
+        assert {c.lower() for c in df.columns} <= set(names)
+        assert sorted(out.select(*[f"`{c}`" for c in out.columns]).collect(), key=lambda r: r.doc_id)[0].doc_id == 1
+        kept = [m for m in made if m.lower() != replaced]
+        assert [tuple(r) for r in out.orderBy("doc_id").select(*[f"`{m}`" for m in kept]).collect()] == [tuple(5 + made.index(m) for m in kept)] * 2
+
+
+def test_cover_and_learned_phrases(spark):
+    rows = [(k, f"you vile{k} grim cat, grim {k}" if k % 4 == 0 else f"a nice grim tide at {k}" if k % 4 == 1 else f"plain words number {k}") for k in range(400)]
+    labels = [(k, int(k % 4 == 0)) for k in range(400)]
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(docs, marks)
+    assert any(t.startswith("vi") or t.startswith("cat") or t == "you" for t in lexicon.terms)
+    weights = {"grim": 2.0}
+    seen = toxicity.Lexicon(weights, ("grim tide",))
+    assert seen.hits("grim cat") and not seen.hits("nice grim tide")
+    held = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 5 == 0]
+    scores = {r.doc_id: r.toxic_score for r in toxicity.score(docs, lexicon).collect()}
+    assert all((scores[k] >= 0.5) == (k % 4 == 0) for k in held)
