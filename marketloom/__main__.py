@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None) -> int:
         for r in sheets.read_raw(spark, settings.sheets_path).select("sheet_name").collect():
             print(r.sheet_name)
     elif args.command == "catalogue":
-        catalogue.variants(catalogue.read(spark, settings.catalogue_path)).write.mode("overwrite").parquet(f"{settings.output_path}/variants")
+        catalogue.id_sheet(spark, f"{settings.output_path}/variants").replace(catalogue.variants(catalogue.read(spark, settings.catalogue_path)))
     elif args.command == "cache-clear":
         cache.clear(spark, settings.cache_path)
     elif args.command == "update-price":

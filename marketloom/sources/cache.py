@@ -1,10 +1,12 @@
-"""Caches with times to live, as Parquet tables of (section, key, value, ts): append to write, look up as of now."""
+"""Caches with times to live, as versioned tables of (section, key, value, ts), looked up as of now."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.sources.versions import VersionedTable, newest
+
 VERSION = "v3"
 SCHEMA = "section string, key string, value string, ts bigint"
 _HOUR = 3_600_000
@@ -12,24 +14,33 @@ _HOUR = 3_600_000
 TTL_MS = {"html": 12 * _HOUR, "price": 12 * _HOUR, "keywords": 24 * _HOUR, "search": 168 * _HOUR, "errors": _HOUR // 6}
 
 
+def table(spark: SparkSession, path: str) -> VersionedTable:
+    """The cache as one row for each section and key, changed under its readers."""
+    return VersionedTable(spark, f"{path}/{VERSION}", SCHEMA, ("section", "key"))
+
+
 def put(entries: DataFrame, path: str) -> None:
-    """Append entries; errors live in memory only and empty keyword results are not kept."""
+    """Set entries; the last one of a key counts. Errors live in memory only and empty keyword results are not kept."""
     kept = entries.where("section <> 'errors' and not (section = 'keywords' and value in ('', '[]'))")
-    kept.select("section", "key", "value", "ts").write.mode("append").partitionBy("section").parquet(f"{path}/{VERSION}")
+    table(entries.sparkSession, path).upsert(kept.select("section", "key", "value", "ts"), newest(["section", "key"], ["ts"]))
 
 
-def live(spark: SparkSession, path: str, now_ms: int) -> DataFrame:
-    """The last entry of each key, if it is still alive."""
-    rows = spark.read.schema(SCHEMA).parquet(f"{path}/{VERSION}")
-    last = rows.groupBy("section", "key").agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("ts"))
+def _alive(rows: DataFrame, now_ms: int) -> DataFrame:
     ttl = F.create_map(*[F.lit(x) for kv in TTL_MS.items() for x in kv])
-    return last.where(F.try_element_at(ttl, F.col("section")).isNull() | (F.col("ts") + F.try_element_at(ttl, F.col("section")) >= now_ms))
+    return rows.where(F.try_element_at(ttl, F.col("section")).isNull() | (F.col("ts") + F.try_element_at(ttl, F.col("section")) >= now_ms))
+
+
+def live(spark: SparkSession, path: str, now_ms: int) -> DataFrame:
+    """The entry of each key, if it is still alive."""
+    return _alive(table(spark, path).read(), now_ms)
 
 
-def compact(spark: SparkSession, path: str, target: str, now_ms: int) -> None:
-    """The live entries, written afresh to ``target``."""
-    live(spark, path, now_ms).write.mode("overwrite").partitionBy("section").parquet(f"{target}/{VERSION}")
+def compact(spark: SparkSession, path: str, now_ms: int) -> None:
+    """Leave out the entries that have expired; readers of the version before keep theirs, writers in between lose nothing."""
+    cached = table(spark, path)
+    expired = cached.read().join(live(spark, path, now_ms).select("section", "key"), ["section", "key"], "left_anti")
+    cached.upsert(expired, lambda old, _: _alive(old, now_ms))
 
 
 def clear(spark: SparkSession, path: str) -> None:
-    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(f"{path}/{VERSION}")
+    table(spark, path).clear()

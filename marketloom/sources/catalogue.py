@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text
 from marketloom.operators import relational
+from marketloom.sources.versions import VersionedTable
 
 SCHEMA = "products array<struct<title:string,vendor:string,variants:array<struct<id:bigint,sku:string,barcode:string>>>>"
 
@@ -24,6 +25,14 @@ def variants(pages: DataFrame) -> DataFrame:
     return products.select(F.col("title").alias("product_name"), brand.alias("brand"), model.alias("model"), F.col("v.id").alias("variant_id"))
 
 
+ID_SHEET = "product_name string, brand string, model string, variant_id bigint"
+
+
+def id_sheet(spark: SparkSession, path: str) -> VersionedTable:
+    """The sheet of variants' ids, replaced as a whole under its readers."""
+    return VersionedTable(spark, path, ID_SHEET, ("variant_id",))
+
+
 def key(brand: Column, model: Column) -> Column:
     return F.concat(text.normalize_model(brand), F.lit("_"), text.normalize_model(model))
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions import money, text
+from marketloom.sources.versions import VersionedTable
 
 RAW_SCHEMA = "sheet_name string, headers array<string>, rows array<struct<rowNumber:int,values:array<string>>>"
 #: The names by which each column of a sheet may go, in the order in which they are tried.
@@ -106,6 +107,19 @@ def upsert(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return priced.withColumn("gap_value", gap).withColumn("gap_percent", F.when(F.col("cost_price") > 0, gap / F.col("cost_price")))
 
 
+STORED = "sheet_name string, row_number int, cells array<string>, sale_price bigint, cost_price bigint, min_price bigint, gap_value bigint, gap_percent double"
+
+
+def stored_rows(spark: SparkSession, path: str) -> VersionedTable:
+    """The sheets' rows as they stand, changed under their readers."""
+    return VersionedTable(spark, path, STORED, ("sheet_name", "row_number"))
+
+
+def write_back(spark: SparkSession, path: str, changes: DataFrame) -> int:
+    """Put new market prices (sheet_name, row_number, market_prices) into the stored rows, recomputed as ``upsert`` says; the version."""
+    return stored_rows(spark, path).upsert(changes.select("sheet_name", "row_number", "market_prices"), upsert)
+
+
 def set_sale_prices(stored: DataFrame, changes: DataFrame) -> DataFrame:
     """The stored rows after single sale prices were set (``changes``: sheet_name, row_number, price; the highest of several for a row).
 
