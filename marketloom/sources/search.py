@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import text, urls
-from marketloom.functions.base import let
+from marketloom.functions.base import any_contained, let
 from marketloom.operators.html import parse
 
 ENGINES = ("google", "bing", "ddg", "coccoc")
 #: Minutes for which an engine that refuses is left alone, and sub-sitemaps read for a site.
 BLOCK_MINUTES, SUB_SITEMAPS = 10, 5
+#: Pages asked of each engine for a keyword, links of a page under which it is the last, detail links that are enough, and words of a refusal.
+PAGES, FEW_LINKS, ENOUGH_DETAIL = {"google": 2, "bing": 2, "ddg": 1, "coccoc": 1}, 5, 5
+REFUSALS = {"google": ("google.com/recaptcha", "detected unusual traffic"), "bing": ("detected unusual traffic",)}
 
 
 def _links(engine: str, root) -> list[str]:
@@ -38,16 +41,69 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("engine"), batch.column("keyword"), pa.array(found, pa.list_(pa.string()))], ["engine", "keyword", "links"])
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept = ["brand", "model", "keyword", "engine", "page", "refused"]
+    for batch in batches:
+        found = [_links(e, parse(h or "")) for e, h in zip(batch.column("engine").to_pylist(), batch.column("html").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(pa.string()))], [*kept, "links"])
+
+
 def results(pages: DataFrame) -> DataFrame:
     """(engine, keyword, position, url) of captured search pages (engine, keyword, html); each link of a page once."""
     links = pages.select("engine", "keyword", "html").mapInArrow(_parsed, "engine string, keyword string, links array<string>")
     each = links.select("engine", "keyword", F.posexplode("links").alias("position", "href"))
-    asked = F.try_url_decode(F.regexp_extract("href", "[?&]uddg=([^&]+)", 1))
-    target = F.when((F.col("engine") == "ddg") & F.col("href").contains("uddg="), asked).otherwise(urls.normalize_href(F.col("href")))
-    found = each.withColumn("url", target).where("url is not null")
+    found = each.withColumn("url", _target(F.col("engine"), F.col("href"))).where("url is not null")
     return found.groupBy("engine", "keyword", "url").agg(F.min("position").alias("position")).select("engine", "keyword", "position", "url")
 
 
+def _target(engine: Column, href: Column) -> Column:
+    """Where a link of a search page leads; NULL for one that leads nowhere outside."""
+    asked = F.try_url_decode(F.regexp_extract(href, "[?&]uddg=([^&]+)", 1))
+    return F.when((engine == "ddg") & href.contains("uddg="), asked).otherwise(urls.normalize_href(href))
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """What is taken of each captured search page (brand, model, keyword, engine, page from 1, html): read, refused, links, n_detail.
+
+    Pages are asked for in order, as many as ``PAGES`` allows. One is not read any more once those before it hold
+    enough detail links (repeated ones count), or if one before it refused or had few links. A page that refuses gives
+    no links. Links are in the order in which they count, repeated ones included.
+    """
+    keys = ["brand", "model", "keyword", "engine"]
+    refused = F.lit(False)
+    for engine, words in REFUSALS.items():
+        refused = refused | ((F.col("engine") == engine) & any_contained(F.coalesce("html", F.lit("")), words))
+    parsed = pages.select(*keys, "page", refused.alias("refused"), "html").mapInArrow(
+        _numbered, "brand string, model string, keyword string, engine string, page int, refused boolean, links array<string>"
+    )
+    taken = F.filter(F.transform("links", lambda h: _target(F.col("engine"), h)), lambda u: u.startswith("http"))
+    counted = parsed.withColumn("links", F.when(F.col("refused"), F.array().cast("array<string>")).otherwise(taken))
+    counted = counted.withColumn("n_detail", F.size(F.filter("links", lambda u: urls.is_detail_url(u, F.col("model"), F.col("brand")))))
+    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # two pages at most
+    limit = F.element_at(F.create_map(*[F.lit(x) for kv in PAGES.items() for x in kv]), F.col("engine"))
+    enough = F.coalesce(F.sum("n_detail").over(before), F.lit(0)) >= ENOUGH_DETAIL
+    ended = F.coalesce(F.max(F.col("refused") | (F.size("links") < FEW_LINKS)).over(before), F.lit(False))
+    read = counted.where(F.col("page") <= limit).withColumn("read", ~enough & ~ended)
+    return read.select(*keys, "page", "read", "refused", F.when(F.col("read"), F.col("links")).otherwise(F.array().cast("array<string>")).alias("links"), F.when(F.col("read"), F.col("n_detail")).otherwise(0).alias("n_detail"))
+
+
+def progressive_links(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """(brand, model, url, keyword_no, engine): each product's links in the keyword that first showed them, up to where the search stops.
+
+    ``requests``: brand, model, keyword, keyword_no (from 0, in step order). A keyword is searched while the keywords
+    before it have shown fewer than five distinct detail links; a link counts where it appears first.
+    """
+    product = ["brand", "model"]
+    found = read_pages(pages).where("read").join(requests, [*product, "keyword"])
+    each = found.select(*product, "keyword_no", "engine", F.explode("links").alias("url"))
+    first = each.groupBy(*product, "url").agg(F.min(F.struct("keyword_no", "engine")).alias("at")).select(*product, "url", "at.*")
+    detail = first.where(urls.is_detail_url(F.col("url"), F.col("model"), F.col("brand"))).groupBy(*product, "keyword_no").agg(F.count("*").alias("n_new"))
+    # a product has a few dozen keywords, so these groups are small
+    before = Window.partitionBy(*product).orderBy("keyword_no").rowsBetween(Window.unboundedPreceding, -1)
+    counted = requests.join(detail, [*product, "keyword_no"], "left").withColumn("before", F.coalesce(F.sum("n_new").over(before), F.lit(0)))
+    return first.join(counted.where(F.col("before") < ENOUGH_DETAIL).select(*product, "keyword_no"), [*product, "keyword_no"]).select(*product, "url", "keyword_no", "engine")
+
+
 def blocked(log: DataFrame, now_ms: Column) -> DataFrame:
     """Engines that refused (status 403, 429 or a captcha) within the last ten minutes. ``log``: engine, status, captcha, at_ms."""
     refused = F.col("status").isin(403, 429) | F.col("captcha")
