@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
-from marketloom.functions.base import any_contained
-from marketloom.operators import pricing, ranks, relational
+from marketloom.operators import links, pricing, ranks, relational
 from marketloom.plans import statistics
 from marketloom.plans.scalars import _product_urls
 from marketloom.session import table
 from marketloom.sources import sheets
 from marketloom.streaming import cache_state
 
-#: An anchor with its text, and its target.
+#: An anchor with its text, and its target, for SQL.
 ANCHOR, HREF = r'(?is)<a\s[^>]*href="[^"]+"[^>]*>.*?</a>', r'(?is)^<a\s[^>]*href="([^"]+)"'
 
 
@@ -222,18 +221,15 @@ def update_log(spark, sf):
 
 
 def site_category_links(spark, sf):
-    """Distinct category links of a page: to its own site, naming a category in text or path, not the homepage, no excluded path."""
-    found = table(spark, sf, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(0))).alias("a"))
-    links = found.select("page_id", "url", F.trim(F.regexp_extract("a", HREF, 1)).alias("href"), F.regexp_replace("a", "<[^>]*>", "").alias("text"))
-    base, site = F.regexp_extract("url", "^[^?#]*", 0), F.regexp_extract("url", "^https?://[^/?#]*", 0)
-    beside = F.concat(site, F.coalesce(F.nullif(F.regexp_extract("url", "^https?://[^/?#]*(/(?:[^?#]*/)?)", 1), F.lit("")), F.lit("/")), F.col("href"))
-    href = F.col("href")
-    target = F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract("url", "^https?:", 0), href)).when(href.startswith("/"), F.concat(site, href)).when(href.startswith("?"), F.concat(base, href)).otherwise(beside)
-    full = links.where(~href.startswith("#")).select("page_id", "url", "text", target.alias("target"))
-    name = lambda c: F.lower(F.regexp_extract(c, "^https?://([^/?#:]*)", 1))
-    path = F.lower(F.regexp_extract("target", "^https?://[^/?#]*([^?#]*)", 1))
-    kept = full.where((name("target") != "") & (name("target") == name("url")) & urls.matches_category(F.col("text"), path) & ~path.isin(*urls.HOME_PATHS) & ~any_contained(path, urls.CATEGORY_EXCLUSIONS))
-    return kept.select("page_id", F.regexp_extract("target", "^[^?#]*", 0).alias("target")).distinct().groupBy("page_id").agg(F.count("*").alias("links"))
+    """How many distinct category links a page has: to its own site, naming a category in text or path, not the homepage, no excluded path."""
+    pages = table(spark, sf, "pages")
+    return links.category_links(pages).join(pages.select("page_id", "url"), "url").groupBy("page_id").agg(F.count("*").alias("links"))
+
+
+def category_pages(spark, sf):
+    """The category links of a page themselves, those left out that extend another one by a hyphen."""
+    pages = table(spark, sf, "pages")
+    return links.category_pages(pages).join(pages.select("page_id", "url"), "url").select("page_id", "link")
 
 
 def parent_path_anti(spark, sf):
@@ -257,7 +253,7 @@ QUERIES = {
     for f in (
         code_model_join, normalized_key_join, pricing_log, unmatched_candidates, keyword_engine_cross, header_map, sheet_union, keyword_except, candidate_union_whole, first_seen_dedup,
         best_offer_dedup, last_write_wins, valid_rows, status_counts, status_pivot, progressive_stop, progressive_search, batch_assignment, ttl_lookup, ttl_stream, cache_savings, learned_selector,
-        group_updates, crawl_log_explode, sheet_update_cells, site_category_links, parent_path_anti, model_conflict_counts,
+        group_updates, crawl_log_explode, sheet_update_cells, site_category_links, category_pages, parent_path_anti, model_conflict_counts,
         sale_price_update, update_log,
     )
 }
@@ -269,6 +265,14 @@ _EXCLUDED = ", ".join(f"'{w}'" for w in urls.CATEGORY_EXCLUSIONS)
 _HOME = ", ".join(f"'{w}'" for w in urls.HOME_PATHS)
 _FOLD = "translate(strip_accents(lower({0})), 'đ', 'd')"
 
+_CATEGORY = f"""a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}')) AS a, generate_subscripts(regexp_extract_all(html, '{ANCHOR}'), 1) AS place FROM pages),
+h AS (SELECT page_id, url, place, trim(regexp_extract(a, '{HREF}', 1)) AS href, lower(regexp_replace(a, '<[^>]*>', '', 'g')) AS txt, regexp_extract(url, '^https?://[^/?#]*') AS site FROM a),
+t AS (SELECT page_id, url, place, txt, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^https?:') || href WHEN starts_with(href, '/') THEN site || href
+  WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*') || href ELSE site || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || href END AS target FROM h WHERE NOT starts_with(href, '#')),
+p AS (SELECT page_id, place, txt, target, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS own, lower(regexp_extract(target, '^https?://([^/?#:]*)', 1)) AS other, lower(regexp_extract(target, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM t),
+k AS (SELECT page_id, regexp_extract(target, '^[^?#]*') AS link, min(place) AS place FROM p WHERE other <> '' AND other = own AND path NOT IN ({_HOME})
+  AND len(list_filter([{_EXCLUDED}], lambda w: contains(path, w))) = 0 AND len(list_filter([{_WORDS}], lambda w: contains(txt, w) OR contains(path, replace(w, ' ', '-')))) > 0 GROUP BY 1, 2)"""
+
 _TTL = """WITH c AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase')
 SELECT r.event_id AS request_id, (SELECT arg_max(event_id, ts) FROM c WHERE c.user_id = r.user_id AND c.ts <= r.ts AND c.ts >= r.ts - INTERVAL 12 HOURS) AS cached_event FROM events r WHERE event_type = 'view'"""
 
@@ -319,13 +323,10 @@ SELECT sheet, batch_no, count(*) AS n, string_agg(s_suppkey::VARCHAR, ',' ORDER
 g AS (SELECT l_orderkey, m, min_price, coalesce(min_price, sale_price, list_price) AS base, cost_price FROM pp LEFT JOIN a USING (l_orderkey) LEFT JOIN stats USING (l_orderkey))
 SELECT l_orderkey, array_to_string([coalesce(m[i]::VARCHAR, '') FOR i IN range(1, 11)], '|') AS market_cells, coalesce(min_price::VARCHAR, '') AS min_cell, coalesce((base - cost_price)::VARCHAR, '') AS gap_cell,
   coalesce(round_even((base - cost_price) / base, 9)::DECIMAL(20, 9)::VARCHAR, '') AS share_cell, coalesce(min_price::VARCHAR, '') AS suggested_cell FROM g""",
-    "site_category_links": f"""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{ANCHOR}')) AS a FROM pages),
-h AS (SELECT page_id, url, trim(regexp_extract(a, '{HREF}', 1)) AS href, lower(regexp_replace(a, '<[^>]*>', '', 'g')) AS txt, regexp_extract(url, '^https?://[^/?#]*') AS site FROM a),
-t AS (SELECT page_id, url, txt, CASE WHEN regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^https?:') || href WHEN starts_with(href, '/') THEN site || href
-  WHEN starts_with(href, '?') THEN regexp_extract(url, '^[^?#]*') || href ELSE site || coalesce(nullif(regexp_extract(url, '^https?://[^/?#]*(/(?:[^?#]*/)?)', 1), ''), '/') || href END AS target FROM h WHERE NOT starts_with(href, '#')),
-p AS (SELECT page_id, txt, target, lower(regexp_extract(url, '^https?://([^/?#:]*)', 1)) AS own, lower(regexp_extract(target, '^https?://([^/?#:]*)', 1)) AS other, lower(regexp_extract(target, '^https?://[^/?#]*([^?#]*)', 1)) AS path FROM t)
-SELECT page_id, count(DISTINCT regexp_extract(target, '^[^?#]*')) AS links FROM p WHERE other <> '' AND other = own AND path NOT IN ({_HOME})
-  AND len(list_filter([{_EXCLUDED}], lambda w: contains(path, w))) = 0 AND len(list_filter([{_WORDS}], lambda w: contains(txt, w) OR contains(path, replace(w, ' ', '-')))) > 0 GROUP BY 1""",
+    "site_category_links": f"WITH {_CATEGORY} SELECT page_id, count(*) AS links FROM k GROUP BY 1",
+    "category_pages": f"""WITH {_CATEGORY}, q AS (SELECT *, lower(replace(regexp_extract(link, '^https?://[^/?#]*(.*)$', 1), '.html', '')) AS bare FROM k)
+SELECT page_id, link FROM q WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.page_id = q.page_id AND o.link <> q.link AND length(o.bare) < length(q.bare) AND (starts_with(q.bare, o.bare || '-') OR contains(q.bare, '/' || o.bare || '-')))
+QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY place, link) <= 150""",
     "parent_path_anti": """WITH r AS (SELECT DISTINCT 'shop' || (p_size % 5)::VARCHAR AS site, '/' || split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '-' || split_part(p_name, ' ', -1) || '-' || (p_partkey % 10)::VARCHAR END AS path FROM part)
 SELECT site, path FROM r WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.site = r.site AND o.path <> r.path AND starts_with(r.path, o.path || '-'))""",
     "model_conflict_counts": "SELECT p_brand, count(*) FILTER (p_size % 5 = 0) AS conflicts, count(*) AS links FROM part GROUP BY 1",

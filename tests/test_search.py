@@ -53,3 +53,17 @@ def test_stop_rules(spark):
     requests = spark.createDataFrame(asked, "brand string, model string, keyword string, keyword_no int")
     assert {(r.model, r.url, r.keyword_no) for r in search.progressive_links(requests, pages).collect()} == want
     assert any(r.read is False for r in search.read_pages(pages).collect())
+
+
+def test_category_links_without_their_children(spark):
+    """Whole names of categories stay, longer ones of the same beginning go; other sites, home, excluded and unnamed paths never come."""
+    from marketloom.operators import links
+
+    page = """<body><a href="/bep-tu">Bếp từ</a><a href='/bep-tu-bosch.html'>Bếp từ Bosch</a><a href=/bep-tu?x=1>lại</a><a href="../may-giat/./lg">Máy giặt LG<a href="/may-giatlg">mg</a>
+    <a href="https://khac.vn/bep-tu">Bếp</a><a href="/">Bếp</a><a href="/cart/bep">Bếp</a><a href="#bep">Bếp</a><a href="javascript:bep()">Bếp</a><a href="/x//bep-tu-y">z</a><a href="/xin-moi">xin</a><a>Bếp</a></body>"""
+    rows = spark.createDataFrame([("https://shop.vn/c/d/e", page), ("https://leer.vn/", None)], "url string, html string")
+    found = {r.link: r.has_parent for r in links.category_links(rows).collect()}
+    base = "https://shop.vn"
+    assert found == {f"{base}/bep-tu": False, f"{base}/bep-tu-bosch.html": True, f"{base}/c/may-giat/lg": False, f"{base}/may-giatlg": False, f"{base}/x//bep-tu-y": True}
+    assert {r.link for r in links.category_pages(rows).collect()} == {f"{base}/bep-tu", f"{base}/c/may-giat/lg", f"{base}/may-giatlg"}
+    assert [r.position for r in links.anchors(rows).orderBy("position").collect()] == list(range(12))
