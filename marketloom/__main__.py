@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+import time
 
 from marketloom.config import Settings
 
@@ -46,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
         ok = bool(settings.notify_token and settings.notify_chat)
         print(json.dumps({"ok": ok, "parse_mode": "HTML", "text": args.text}))
         return 0
-    from marketloom.plans.run import run_pricing
+    from marketloom.plans.run import run_remembering
     from marketloom.session import get_session
     from marketloom.sources import cache, catalogue, sheets
 
@@ -71,9 +72,9 @@ def main(argv: list[str] | None = None) -> int:
         else:
             values = (args.sheet, 3, "", args.brand, args.model, args.list_price, args.cost_price, args.sale_price, [])
             rows = spark.createDataFrame([values], "sheet_name string, row_number int, product_id string, brand string, model string, list_price string, cost_price string, sale_price string, market_prices array<bigint>")
-        out = run_pricing(rows, spark.read.parquet(settings.links_path), spark.read.parquet(settings.pages_path))
+        out = run_remembering(rows, spark.read.parquet(settings.links_path), spark.read.parquet(settings.pages_path), settings.cache_path, int(time.time() * 1000))
         out.results.write.mode("overwrite").parquet(f"{settings.output_path}/results")
-        out.logs.write.mode("append").parquet(f"{settings.output_path}/logs")
+        out.logs.unionByName(out.summary).write.mode("append").parquet(f"{settings.output_path}/logs")
     return 0
 
 

@@ -229,21 +229,28 @@ PAGE_SCHEMA = "url string, titles string, candidates array<struct<stage:int,sele
 def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found, heads = [], []
-        for url, html, learned in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "learned"))):
+        for url, html, learned, settled in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "learned", "settled"))):
             root = parse(html or "")
             heads.append(titles(root))
-            found.append(price_candidates(root, learned, "kocher.vn" not in (urlsplit(url or "").hostname or "")))
+            found.append([] if settled else price_candidates(root, learned, "kocher.vn" not in (urlsplit(url or "").hostname or "")))
         yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(heads, pa.string()), pa.array(found, pa.list_(_CANDIDATE))], ["url", "titles", "candidates"])
 
 
-def extract(pages: DataFrame, learned: DataFrame | None = None) -> DataFrame:
-    """(url, titles, candidates) for each row of ``pages`` (url, html); ``learned``: domain, selector."""
+def extract(pages: DataFrame, learned: DataFrame | None = None, settled: DataFrame | None = None) -> DataFrame:
+    """(url, titles, candidates) for each row of ``pages`` (url, html); ``learned``: domain, selector.
+
+    ``settled`` (url): pages whose price is known; they are read for their titles and not searched for candidates.
+    """
     base = pages.select("url", "html")
     if learned is not None:
         base = base.withColumn("domain", urls.host(F.col("url"))).join(learned.select("domain", F.col("selector").alias("learned")), "domain", "left").drop("domain")
     else:
         base = base.withColumn("learned", F.lit(None).cast("string"))
-    return base.select("url", "html", "learned").mapInArrow(_pages, PAGE_SCHEMA)
+    if settled is not None:
+        base = base.join(settled.select("url", F.lit(True).alias("settled")).distinct(), "url", "left")
+    else:
+        base = base.withColumn("settled", F.lit(False))
+    return base.select("url", "html", "learned", "settled").mapInArrow(_pages, PAGE_SCHEMA)
 
 
 def verify(titles_: Column, url: Column, model: Column, brand: Column) -> Column:

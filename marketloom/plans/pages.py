@@ -48,7 +48,7 @@ def cached_page_price(spark, sf):
     """Prices of verified pages, a third of them known from the price cache; a page that is about another model takes none."""
     rows = shop_pages(spark, sf)
     known = rows.where("p_partkey % 3 = 0").select("url", (F.col("reference") / 2).cast("bigint").alias("price"))
-    return html.page_prices(rows.drop("html"), html.extract(rows), known).select("p_partkey", "price", "reject_reason")
+    return html.page_prices(rows.drop("html"), html.extract(rows, settled=known), known).select("p_partkey", "price", "reject_reason")
 
 
 def captured_titles(spark, sf):

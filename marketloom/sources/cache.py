@@ -19,9 +19,9 @@ def table(spark: SparkSession, path: str) -> VersionedTable:
     return VersionedTable(spark, f"{path}/{VERSION}", SCHEMA, ("section", "key"))
 
 
-def put(entries: DataFrame, path: str) -> None:
-    """Set entries; the last one of a key counts. Errors live in memory only and empty keyword results are not kept."""
-    kept = entries.where("section <> 'errors' and not (section = 'keywords' and value in ('', '[]'))")
+def put(entries: DataFrame, path: str, errors: bool = False) -> None:
+    """Set entries; the last one of a key counts. Empty keyword results are not kept, and errors only if asked for: a run's caller decides how long they last."""
+    kept = entries.where("not (section = 'keywords' and value in ('', '[]'))").where(F.lit(errors) | (F.col("section") != "errors"))
     table(entries.sparkSession, path).upsert(kept.select("section", "key", "value", "ts"), newest(["section", "key"], ["ts"]))
 
 

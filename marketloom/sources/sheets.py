@@ -83,10 +83,20 @@ def updates(results: DataFrame) -> DataFrame:
     return results.select("sheet_name", "row_number", market.alias("market_prices"), "min_price", "gap_value", "gap_percent", "suggested_price", "status")
 
 
-def payloads(flush: DataFrame) -> DataFrame:
-    """One JSON document for each sheet and flush of ``updates`` (with batch_no)."""
+def payloads(flush: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """One JSON document for each sheet and flush of ``updates`` (with batch_no): the updates, and the log rows of the same rows.
+
+    A flush has a fixed number of rows, and a row at most as many log rows as candidates.
+    """
     row = F.struct(F.col("row_number").alias("rowNumber"), F.col("market_prices").alias("marketPrices"), F.col("min_price").alias("minPrice"), F.col("gap_value").alias("gapValue"), F.col("gap_percent").alias("gapPercent"), F.col("suggested_price").alias("suggestedPrice"), "status")
-    return flush.groupBy("sheet_name", "batch_no").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("updates"))).alias("payload"))
+    by = ["sheet_name", "batch_no"]
+    grouped = flush.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("updates"))
+    if logs is None:
+        return grouped.select(*by, F.to_json(F.struct("updates")).alias("payload"))
+    entry = F.struct(F.col("row_number").alias("rowNumber"), "keyword", F.col("source").alias("search engine"), "url", F.col("score").alias("relevance score"), F.col("match_score").alias("model match score"), F.col("price").alias("extracted price"), F.coalesce("reject_reason", F.lit("")).alias("reject reason"))
+    kept = logs.join(flush.select("sheet_name", "row_number", "batch_no"), ["sheet_name", "row_number"]).groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("logs"))
+    none = F.array().cast(kept.schema["logs"].dataType)
+    return grouped.join(kept, by, "left").select(*by, F.to_json(F.struct("updates", F.coalesce("logs", none).alias("logs"))).alias("payload"))
 
 
 def upsert(stored: DataFrame, changes: DataFrame) -> DataFrame:
