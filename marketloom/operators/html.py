@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
@@ -89,6 +90,24 @@ class Node:
         return (not tag or self.tag == tag) and (not name or name in self.classes.split())
 
 
+@lru_cache(maxsize=1 << 16)
+def price_selectors(tag: str, classes: str) -> tuple[int, ...]:
+    """The places in ``PRICE_SELECTORS`` of those that fit an element, of two-part ones the inner part: one look-up for each element."""
+    node = Node(tag, {"class": classes}, None)
+    return tuple(i for i, s in enumerate(PRICE_SELECTORS) if node.fits(s.rpartition(" ")[2]))
+
+
+def _priced(marked: list[Node]) -> list[tuple[int, Node]]:
+    """Selectors and the elements that they fit: in the order of the selectors, of one in the order of the document."""
+    found: list[list[Node]] = [[] for _ in PRICE_SELECTORS]
+    for n in marked:
+        for i in price_selectors(n.tag, n.classes):
+            outer = PRICE_SELECTORS[i].rpartition(" ")[0]
+            if not outer or any(a.fits(outer) for a in n.ancestors()[1:]):
+                found[i].append(n)
+    return [(i, n) for i, those in enumerate(found) for n in those]
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -195,10 +214,12 @@ def price_candidates(root: Node, learned: str | None = None, json_prices: bool =
     junk: dict[int, bool] = {}
     bad = lambda n: junk.setdefault(id(n), is_junk(n))
     marked = [n for n in inner if n.classes or n.tag == "ins"]  # all that the listed selectors can fit
-    for stage, selector, those in ([(1, learned, inner)] if learned else []) + [(2, s, marked) for s in PRICE_SELECTORS]:
-        for n in those:
-            if n.fits(selector) and not bad(n):
-                add(stage, selector, value(n))
+    for n in inner if learned else ():
+        if n.fits(learned) and not bad(n):
+            add(1, learned, value(n))
+    for i, n in _priced(marked):
+        if not bad(n):
+            add(2, PRICE_SELECTORS[i], value(n))
     if json_prices:
         for data in _scripts(root):
             for o, names in _objects(data):

@@ -104,3 +104,17 @@ def test_offers_keep_the_best_of_a_link(spark, before, after, want):
     page = "<body><div class='grid'>" + item.format(before) + item.format(after) + "</div></body>"
     rows = listing.offers(spark.createDataFrame([("http://s/c/1", page)], "url string, html string")).collect()
     assert [(r.title, r.link, r.price, r.is_original) for r in rows] == [("Bếp từ Kocher", "http://s/p/1", want, False)]
+
+
+def test_selector_index_equals_each_selector_on_each_element():
+    rnd = random.Random(7)
+    words = ["price", "ins", "amount", "product-price", "x-sale-price-y", "gia", "gia-km", "woocommerce-Price-amount", "other", "current_price", "price-box"]
+
+    def element(depth):
+        tag = rnd.choice(["div", "ins", "span", "p"])
+        marks = " ".join(rnd.sample(words, rnd.randint(0, 3)))
+        return f'<{tag} class="{marks}">' + "".join(element(depth + 1) for _ in range(rnd.randint(0, 2) if depth < 5 else 0)) + f"</{tag}>"
+
+    for _ in range(30):
+        nodes = list(html.parse("".join(element(0) for _ in range(4))).walk())[1:]
+        assert html._priced(nodes) == [(i, n) for i, s in enumerate(html.PRICE_SELECTORS) for n in nodes if n.fits(s)]
