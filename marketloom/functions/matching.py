@@ -153,7 +153,7 @@ def _bounded(text: Column, part: Column) -> Column:
     return (part != "") & (at > 0) & ~clash
 
 
-def _longest_segment(model: Column) -> Column:
+def longest_segment(model: Column) -> Column:
     """The longest of a model's parts that has three letters or digits; '' if none has."""
     pieces = F.filter(F.split(F.coalesce(model, F.lit("")), r"[\s\-_]+"), lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z0-9]", "")) > 0)
     segments = F.filter(F.transform(pieces, normalize_model), lambda s: F.length(s) >= 3)
@@ -162,7 +162,7 @@ def _longest_segment(model: Column) -> Column:
 
 def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
     """``matched``, ``prefix`` and ``suffix`` (the conflicts), and ``bare_suffix`` (without the brand) of a text and a model, from one reading of both."""
-    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": _longest_segment(model)}
+    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": longest_segment(model)}
 
     def decide(nt: Column, nm: Column, longest: Column, b: Column, **c: Column) -> Column:
         digits, text_digits = F.regexp_replace(nm, "[^0-9]", ""), F.regexp_replace(nt, "[^0-9]", "")
@@ -192,7 +192,7 @@ def blocking_keys(text: Column, model: Column | None = None) -> Column:
         joined = lambda n: F.concat(F.regexp_extract_all(n, F.lit("[0-9]+"), F.lit(0)), F.when(F.length(n) >= 3, F.transform(F.sequence(F.lit(1), F.length(n) - 2), lambda i: F.substring(n, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
         return F.array_distinct(let(normalize_model(text), joined))
     key = lambda x: F.when(first_run(x) != "", first_run(x)).when(F.length(x) >= 3, F.substring(x, 1, 3))
-    forms = F.struct(normalize_model(model).alias("nm"), _longest_segment(model).alias("longest"))
+    forms = F.struct(normalize_model(model).alias("nm"), longest_segment(model).alias("longest"))
     return let(forms, lambda m: F.array_distinct(F.filter(F.array(key(m["nm"]), key(m["longest"]), F.nullif(F.regexp_replace(m["nm"], "[^0-9]", ""), F.lit(""))), lambda x: x.isNotNull())))
 
 

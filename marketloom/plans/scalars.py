@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import matching, money, text, urls
-from marketloom.operators import relational
+from marketloom.operators import model_join, relational
 from marketloom.session import spread, table
 
 _ACCENTS = "translate(strip_accents(lower({0})), 'đ', 'd')"
@@ -135,11 +135,10 @@ def model_match(spark, sf):
 
 
 def model_theta_join(spark, sf):
-    """Titles met with models through keys of their normal forms, so that the match rules run on few pairs."""
-    titles = _titles(spark, sf).select("s_suppkey", "title", F.explode(matching.blocking_keys(F.col("title"))).alias("key"))
-    models = _titles(spark, sf).select(F.col("s_suppkey").alias("model_key"), "model", F.explode(matching.blocking_keys(F.lit(""), F.col("model"))).alias("key"))
-    pairs = titles.join(models, "key").select("s_suppkey", "model_key", "title", "model").distinct()
-    return pairs.where(matching.model_match(F.col("title"), F.col("model"), F.lit(""))).select("s_suppkey", "model_key")
+    """Titles met with models through the rarest key of each form of a model, so that the match rules run on few pairs."""
+    rows = _titles(spark, sf)
+    titles, models = rows.select(F.col("s_suppkey").alias("text_id"), F.col("title").alias("text")), rows.select(F.col("s_suppkey").alias("model_id"), "model")
+    return model_join.model_join(titles, models).select(F.col("text_id").alias("s_suppkey"), F.col("model_id").alias("model_key"))
 
 
 def model_from_title(spark, sf):
