@@ -77,14 +77,17 @@ def read_pages(pages: DataFrame) -> DataFrame:
         _numbered, "brand string, model string, keyword string, engine string, page int, refused boolean, links array<string>"
     )
     taken = F.filter(F.transform("links", lambda h: _target(F.col("engine"), h)), lambda u: u.startswith("http"))
-    counted = parsed.withColumn("links", F.when(F.col("refused"), F.array().cast("array<string>")).otherwise(taken))
-    counted = counted.withColumn("n_detail", F.size(F.filter("links", lambda u: urls.is_detail_url(u, F.col("model"), F.col("brand")))))
+    none = F.array().cast("array<string>")
+    each = parsed.select(*keys, "page", "refused", F.posexplode_outer(F.when(F.col("refused"), none).otherwise(taken)).alias("position", "url"))
+    judged = each.withColumn("detail", F.col("url").isNotNull() & urls.is_detail_url(F.col("url"), F.col("model"), F.col("brand")))
+    shown = F.array_sort(F.collect_list(F.when(F.col("url").isNotNull(), F.struct("position", "url"))))  # the links of one page
+    counted = judged.groupBy(*keys, "page", "refused").agg(shown["url"].alias("links"), F.count_if("detail").alias("n_detail"))
     before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)  # two pages at most
     limit = F.element_at(F.create_map(*[F.lit(x) for kv in PAGES.items() for x in kv]), F.col("engine"))
     enough = F.coalesce(F.sum("n_detail").over(before), F.lit(0)) >= ENOUGH_DETAIL
     ended = F.coalesce(F.max(F.col("refused") | (F.size("links") < FEW_LINKS)).over(before), F.lit(False))
     read = counted.where(F.col("page") <= limit).withColumn("read", ~enough & ~ended)
-    return read.select(*keys, "page", "read", "refused", F.when(F.col("read"), F.col("links")).otherwise(F.array().cast("array<string>")).alias("links"), F.when(F.col("read"), F.col("n_detail")).otherwise(0).alias("n_detail"))
+    return read.select(*keys, "page", "read", "refused", F.when(F.col("read"), F.col("links")).otherwise(none).alias("links"), F.when(F.col("read"), F.col("n_detail")).otherwise(0).alias("n_detail"))
 
 
 def progressive_links(requests: DataFrame, pages: DataFrame) -> DataFrame:
