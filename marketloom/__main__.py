@@ -53,7 +53,8 @@ def main(argv: list[str] | None = None) -> int:
 
     spark = get_session()
     if args.command == "tabs":
-        for r in sheets.read_raw(spark, settings.sheets_path).select("sheet_name").collect():
+        page = spark.read.text(settings.workbook_path, wholetext=True).withColumnRenamed("value", "html") if settings.workbook_path else None
+        for r in sheets.tab_names(sheets.read_raw(spark, settings.sheets_path), page).orderBy("position").collect():
             print(r.sheet_name)
     elif args.command == "catalogue":
         catalogue.id_sheet(spark, f"{settings.output_path}/variants").replace(catalogue.variants(catalogue.read(spark, settings.catalogue_path)))

@@ -13,6 +13,7 @@ class Settings:
     """Paths and limits; each is read from MARKETLOOM_<NAME> if that is set."""
 
     sheets_path: str = ""
+    workbook_path: str = ""
     links_path: str = ""
     pages_path: str = ""
     catalogue_path: str = ""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions import money, text
@@ -56,6 +56,14 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).option("multiLine", True).json(path)
 
 
+def tab_names(tabs: DataFrame, workbook: DataFrame | None = None) -> DataFrame:
+    """(position, sheet_name) of the captured tabs by name; where none was captured, of the tabs that the workbook's own page (html) shows, in its order."""
+    named = tabs.select("sheet_name").distinct().select((F.row_number().over(Window.orderBy("sheet_name")) - 1).alias("position"), "sheet_name")  # a workbook has a few dozen tabs
+    if workbook is None or not tabs.isEmpty():
+        return named
+    return workbook.select(F.posexplode(text.sheet_names_from_html(F.col("html"))).alias("position", "sheet_name"))
+
+
 def find_sheet(tabs: DataFrame, name: str) -> DataFrame:
     """The tab of that name, else the first whose letters and digits are the same."""
     bare = lambda c: F.regexp_replace(text.normalize_text(c), "[^a-z0-9]", "")

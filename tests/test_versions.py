@@ -88,3 +88,10 @@ def test_sheet_rows_are_written_back_by_key(spark, tmp_path):
     after = {r.row_number: r for r in table.read().collect()}
     assert (after[3].sale_price, after[3].gap_value, after[3].gap_percent, after[3].cells[0]) == (10_000_000, 2_000_000, 0.25, "10000000")
     assert after[4].cells[0] == "7.000.000" and len(after) == 2
+
+
+def test_tab_names_fall_back_to_the_workbook_page(spark):
+    tabs = spark.createDataFrame([("B", None, None), ("A", None, None)], sheets.RAW_SCHEMA)
+    page = spark.createDataFrame([('x docs-sheet-tab-caption">Z &amp; 1<x docs-sheet-tab-caption">A<',)], "html string")
+    names = lambda *a: [r.sheet_name for r in sheets.tab_names(*a).orderBy("position").collect()]
+    assert names(tabs, page) == ["A", "B"] and names(tabs.where("false"), page) == ["Z & 1", "A"] and names(tabs.where("false")) == []
