@@ -117,17 +117,24 @@ def _stretches(window: int, phrase: int):
     return run
 
 
+class _Numbers(dict):
+    """Words numbered from 1 in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = len(self) + 1
+        return found
+
+
 def _locate(part: pd.DataFrame, window: int) -> pa.RecordBatch | None:
     """Confirm the recurring windows of whole shards, compile them, and stream the shards' stretches through."""
-    numbers: dict[bytes, int] = {}
-    number = lambda w: numbers.setdefault(w, len(numbers) + 1)
+    number = _Numbers().__getitem__
     flat: list[int] = []
     sizes = []
     for words in part["words"]:
-        own = [number(w) for w in words.split()]
-        flat += own
+        before = len(flat)
+        flat.extend(map(number, words.split()))
         flat.append(0)  # parts stretches; no pattern holds it
-        sizes.append(len(own) + 1)
+        sizes.append(len(flat) - before)
     sizes = np.array(sizes)
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     row = np.repeat(np.arange(len(part)), sizes)
