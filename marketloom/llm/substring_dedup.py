@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -152,7 +153,7 @@ def _locate(part: pd.DataFrame, window: int) -> pa.RecordBatch | None:
         for k, p in enumerate(patterns.tolist()):
             automaton.add_word(tuple(flat[p : p + window]), k)
         automaton.make_automaton()
-        found = np.array(list(automaton.iter(tuple(flat))), np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(automaton.iter(tuple(flat))), np.int64).reshape(-1, 2)
         where, which = found[:, 0] - window + 1, found[:, 1]
         order = np.lexsort((at[where], doc[where], which))
         where, which = where[order], which[order]
