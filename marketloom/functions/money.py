@@ -56,6 +56,11 @@ def parse_price_text(value: Column) -> Column:
     return let(F.trim(value), parsed)
 
 
+def rounded_share(share: Column) -> Column:
+    """A share at nine places, half to even, by double arithmetic: a tie is one of the scaled number, not of its shortest decimal form."""
+    return F.rint(share * 1e9) / 1e9
+
+
 def parse_price_number(value: Column) -> Column:
     """A price given as a number: rounded half to even, and thousands if under 100,000."""
     return let(F.bround(value.cast("double")).cast("long"), lambda v: F.when(v > 0, F.when(v < 100_000, v * 1_000).otherwise(v)))

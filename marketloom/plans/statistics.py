@@ -44,7 +44,7 @@ pp AS (SELECT l_orderkey, CASE WHEN s > 0 AND s < 100000 THEN s * 1000 WHEN s >
 def suggested_pricing(spark, sf):
     arrays = pricing.price_arrays(observations(spark, sf), ["l_orderkey"])
     out = pricing.suggest(products(spark, sf), arrays, ["l_orderkey"])
-    return out.select("l_orderkey", "min_price", "max_price", "avg_price", "median_price", "outlier_removed", "suggested_price", "gap_value", F.bround("gap_percent", 9).alias("gap_percent"))
+    return out.select("l_orderkey", "min_price", "max_price", "avg_price", "median_price", "outlier_removed", "suggested_price", "gap_value", money.rounded_share(F.col("gap_percent")).alias("gap_percent"))
 
 
 def price_percentiles(spark, sf):
@@ -78,7 +78,7 @@ def sheet_recalc(spark, sf):
     lows = observations(spark, sf).groupBy("l_orderkey").agg(F.min("price").alias("min_price"))
     gap = F.col("min_price") - F.col("cost_price")
     out = products(spark, sf).join(lows, "l_orderkey", "left")
-    return out.select("l_orderkey", "min_price", F.coalesce("min_price", "sale_price").alias("sale_price"), gap.alias("gap_value"), F.bround(gap / F.col("cost_price"), 9).alias("gap_percent"))
+    return out.select("l_orderkey", "min_price", F.coalesce("min_price", "sale_price").alias("sale_price"), gap.alias("gap_value"), money.rounded_share(gap / F.col("cost_price")).alias("gap_percent"))
 
 
 def _by_flag(spark, sf):
