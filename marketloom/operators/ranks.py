@@ -87,28 +87,35 @@ def _at_ranks(lined: DataFrame, spans: DataFrame, ranks: dict[str, Column], valu
     return met.groupBy("key_").agg(*[F.max(F.when(rank == F.col(f"at_{k}"), F.col(value))).alias(k) for k in ranks])
 
 
-def price_summary(observations: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
-    """Quartiles, outliers and statistics of groups of any size; the same definitions as ``pricing`` has for arrays.
+def _interpolated(found: DataFrame, shares: dict[str, float], count: str) -> DataFrame:
+    at = lambda p: F.lit(p) * (F.col(count) - 1)
+    mixed = lambda k, p: F.col(f"{k}_lo") * (1 - (at(p) - F.floor(at(p)))) + F.col(f"{k}_hi") * (at(p) - F.floor(at(p)))
+    return found.select("key_", count, *[mixed(k, p).alias(k) for k, p in shares.items()])
 
-    (keys, n_distinct, p25, p50, p75, n_kept, min_price, max_price, avg_price, median_price): percentiles interpolate over
-    distinct prices, fewer than four are all kept, rounding is half to even; prices that are null or not positive don't count.
-    """
+
+def _ends(shares: dict[str, float], count: str, start: Column) -> dict[str, Column]:
+    at = lambda p: F.lit(p) * (F.col(count) - 1)
+    return {f"{k}_{side}": start + f(at(p)) for k, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+
+
+def _quartiles(observations: DataFrame, keys: list[str], price: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The distinct prices (value_) lined up, their spans, and (key_, n_distinct, p25, p50, p75)."""
     distinct = observations.where(F.col(price) > 0).select(*keys, F.col(price).alias("value_")).distinct()
     lined = lined_up(distinct, keys, [F.col("value_")])
     spans = stored(spans_of(lined), "offsets")
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    counts = spans.select("key_", F.col("n_")).distinct()
+    found = _at_ranks(lined, spans, _ends(shares, "n_", F.lit(0)), "value_").join(counts, "key_")
+    return lined, spans, stored(_interpolated(found, shares, "n_").withColumnRenamed("n_", "n_distinct"), "quartiles")
 
-    def interpolated(found: DataFrame, shares: dict[str, float], count: str) -> DataFrame:
-        at = lambda p: F.lit(p) * (F.col(count) - 1)
-        mixed = lambda k, p: F.col(f"{k}_lo") * (1 - (at(p) - F.floor(at(p)))) + F.col(f"{k}_hi") * (at(p) - F.floor(at(p)))
-        return found.select("key_", count, *[mixed(k, p).alias(k) for k, p in shares.items()])
 
-    def ends(shares: dict[str, float], count: str, start: Column) -> dict[str, Column]:
-        at = lambda p: F.lit(p) * (F.col(count) - 1)
-        return {f"{k}_{side}": start + f(at(p)) for k, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+def price_summary(observations: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
+    """Quartiles, outliers and statistics of groups of any size; the same definitions as ``pricing`` has for arrays.
 
-    quartiles = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    counts = spans.select("key_", F.col("n_")).distinct()
-    q = stored(interpolated(_at_ranks(lined, spans, ends(quartiles, "n_", F.lit(0)), "value_").join(counts, "key_"), quartiles, "n_").withColumnRenamed("n_", "n_distinct"), "quartiles")
+    (keys, n_distinct, p25, p50, p75, n_kept, min_price, max_price, avg_price, median_price): percentiles interpolate over
+    distinct prices, fewer than four are all kept, rounding is half to even; prices that are null or not positive don't count.
+    """
+    lined, spans, q = _quartiles(observations, keys, price)
     iqr, few = F.col("p75") - F.col("p25"), F.col("n_distinct") < 4
     bounds = q.select("key_", F.when(~few, F.col("p25") - 1.5 * iqr).alias("low_"), F.when(~few, F.col("p75") + 1.5 * iqr).alias("high_"))
     kept = _spans_met(lined, spans.join(bounds, "key_")).where("low_ IS NULL OR value_ BETWEEN low_ AND high_")
@@ -119,15 +126,17 @@ def price_summary(observations: DataFrame, keys: list[str], price: str = "price"
     )
     stats = stored(stats, "kept")
     # kept prices are neighbours in the order, so their median is sought from the first of them on
-    middle = _at_ranks(lined, spans.join(stats.select("key_", "n_kept", "start_"), "key_"), ends({"m": 0.5}, "n_kept", F.col("start_")), "value_")
-    median = interpolated(middle.join(stats.select("key_", "n_kept"), "key_"), {"m": 0.5}, "n_kept").select("key_", F.bround("m").cast("bigint").alias("median_price"))
+    middle = _at_ranks(lined, spans.join(stats.select("key_", "n_kept", "start_"), "key_"), _ends({"m": 0.5}, "n_kept", F.col("start_")), "value_")
+    median = _interpolated(middle.join(stats.select("key_", "n_kept"), "key_"), {"m": 0.5}, "n_kept").select("key_", F.bround("m").cast("bigint").alias("median_price"))
     out = q.join(stats.drop("start_"), "key_").join(median, "key_")
     return out.select(*[F.col(f"key_.{k}").alias(k) for k in keys], "n_distinct", "p25", "p50", "p75", "n_kept", "min_price", "max_price", "avg_price", "median_price")
 
 
 def price_outliers(observations: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
     """(keys, outlier_price): distinct prices further than 1.5 interquartile ranges from the quartiles of their group."""
-    summary = price_summary(observations, keys, price).where("n_distinct >= 4")
-    bounds = summary.select(F.struct(*keys).alias("key_"), (F.col("p25") - 1.5 * (F.col("p75") - F.col("p25"))).alias("low_"), (F.col("p75") + 1.5 * (F.col("p75") - F.col("p25"))).alias("high_"))
-    distinct = observations.where(F.col(price) > 0).select(*keys, F.col(price).alias("outlier_price")).distinct().withColumn("key_", F.struct(*keys))
-    return distinct.join(bounds, "key_").where("outlier_price < low_ OR outlier_price > high_").select(*keys, "outlier_price")
+    lined, spans, q = _quartiles(observations, keys, price)
+    iqr = F.col("p75") - F.col("p25")
+    bounds = q.where("n_distinct >= 4").select("key_", (F.col("p25") - 1.5 * iqr).alias("low_"), (F.col("p75") + 1.5 * iqr).alias("high_"))
+    # prices meet the bounds span by span: by key alone, a key with most of the prices would be one task
+    beyond = _spans_met(lined, spans.join(bounds, "key_")).where("value_ < low_ OR value_ > high_")
+    return beyond.select(*keys, F.col("value_").alias("outlier_price"))
