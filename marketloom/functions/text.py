@@ -36,7 +36,8 @@ def _folding() -> tuple[str, str]:
 def normalize_text(value: Column) -> Column:
     """Accents off, d with stroke to d, trimmed, lower case."""
     source, target = _folding()
-    return F.coalesce(F.lower(F.trim(F.regexp_replace(F.translate(value, source, target), r"\p{M}", ""))), F.lit(""))
+    plain = F.octet_length(value) == F.char_length(value)  # ASCII has no accents
+    return F.coalesce(F.lower(F.trim(F.when(plain, value).otherwise(F.regexp_replace(F.translate(value, source, target), r"\p{M}", "")))), F.lit(""))
 
 
 def _one_decimal(number: Column) -> Column:
@@ -56,7 +57,9 @@ def _rewritten(text: Column, pattern: str, factor: float, unit: str) -> Column:
 def normalize_model(value: Column) -> Column:
     """Upper-case letters and digits of a model: + spelled out, millimetres and metres as centimetres, units dropped."""
     text = F.replace(normalize_text(value), F.lit("+"), F.lit(" plus "))
-    return let(text, lambda t: let(_rewritten(t, r"\b(\d+(?:\.\d+)?)\s*mm\b", 0.1, "cm"), lambda u: let(_rewritten(u, r"\b(\d+(?:[.,]\d+)?)\s*m\b", 100.0, "cm"), _closed)))
+    rewritten = lambda t: let(_rewritten(t, r"\b(\d+(?:\.\d+)?)\s*mm\b", 0.1, "cm"), lambda u: let(_rewritten(u, r"\b(\d+(?:[.,]\d+)?)\s*m\b", 100.0, "cm"), _closed))
+    # without a digit before m or cm there is no length to rewrite
+    return let(text, lambda t: F.when(t.rlike(r"\d\s*c?m"), rewritten(t)).otherwise(F.upper(F.regexp_replace(t, "[^a-zA-Z0-9]", ""))))
 
 
 def _closed(text: Column) -> Column:
