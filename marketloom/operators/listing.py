@@ -3,7 +3,8 @@
 A page is read once, into rows of its elements with interval labels: an element's number in document order (entry), the
 last number inside it (exit), and its depth. All else is joins over these labels. From a price one climbs its
 ancestors; the nearest title of an ancestor's own subtree is worked out once for the ancestor, not for each price, and
-the first ancestor that has one is the lowest common ancestor of price and title.
+the first ancestor that has one is the lowest common ancestor of price and title. On the way titles and links are
+numbers (distance, then place), so aggregates need no sorts; rows are dealt over tasks by the number of elements.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from marketloom.functions import money, urls
 from marketloom.functions.base import any_contained
 from marketloom.operators.html import Node, parse
-from marketloom.session import stored
+from marketloom.session import dealt, stored
 
 #: Ancestors climbed from a price, elements from a title within which its link is looked for, lengths of a title.
 CLIMB, LINK_STEPS, SHORTEST, LONGEST = 5, 3, 8, 149
@@ -32,12 +33,14 @@ TRASH = (
 )
 #: Elements whose text counts for themselves alone, classes that mark a struck price, and text kept of an element at most.
 UNSEEN, STRUCK, KEPT_CHARS = ("script", "style", "template"), (".line", ".old", ".del", "del", "s"), 2000
+#: Elements in a file: a task reads several small files, never more than these few.
+ROWS_A_FILE = 50_000
 _SETUP = re.compile(r"productSaleSetup\s*\(\s*'[^']*'\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*'[^']*'\s*,\s*'\s*([0-9]+)\s*'")
 
 NODES = (
-    "url string, entry int, exit int, depth int, tag string, id string, classes string, style string, href string, text string, price_text string, scripted boolean, path array<int>"
+    "url string, entry int, exit int, depth int, tag string, id string, classes string, style string, href string, text string, price_text string, scripted boolean, path array<int>, tags array<string>, marks array<string>, own_href string"
 )
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
 def _struck(node: Node) -> bool:
@@ -49,6 +52,26 @@ def _short(parts: list[str]) -> str | None:
     return None if sum(map(len, parts)) > KEPT_CHARS else "".join(parts)
 
 
+def _around(node: Node) -> tuple[list[str], list[str]]:
+    """Tags, and ids with classes, of the ancestors that are climbed, the nearest first."""
+    tags, marks = [], []
+    while (node := node.parent) is not None and len(tags) < CLIMB:
+        tags.append(node.tag)
+        marks.append(f"{node.attrs.get('id', '')}\n{node.classes}")
+    return tags, marks
+
+
+def _own_href(node: Node | None) -> str | None:
+    """The link of the nearest ``a`` from an element on up, within ``LINK_STEPS`` elements."""
+    for _ in range(LINK_STEPS):
+        if node is None:
+            break
+        if node.tag == "a":
+            return node.attrs.get("href", "")
+        node = node.parent
+    return None
+
+
 def labelled(root: Node) -> list[tuple]:
     """Rows of ``NODES`` without the url, in document order: a walk with a stack, texts from the leaves up."""
     rows, stack, path = [], [(root, False)], []
@@ -84,7 +107,9 @@ def labelled(root: Node) -> list[tuple]:
         price = price if price is not None and len(price) <= LONGEST else None
         a = node.attrs
         at = entries[id(node)]
-        rows[at] = (at, len(rows) - 1, len(path), node.tag, a.get("id", ""), node.classes, a.get("style", ""), a.get("href"), text, price, setup is not None, list(path))
+        tags, marks = _around(node) if price and any(map(str.isdigit, price)) else (None, None)
+        own_href = _own_href(node) if node.tag in HEADINGS else None
+        rows[at] = (at, len(rows) - 1, len(path), node.tag, a.get("id", ""), node.classes, a.get("style", ""), a.get("href"), text, price, setup is not None, list(path), tags, marks, own_href)
     return rows
 
 
@@ -97,12 +122,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """The ``NODES`` of each page (url, html); the document itself is element 0, at depth 0.
+    """The ``NODES`` of each page (url, html); the document itself is element 0, at depth 0. Several joins read them, so they are written once.
 
     ``path``: entries of an element's ancestors, the document first. A text longer than a title or price may be is null.
-    Several joins read them, so they are written once.
+    ``tags``, ``marks``: of ancestors that are climbed, where there may be a price; ``own_href``: a heading's own link.
+    ``priced``, ``price_shown``, ``headed``: whether the text is a price, the unstruck text is one, and the text may be a title.
     """
-    return stored(pages.select("url", "html").mapInArrow(_read, NODES), "elements")
+    shaped = lambda c: F.when(F.col(c).rlike("[0-9]"), money.is_price_shaped(F.col(c)))
+    judged = {
+        "priced": F.coalesce(shaped("text"), F.lit(False)), "price_shown": F.col("scripted") | (F.coalesce(shaped("price_text"), F.lit(False)) & ~F.col("tag").isin(*UNSEEN)),
+        "headed": F.when(F.col("tag").isin(*HEADINGS), is_title(F.col("text"))).otherwise(False),
+    }
+    return stored(pages.select("url", "html").mapInArrow(_read, NODES).withColumns(judged), "elements", ROWS_A_FILE)
 
 
 def is_original(tag: Column, classes: Column, style: Column) -> Column:
@@ -115,13 +146,22 @@ def is_title(text: Column) -> Column:
     return F.coalesce(F.length(text).between(SHORTEST, LONGEST) & ~money.is_price_shaped(text) & ~any_contained(F.lower(text), TRASH), F.lit(False))
 
 
-def prices(nodes: DataFrame) -> DataFrame:
+def prices(nodes: DataFrame, rows: int) -> DataFrame:
     """The elements that show a price themselves: no child shows one, unless all that do show the price from before."""
-    shaped = F.coalesce(money.is_price_shaped(F.col("text")), F.lit(False))
     kept = ~is_original(F.col("tag"), F.col("classes"), F.col("style"))
-    children = nodes.where(shaped & kept & (F.col("depth") > 0)).select("url", F.element_at("path", -1).alias("entry")).distinct()
-    shown = nodes.where((F.col("depth") > 0) & (F.col("scripted") | (F.coalesce(money.is_price_shaped(F.col("price_text")), F.lit(False)) & ~F.col("tag").isin(*UNSEEN))))
-    return shown.join(children, ["url", "entry"], "left_anti")
+    children = nodes.where(F.col("priced") & kept & (F.col("depth") > 0)).select("url", F.element_at("path", -1).alias("entry"))
+    above = dealt(children, rows, "url", "entry").groupBy("url", "entry").agg(F.count("*").alias("n_above"))
+    shown = nodes.where((F.col("depth") > 0) & F.col("price_shown"))
+    return dealt(shown, rows, "url", "entry").join(above, ["url", "entry"], "left").where("n_above IS NULL").drop("n_above")
+
+
+def _place(depth: Column, named: Column, entry: Column) -> Column:
+    """One number that orders titles or links by depth (later by distance), then by name, then by place in the document."""
+    return F.shiftleft(depth.cast("bigint"), 32) + F.shiftleft(named.cast("bigint"), 31) + entry
+
+
+def _entry(place: Column) -> Column:
+    return place.bitwiseAND(F.lit(2**31 - 1)).cast("int")
 
 
 def nearest(nodes: DataFrame) -> DataFrame:
@@ -131,48 +171,48 @@ def nearest(nodes: DataFrame) -> DataFrame:
     titles the least deep counts, then one whose class says title or name, then the first; one that holds the price is
     nearer than any beside it. Its link is the nearest ``a`` from it on up, or else the link nearest to the price.
     """
-    by = ["url", "entry"]
-    frames = nodes.select("url", "entry", F.col("depth").alias("d"), (urls.is_excluded(F.col("id"), F.col("classes")) | urls.is_layout(F.col("id"), F.col("classes"), F.col("tag")) | (F.col("depth") == 0)).alias("stop"))
-    shown = prices(nodes).select(
+    rows = nodes.count()
+    laid = lambda m: urls.is_excluded(m["marks"], F.lit("")) | urls.is_layout(m["marks"], F.lit(""), m["tags"])
+    first_stop = F.array_position(F.transform(F.arrays_zip("tags", "marks"), lambda m, i: laid(m) | (F.col("depth") == i + 1)), F.lit(True))
+    up = F.concat(F.array("entry"), F.slice(F.reverse("path"), 1, CLIMB))
+    shown = prices(nodes, rows).select(
         "url", F.col("entry").alias("price"), "depth", "price_text", "scripted", (~F.col("scripted") & is_original(F.col("tag"), F.col("classes"), F.col("style"))).alias("is_original"),
-        F.concat(F.array("entry"), F.slice(F.reverse("path"), 1, CLIMB)).alias("up"),
-    )
-    # a step: the price itself, then an ancestor, and the element below it on the way to the price
-    steps = shown.select("url", "price", "depth", F.posexplode("up").alias("step", "entry"), "up").withColumn("below", F.get("up", F.greatest(F.col("step") - 1, F.lit(0)))).drop("up")
-    framed = steps.join(frames, by)
-    first_stop = framed.where("stop AND step > 0").groupBy("url", "price").agg(F.min("step").alias("first_stop"))
-    open_steps = framed.join(first_stop, ["url", "price"], "left").where("first_stop IS NULL OR (step < first_stop AND first_stop > 1)").select("url", "price", "depth", "step", "entry", "below", "d")
-
-    headed = nodes.where(F.col("tag").isin(*HEADINGS) & is_title(F.col("text")))
-    links = nodes.where((F.col("tag") == "a") & (F.length("href") > 2) & ~F.col("href").rlike("^(#|javascript:)"))
-    titled = F.when(F.lower("classes").rlike("title|name"), 0).otherwise(1)
-    titles = headed.select("url", "path", F.struct(F.col("depth").alias("d"), titled.alias("c"), F.col("entry").alias("e"), "text").alias("t"))
-    anchors = links.select("url", "path", F.struct(F.col("depth").alias("d"), F.col("entry").alias("e"), "href").alias("l"))
-    best_title = titles.select("url", F.explode("path").alias("entry"), "t").groupBy(*by).agg(F.min("t").alias("t"))
-    best_link = anchors.select("url", F.explode("path").alias("entry"), "l").groupBy(*by).agg(F.min("l").alias("l"))
-    inside = best_title.join(best_link, by, "full")
-    held = titles.select("url", F.col("t.e").alias("below"), F.col("t").alias("held_title")).join(anchors.select("url", F.col("l.e").alias("below"), F.col("l").alias("held_link")), ["url", "below"], "full")
-    met = open_steps.join(inside, by, "left").join(held, ["url", "below"], "left")
-
-    away = lambda x: F.col("depth") - F.col("d") + F.col(x)["d"] - F.col("d")
-    # what is found inside the price itself, and beside it in its parent, is of one frame: distance decides
-    title = lambda x, far: F.when(F.col(x).isNotNull(), F.struct(far.alias("away"), F.col(x)["c"].alias("c"), F.col(x)["e"].alias("e"), F.col(x)["text"].alias("text")))
-    link = lambda x, far: F.when(F.col(x).isNotNull(), F.struct(far.alias("away"), F.col(x)["e"].alias("e"), F.col(x)["href"].alias("href")))
-    over = lambda x: F.col("depth") - F.col(x)["d"]
-    seen = met.select(
-        "url", "price", F.greatest("step", F.lit(1)).alias("frame"),
-        F.least(title("t", away("t")), title("held_title", over("held_title"))).alias("title"), F.least(link("l", away("l")), link("held_link", over("held_link"))).alias("link"),
+        up.alias("up"), first_stop.cast("int").alias("first_stop"),
     )
-    found = seen.where("title IS NOT NULL").groupBy("url", "price").agg(F.min(F.struct("frame", "title")).alias("f")).select("url", "price", "f.*")
-    near = seen.join(found.select("url", "price", F.col("frame").alias("at")), ["url", "price"]).where("frame <= at").groupBy("url", "price").agg(F.min("link").alias("link"))
-
-    # the link of the title itself, or of the two elements around it
-    climb = headed.select("url", F.col("entry").alias("e"), F.posexplode(F.concat(F.array("entry"), F.slice(F.reverse("path"), 1, LINK_STEPS - 1))).alias("k", "entry"))
-    linked = climb.join(nodes.where("tag = 'a'").select("url", "entry", F.coalesce("href", F.lit("")).alias("href")), by).groupBy("url", "e").agg(F.min_by("href", "k").alias("own_href"))
-    offers = found.withColumn("e", F.col("title.e")).join(linked, ["url", "e"], "left").join(near, ["url", "price"]).join(shown.select("url", "price", "price_text", "scripted", "is_original"), ["url", "price"])
-    href = F.coalesce(F.nullif("own_href", F.lit("")), "link.href")
+    # a step: the price itself (0), then its ancestors before the first that stops the climb; none where the parent does
+    n_open = F.when(F.col("first_stop") == 0, F.size("up")).when(F.col("first_stop") == 1, 0).otherwise(F.col("first_stop"))
+    steps = shown.withColumn("n", n_open).select("url", "price", "depth", "n", F.posexplode(F.slice("up", 1, F.col("n"))).alias("step", "entry"))
+
+    is_link = (F.col("tag") == "a") & (F.length("href") > 2) & ~F.col("href").rlike("^(#|javascript:)")
+    links = nodes.where(is_link)
+    named = F.when(F.lower("classes").rlike("title|name"), 0).otherwise(1)
+    t, l = F.when(F.col("headed"), _place(F.col("depth"), named, F.col("entry"))), F.when(is_link, _place(F.col("depth"), F.lit(0), F.col("entry")))
+    marked = nodes.where(F.col("headed") | is_link).select("url", F.col("entry").alias("e"), t.alias("t"), l.alias("l"), F.explode(F.concat("path", F.array("entry"))).alias("entry"))
+    inside, own = (lambda c: F.min(F.when(F.col("entry") != F.col("e"), F.col(c)))), (lambda c: F.min(F.when(F.col("entry") == F.col("e"), F.col(c))))
+    spots = dealt(marked, rows, "url", "entry").groupBy("url", "entry").agg(inside("t").alias("t"), inside("l").alias("l"), own("t").alias("own_t"), own("l").alias("own_l"))
+    met = dealt(steps, rows, "url", "entry").join(spots, ["url", "entry"])
+
+    # what is inside an element is met in its own frame, the element itself in the next; what is inside the price itself,
+    # or is it, and what stands beside it in its parent, is of one frame: distance decides
+    frame, after = F.greatest("step", F.lit(1)), F.when((F.col("step") == 0) | (F.col("step") + 1 < F.col("n")), F.col("step") + 1)
+    beside = lambda c: F.col(c) + F.shiftleft((2 * F.col("step") - F.col("depth")).cast("bigint"), 32)
+    holding = lambda c: F.col(c).bitwiseAND(F.lit(2**32 - 1)) + F.shiftleft(F.col("step").cast("bigint"), 32)
+    framed = lambda f, place: F.shiftleft(f.cast("bigint"), 60) + place
+    title = F.least(framed(frame, beside("t")), framed(after, holding("own_t")))
+    link_by = lambda f: F.min(F.least(F.when(frame <= f, beside("l")), F.when(after <= f, holding("own_l"))))
+    seen = dealt(met.select("url", "price", "depth", "n", "step", "t", "l", "own_t", "own_l"), rows, "url", "price")
+    least = seen.groupBy("url", "price").agg(F.min(title).alias("title"), F.array(*[link_by(f) for f in range(1, CLIMB + 1)]).alias("links")).where("title IS NOT NULL")
+    link = F.element_at("links", F.shiftright("title", 60).cast("int"))
+    found = least.select("url", "price", _entry(F.col("title")).alias("e"), _entry(link).alias("link"))
+
+    # the link of the title itself, or of the two elements around it, before the nearest one
+    priced = found.join(shown.select("url", "price", "price_text", "scripted", "is_original"), ["url", "price"])
+    headed = nodes.where("headed").select("url", F.col("entry").alias("e"), F.col("text").alias("title"), "own_href")
+    offers = dealt(priced, rows, "url", "e").join(dealt(headed, rows, "url", "e"), ["url", "e"])
+    offers = dealt(offers, rows, "url", "link").join(dealt(links.select("url", F.col("entry").alias("link"), "href"), rows, "url", "link"), ["url", "link"], "left")
+    href = F.coalesce(F.nullif("own_href", F.lit("")), "href")
     position = F.struct((~F.col("scripted")).alias("shown"), F.col("price").alias("entry"))
-    return offers.select("url", position.alias("position"), F.col("title.text").alias("title"), "price_text", href.alias("href"), "is_original")
+    return offers.select("url", position.alias("position"), "title", "price_text", href.alias("href"), "is_original")
 
 
 def offers(pages: DataFrame) -> DataFrame:

@@ -1,9 +1,11 @@
 """Listing pages: labels, nearest titles against a walk over the tree, dot segments in links."""
 
 import random
+import re
 
 import pytest
 
+from marketloom import session
 from marketloom.functions import urls
 from marketloom.operators import html, listing
 from pyspark.sql import functions as F
@@ -92,6 +94,21 @@ def test_nearest_titles_equal_a_walk_for_every_pair(spark):
     assert sum(map(len, want.values())) > 100
 
 
+def test_rows_of_a_task_stay_as_pages_grow_in_number(spark, monkeypatch):
+    """Files and tasks are cut by the number of elements, and no task sorts what it is about to send on."""
+    rnd = random.Random(5)
+    pages = spark.createDataFrame([(f"http://s/{k}", random_page(rnd)) for k in range(60)], "url string, html string")
+    want = sorted(map(repr, listing.nearest(listing.elements(pages)).collect()))
+    monkeypatch.setattr(session, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(listing, "ROWS_A_FILE", 50)
+    nodes = listing.elements(pages)
+    tasks = -(-nodes.count() // 100)
+    assert tasks > 10 and max(r["count"] for r in nodes.groupBy(F.input_file_name()).count().collect()) <= 50
+    plan = listing.nearest(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert {int(n) for n in re.findall(r"hashpartitioning\(.*?, (\d+)\)", plan)} == {tasks} and "SortAggregate" not in plan
+    assert sorted(map(repr, listing.nearest(nodes).collect())) == want
+
+
 def test_labels_nest():
     rows = listing.labelled(html.parse("<div id='a'><p>x<b>y</b></p><br><p>z</p></div>"))
     assert [(r[0], r[1], r[2], r[3]) for r in rows] == [(0, 5, 0, ""), (1, 5, 1, "div"), (2, 3, 2, "p"), (3, 3, 3, "b"), (4, 4, 2, "br"), (5, 5, 2, "p")]
