@@ -220,8 +220,9 @@ def offers(pages: DataFrame) -> DataFrame:
 
     A price of now counts before one from before, then the lowest, then the first; prices of scripts come first.
     """
-    found = nearest(elements(pages)).withColumn("link", urls.absolute(F.col("url"), F.col("href"))).withColumn("key", F.coalesce("link", "title"))
+    nodes = elements(pages)
+    found = nearest(nodes).withColumn("link", urls.absolute(F.col("url"), F.col("href"))).withColumn("key", F.coalesce("link", "title"))
     priced = found.withColumn("price", F.coalesce(money.parse_price_text(F.col("price_text")), F.lit(0)))
     rank = F.struct("is_original", F.when(F.col("is_original"), F.lit(0)).otherwise(F.when(F.col("price") > 0, F.col("price")).otherwise(F.lit(2**62))), "position")
     values = F.struct("title", "link", "price_text", "price", "is_original")
-    return priced.groupBy("url", "key").agg(F.min_by(values, rank).alias("v")).select("url", "v.*")
+    return dealt(priced, nodes.count(), "url", "key").groupBy("url", "key").agg(F.min_by(values, rank).alias("v")).select("url", "v.*")
