@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -160,24 +162,53 @@ def longest_segment(model: Column) -> Column:
     return F.coalesce(F.aggregate(segments, F.lit("").cast("string"), lambda best, s: F.when(F.length(s) > F.length(best), s).otherwise(best)), F.lit(""))
 
 
+def _model_side(model: Column, brand: Column | None) -> Column:
+    """What is read of a model and a brand, whatever texts they meet."""
+    read = {"nm": normalize_model(model), "mt": tokens(model), "b": _norm(brand), "longest": longest_segment(model)}
+    return lets(read, lambda nm, mt, b, longest: F.struct(nm.alias("nm"), mt.alias("mt"), b.alias("b"), longest.alias("longest"), _parts(nm).alias("parts"), F.regexp_replace(nm, "[^0-9]", "").alias("digits")))
+
+
+def _text_side(text: Column) -> Column:
+    """What is read of a text, whatever models it meets."""
+    hyphened = F.regexp_replace(text, r"([0-9]+)-([0-9]+)", "$1$2")
+
+    def read(nt: Column) -> Column:
+        joined = F.when(text.rlike("[0-9]-[0-9]"), normalize_model(hyphened)).otherwise(nt)
+        return F.struct(nt.alias("nt"), joined.alias("joined"), text_tokens(text).alias("toks"), F.regexp_replace(nt, "[^0-9]", "").alias("digits"), F.regexp_extract_all(nt, F.lit("[0-9]+"), F.lit(0)).alias("runs"))
+
+    return let(normalize_model(text), read)
+
+
+def _decided(m: Column, x: Column) -> Column:
+    nt, nm, b, digits, text_digits = x["nt"], m["nm"], m["b"], m["digits"], x["digits"]
+    literal = _bounded(nt, nm) | ((F.length(digits) >= 3) & F.array_contains(x["runs"], digits)) | _bounded(nt, m["longest"])
+    n = F.least(F.lit(4), F.length(digits), F.length(text_digits))
+    head = lambda x: F.substring(x, F.lit(1), n)
+    alike = digits.contains(text_digits) | ((n >= 3) & (head(digits) == head(text_digits)) & (F.length(digits) >= F.length(text_digits)))
+    lenient = (b != "") & nt.contains(b) & (F.length(digits) >= 3) & (F.length(text_digits) >= 3) & alike
+    prefix, suffix = _conflicts(x["toks"], m["parts"], m["mt"], b, x["joined"])
+    # only a token with the model's digits is in conflict
+    met = (m["parts"]["digits"] != "") & F.exists(x["toks"], lambda t: t.contains(m["parts"]["digits"]))
+    none = F.struct(F.lit(False).alias("branded"), F.lit(False).alias("bare"))
+    clash = F.struct((met & prefix).alias("prefix"), F.when(met, suffix).otherwise(none).alias("s"), ((nm != "") & (literal | lenient)).alias("like"))
+    fields = lambda k: {"matched": k["like"] & ~k["prefix"] & ~k["s"]["branded"], "prefix": k["prefix"], "suffix": k["s"]["branded"], "bare_suffix": k["s"]["bare"]}
+    return let(clash, lambda k: F.struct(*[v.alias(name) for name, v in fields(k).items()]))
+
+
+def judged_each(texts: dict[str, Column], model: Column, brand: Column | None, body: Callable[..., Column]) -> Column:
+    """``body`` of what ``judged`` says of each text, by its name, with its normal form (``nt``), and of the model's (``nm``) and brand's (``b``): model and brand are read once."""
+    read = {"m": _model_side(model, brand)} | {k: _text_side(t) for k, t in texts.items()}
+
+    def decide(m: Column, **sides: Column) -> Column:
+        said = F.struct(*[_decided(m, x).alias(k) for k, x in sides.items()])
+        return let(said, lambda s: body(nm=m["nm"], b=m["b"], nt={k: x["nt"] for k, x in sides.items()}, **{k: s[k] for k in sides}))
+
+    return lets(read, decide)
+
+
 def judged(text: Column, model: Column, brand: Column | None = None) -> Column:
     """``matched``, ``prefix`` and ``suffix`` (the conflicts), and ``bare_suffix`` (without the brand) of a text and a model, from one reading of both."""
-    context = _context(text, model, brand) | {"nt": normalize_model(text), "nm": normalize_model(model), "longest": longest_segment(model)}
-
-    def decide(nt: Column, nm: Column, longest: Column, b: Column, **c: Column) -> Column:
-        digits, text_digits = F.regexp_replace(nm, "[^0-9]", ""), F.regexp_replace(nt, "[^0-9]", "")
-        whole_number = F.array_contains(F.regexp_extract_all(nt, F.lit("[0-9]+"), F.lit(0)), digits)
-        literal = _bounded(nt, nm) | ((F.length(digits) >= 3) & whole_number) | _bounded(nt, longest)
-        n = F.least(F.lit(4), F.length(digits), F.length(text_digits))
-        head = lambda x: F.substring(x, F.lit(1), n)
-        alike = digits.contains(text_digits) | ((n >= 3) & (head(digits) == head(text_digits)) & (F.length(digits) >= F.length(text_digits)))
-        lenient = (b != "") & nt.contains(b) & (F.length(digits) >= 3) & (F.length(text_digits) >= 3) & alike
-        prefix, suffix = _conflicts(b=b, **c)
-        clash = F.struct(prefix.alias("prefix"), suffix.alias("s"), ((nm != "") & (literal | lenient)).alias("like"))
-        fields = lambda k: {"matched": k["like"] & ~k["prefix"] & ~k["s"]["branded"], "prefix": k["prefix"], "suffix": k["s"]["branded"], "bare_suffix": k["s"]["bare"]}
-        return let(clash, lambda k: F.struct(*[v.alias(name) for name, v in fields(k).items()]))
-
-    return lets(context, decide)
+    return judged_each({"t": text}, model, brand, lambda t, **rest: t)
 
 
 def blocking_keys(text: Column, model: Column | None = None) -> Column:
